@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kharif.functions.numeric import present
-from kharif.operators import clean, features, rollup
+from kharif.functions import pricing
+from kharif.functions.calendar import is_weekend
+from kharif.operators import clean, evaluate, features, forecast, quality, reports, rollup, split
 from kharif.plans import chain
-from kharif.schema import MEDIAN_FILL_COLS, PRICE_COLS
-from kharif.sources import fixtures
+from kharif.schema import FEATURE_ORDER, FLAG_COLS, MEDIAN_FILL_COLS, PRICE_COLS, REQUIRED_COLUMNS
+from kharif.sources import dims, fixtures
+from kharif.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -134,5 +137,459 @@ def w6(spark, sf_dir):
     return weekly_features(spark, sf_dir).select(*SERIES_ID, "arrival_rolling_mean_4", "arrival_rolling_mean_12")
 
 
+# ------------------------------------------------------------------ checks
+@query("s2_schema_contract")
+def s2(spark, sf_dir):
+    """Observation frame after the required-column check (raises when one is missing)."""
+    return quality.check_schema(obs(spark, sf_dir)).select(*REQUIRED_COLUMNS)
+
+
+@query("s3_violations")
+def s3(spark, sf_dir):
+    return quality.violations(obs(spark, sf_dir))
+
+
+@query("a5_quality_profile")
+def a5(spark, sf_dir):
+    return quality.quality_profile(obs(spark, sf_dir))
+
+
+@query("a6_load_profile")
+def a6(spark, sf_dir):
+    return quality.load_profile(obs(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ filters / fills
+@query("p1_filter_crop")
+def p1(spark, sf_dir):
+    return clean.filter_crop(obs(spark, sf_dir), "rice")
+
+
+@query("p2_fill_flags")
+def p2(spark, sf_dir):
+    return clean.fill_flags(obs(spark, sf_dir)).select(*KEYS6, *FLAG_COLS)
+
+
+@query("p3_zero_fill_report")
+def p3(spark, sf_dir):
+    """NULLs left after the series fills, i.e. the values the zero fill replaces."""
+    imputed = clean.impute(obs(spark, sf_dir), zero_fill=False)
+    return clean.null_counts(imputed, clean.numeric_columns(imputed))
+
+
+@query("p4_replace_infinite")
+def p4(spark, sf_dir):
+    """A ratio that is infinite for zero-tax line items, with +-inf -> 0."""
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_tax")
+    ratio = li.select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        F.when(F.col("l_tax") == 0, F.lit(float("inf"))).otherwise(F.col("l_tax")).alias("tax_ratio"),
+    )
+    return clean.replace_infinite(ratio, ["tax_ratio"])
+
+
+@query("p5_drop_null_target")
+def p5(spark, sf_dir):
+    return clean.drop_null_target(obs(spark, sf_dir)).select(*KEYS6, "modal_price")
+
+
+def mixed_text(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value", "props")
+    text = (
+        F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string"))
+        .when(F.col("event_id") % 3 == 1, F.col("event_type"))
+        .otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(" ")))
+    )
+    return ev.select("event_id", text.alias("reading"), F.col("props"))
+
+
+@query("p7_coerce_numeric")
+def p7(spark, sf_dir):
+    return clean.coerce_numeric(mixed_text(spark, sf_dir), ["reading", "props"])
+
+
+@query("p8_median_fill")
+def p8(spark, sf_dir):
+    """Warm-up NULLs of lags and rolling std filled with the crop's column median."""
+    cols = ["lag_1", "lag_12", "arrival_lag_4", "rolling_std_4", "rolling_std_12"]
+    f = weekly_features(spark, sf_dir).select(*SERIES_ID, *cols)
+    return clean.fill_median(f, cols, group_keys=("crop",))
+
+
+# ------------------------------------------------------------------ exploratory
+@query("o1_sorted_output")
+def o1(spark, sf_dir):
+    return reports.sort_for_output(obs(spark, sf_dir))
+
+
+@query("o3_sample_market")
+def o3(spark, sf_dir):
+    return reports.first_market(obs(spark, sf_dir))
+
+
+@query("a14_price_by_date")
+def a14a(spark, sf_dir):
+    return reports.price_by_date_for_sample(obs(spark, sf_dir))
+
+
+@query("a14_price_by_month")
+def a14b(spark, sf_dir):
+    return reports.price_by_month(obs(spark, sf_dir))
+
+
+@query("a14_price_by_state")
+def a14c(spark, sf_dir):
+    return reports.price_by_state(obs(spark, sf_dir))
+
+
+@query("a15_price_histogram")
+def a15(spark, sf_dir):
+    return reports.histogram(obs(spark, sf_dir))
+
+
+@query("a17_crop_comparison")
+def a17(spark, sf_dir):
+    return reports.crop_comparison(weekly(spark, sf_dir))
+
+
+@query("a18_market_trend")
+def a18(spark, sf_dir):
+    return reports.market_trend(weekly(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ calendar / encoders
+@query("f1_calendar_parts")
+def f1(spark, sf_dir):
+    return weekly_features(spark, sf_dir).select(*SERIES_ID, "year", "month", "quarter")
+
+
+@query("f2_iso_week_weekday")
+def f2(spark, sf_dir):
+    return weekly_features(spark, sf_dir).select(*SERIES_ID, "week_of_year", "day_of_week")
+
+
+@query("f3_cyclic_month")
+def f3(spark, sf_dir):
+    return weekly_features(spark, sf_dir).select(*SERIES_ID, "month_sin", "month_cos")
+
+
+@query("f10_weekend_flag")
+def f10(spark, sf_dir):
+    return obs(spark, sf_dir).select(*KEYS6, is_weekend("date").alias("weekend_flag"))
+
+
+@query("j1_harvest_flag")
+def j1(spark, sf_dir):
+    return weekly_features(spark, sf_dir).select(*SERIES_ID, "is_harvest_month")
+
+
+@query("a7_target_encoder_fit")
+def a7(spark, sf_dir):
+    wk = weekly(spark, sf_dir)
+    m = features.fit_target_encoder(wk, "market").withColumn("encoded_column", F.lit("market"))
+    s = features.fit_target_encoder(wk, "state").withColumn("encoded_column", F.lit("state"))
+    return m.unionByName(s)
+
+
+@query("j2_target_encode")
+def j2(spark, sf_dir):
+    enc = chain.encode(weekly_features(spark, sf_dir), vocabulary=[])
+    return enc.select(*SERIES_ID, "market_encoded", "state_encoded")
+
+
+@query("a8_variety_vocabulary")
+def a8(spark, sf_dir):
+    return features.category_vocabulary(weekly(spark, sf_dir), "variety")
+
+
+@query("m1_one_hot_variety")
+def m1(spark, sf_dir):
+    """One-hot columns checked as (active position, width, row sum)."""
+    wk = weekly(spark, sf_dir)
+    vocab = features.collect_vocabulary(wk, "variety")
+    oh = features.one_hot(wk, "variety", vocab)
+    cols = [f"variety_{v}" for v in vocab]
+    position = F.lit(0)
+    for i, c in enumerate(cols, start=1):
+        position = F.when(F.col(c) == 1.0, F.lit(i)).otherwise(position)
+    total = F.lit(0.0)
+    for c in cols:
+        total = total + F.col(c)
+    return oh.select(*SERIES_ID, position.alias("onehot_position"), F.lit(len(cols)).alias("onehot_width"), total.alias("onehot_sum"))
+
+
+@query("a9_frequency_table")
+def a9(spark, sf_dir):
+    return clean.frequency_table(obs(spark, sf_dir), "variety")
+
+
+@query("j3_frequency_encode")
+def j3(spark, sf_dir):
+    o = obs(spark, sf_dir)
+    return clean.frequency_encode(o, "variety", out="variety_frequency").select(*KEYS6, "variety_frequency")
+
+
+def model_frame(spark, sf_dir):
+    """Keys + prepared feature columns (without one-hot) + target."""
+    ft = chain.encode(weekly_features(spark, sf_dir), vocabulary=[])
+    cols = features.feature_columns(ft)
+    return chain.prepare_training(ft.select(*SERIES_ID, *cols, "modal_price"), cols), cols
+
+
+@query("p9_feature_columns")
+def p9(spark, sf_dir):
+    """Selected feature names with their position (schema of the feature table)."""
+    ft = chain.feature_table(obs(spark, sf_dir))
+    names = features.feature_columns(ft)
+    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "position int, column_name string")
+
+
+@query("a10_feature_summary")
+def a10(spark, sf_dir):
+    mf, cols = model_frame(spark, sf_dir)
+    return features.feature_summary(mf, cols)
+
+
+@query("a11_scaler_fit")
+def a11(spark, sf_dir):
+    mf, cols = model_frame(spark, sf_dir)
+    return features.scaler_table(features.fit_scaler(mf, cols, ("crop",)), cols, ("crop",))
+
+
+@query("m2_apply_scaler")
+def m2(spark, sf_dir):
+    mf, cols = model_frame(spark, sf_dir)
+    scaled = features.apply_scaler(mf, cols, features.fit_scaler(mf, cols, ("crop",)), ("crop",))
+    return scaled.select(*SERIES_ID, "lag_1", "rolling_mean_4", "arrival_qty", "market_encoded", "day_of_week")
+
+
+@query("m10_feature_pipeline")
+def m10(spark, sf_dir):
+    """Fitted feature chain end to end: keys, prepared features, target."""
+    return model_frame(spark, sf_dir)[0]
+
+
+# ------------------------------------------------------------------ horizons / splits
+@query("w7_horizon_targets")
+def w7(spark, sf_dir):
+    mf, _ = model_frame(spark, sf_dir)
+    return split.horizon_targets(mf.select(*SERIES_ID, "modal_price")).select(*SERIES_ID, "horizon", "target_future")
+
+
+@query("w8_sequences")
+def w8(spark, sf_dir):
+    mf, _ = model_frame(spark, sf_dir)
+    return split.sequences(mf, ["modal_price", "arrival_qty", "lag_1"], 12)
+
+
+@query("w9_latest_window")
+def w9(spark, sf_dir):
+    return split.latest_window(weekly(spark, sf_dir), "modal_price", 12)
+
+
+@query("w11_positional_split")
+def w11(spark, sf_dir):
+    mf, _ = model_frame(spark, sf_dir)
+    return split.positional_split(mf.select(*SERIES_ID)).select(*SERIES_ID, "row_index", "split")
+
+
+@query("w12_temporal_split")
+def w12(spark, sf_dir):
+    mf, _ = model_frame(spark, sf_dir)
+    return split.temporal_split(mf.select(*SERIES_ID)).select(*SERIES_ID, "split")
+
+
+@query("w13_expanding_folds")
+def w13(spark, sf_dir):
+    mf, _ = model_frame(spark, sf_dir)
+    idx = split.with_row_index(mf.select(*SERIES_ID), ("market", *FEATURE_ORDER))
+    return split.expanding_folds(idx, 5).select(*SERIES_ID, "fold", "role")
+
+
+# ------------------------------------------------------------------ evaluation
+def scored(spark, sf_dir):
+    return evaluate.persistence_forecasts(weekly(spark, sf_dir))
+
+
+@query("j9_align_actuals")
+def j9(spark, sf_dir):
+    return scored(spark, sf_dir).select(*SERIES_ID, "horizon", "target_date", "y_pred", "y_true")
+
+
+@query("f11_residuals")
+def f11(spark, sf_dir):
+    return evaluate.with_residual(scored(spark, sf_dir)).select(*SERIES_ID, "horizon", "residual")
+
+
+@query("a12_error_metrics")
+def a12(spark, sf_dir):
+    return evaluate.error_metrics(scored(spark, sf_dir), ("crop", "horizon"))
+
+
+@query("a13_metric_spread")
+def a13(spark, sf_dir):
+    per_series = evaluate.error_metrics(scored(spark, sf_dir), ("crop", "market", "horizon"))
+    return evaluate.metric_spread(per_series, "rmse", ("crop", "horizon"))
+
+
+# ------------------------------------------------------------------ requests / forecasts
+RUN_DATE = "2024-10-01"
+
+
+def requests(spark, sf_dir, towns=False):
+    raw = fixtures.forecast_requests(spark, sf_dir, towns=towns)
+    return forecast.validate_requests(forecast.normalise_requests(raw), RUN_DATE)
+
+
+ANCHOR_COLS = ["modal_price", "lag_1", "rolling_mean_4"]
+
+
+def anchored(spark, sf_dir):
+    acc = forecast.accepted(requests(spark, sf_dir)).select(*REQ_OUT)
+    feats = weekly_features(spark, sf_dir)
+    return forecast.asof_features(acc, feats, ANCHOR_COLS)
+
+
+def forecast_input(spark, sf_dir):
+    a = anchored(spark, sf_dir).withColumnRenamed("modal_price", "anchor_price")
+    return forecast.forecast_weeks(forecast.with_price_anchors(a))
+
+
+def forecast_rows(spark, sf_dir):
+    return forecast.with_fallback(forecast_input(spark, sf_dir))
+
+
+REQ_OUT = ["request_id", "market", "state", "crop", "variety", "horizon_weeks", "as_of"]
+ROW_OUT = ["request_id", "week", "forecast_date", "modal_price", "min_price", "max_price"]
+
+
+@query("p10_normalise_requests")
+def p10(spark, sf_dir):
+    return forecast.normalise_requests(fixtures.forecast_requests(spark, sf_dir))
+
+
+@query("p11_validate_requests")
+def p11(spark, sf_dir):
+    return requests(spark, sf_dir).select(*REQ_OUT, "status", "reason")
+
+
+@query("p12_snap_horizon")
+def p12(spark, sf_dir):
+    raw = fixtures.forecast_requests(spark, sf_dir)
+    return raw.select("request_id", "horizon_weeks", pricing.snap_horizon("horizon_weeks").alias("snapped_horizon"))
+
+
+@query("p13_confidence_class")
+def p13(spark, sf_dir):
+    return forecast.spread_stats(forecast_rows(spark, sf_dir)).select("request_id", "confidence", "confidence_class")
+
+
+@query("p14_volatility_class")
+def p14(spark, sf_dir):
+    acc = forecast.accepted(requests(spark, sf_dir)).select("request_id", "crop")
+    return forecast.with_volatility_class(acc)
+
+
+@query("j4_price_anchors")
+def j4(spark, sf_dir):
+    r = requests(spark, sf_dir, towns=True).select("request_id", "market", "crop")
+    return forecast.with_price_anchors(r)
+
+
+@query("j5_market_lookup")
+def j5(spark, sf_dir):
+    r = requests(spark, sf_dir, towns=True).select("request_id", "market", "crop")
+    return forecast.with_market_info(r).drop("is_major_crop")
+
+
+@query("j6_major_crop")
+def j6(spark, sf_dir):
+    r = requests(spark, sf_dir, towns=True).select("request_id", "market", "crop")
+    return forecast.with_market_info(r).select("request_id", "market", "crop", "is_major_crop")
+
+
+@query("j8_asof_features")
+def j8(spark, sf_dir):
+    return anchored(spark, sf_dir).select("request_id", "market", "crop", "as_of", "feature_date", *ANCHOR_COLS)
+
+
+@query("j10_forecast_fallback")
+def j10(spark, sf_dir):
+    return forecast_rows(spark, sf_dir).select(*ROW_OUT, "source")
+
+
+@query("f4_forecast_dates")
+def f4(spark, sf_dir):
+    acc = forecast.accepted(requests(spark, sf_dir)).select("request_id", "as_of", "horizon_weeks")
+    return forecast.forecast_weeks(acc).select("request_id", "week", "forecast_date")
+
+
+@query("f5_seasonal_forecast")
+def f5(spark, sf_dir):
+    fi = forecast_input(spark, sf_dir).where(F.col("anchor_price").isNotNull())
+    return fi.select("request_id", "week", pricing.seasonal_factor(F.month("forecast_date")).alias("seasonal_factor"),
+                     pricing.seasonal_price("anchor_price", F.month("forecast_date")).alias("modal_price"))
+
+
+@query("f6_price_bands")
+def f6(spark, sf_dir):
+    fi = forecast_input(spark, sf_dir).where(F.col("anchor_price").isNotNull())
+    rows = forecast.model_rows(fi)
+    return rows.select(*ROW_OUT, F.col("confidence_interval.lower").alias("ci_lower"), F.col("confidence_interval.upper").alias("ci_upper"))
+
+
+@query("f7_rule_forecast")
+def f7(spark, sf_dir):
+    r = forecast.accepted(requests(spark, sf_dir, towns=True)).select(*REQ_OUT)
+    rows = forecast.rule_rows(forecast.forecast_weeks(forecast.with_price_anchors(r)))
+    return rows.select(*ROW_OUT)
+
+
+@query("f8_expected_price")
+def f8(spark, sf_dir):
+    """Rule price for every observation: crop base x state factor x season x trend."""
+    o = obs(spark, sf_dir)
+    towns = dims.market_dim(spark).select(F.col("market").alias("town"), F.col("state").alias("town_state"))
+    nat = read_table(spark, sf_dir, "nation", "n_name", "n_nationkey")
+    geo = F.broadcast(nat.select("n_name", fixtures.town_of_nation(F.col("n_nationkey"), F.col("n_name")).alias("town"))
+                      .join(F.broadcast(towns), "town", "left"))
+    j = o.join(geo, o["market"] == geo["n_name"], "left")
+    state = F.coalesce(F.col("town_state"), F.col("state"))
+    cb = F.broadcast(dims.expected_crop_base(spark).withColumnRenamed("crop", "__c"))
+    sf = F.broadcast(dims.state_factor(spark).withColumnRenamed("state", "__s"))
+    j = j.join(cb, j["crop"] == cb["__c"], "left").join(sf, state == sf["__s"], "left")
+    price = pricing.expected_price(
+        F.coalesce("base_price", F.lit(dims.EXPECTED_DEFAULT_BASE)), F.coalesce("factor", F.lit(1.0)), F.col("crop"), F.col("date")
+    )
+    return j.select(*KEYS6, state.alias("price_state"), price.alias("expected_price"))
+
+
+@query("f9_price_spread")
+def f9(spark, sf_dir):
+    w = weekly(spark, sf_dir)
+    return w.select(*SERIES_ID, pricing.price_spread("max_price", "min_price").alias("price_spread"),
+                    pricing.spread_pct("max_price", "min_price", "modal_price").alias("spread_pct"))
+
+
+@query("w10_pct_change")
+def w10(spark, sf_dir):
+    return forecast.with_pct_change(forecast_rows(spark, sf_dir)).select("request_id", "week", "price_change_pct")
+
+
+@query("a16_forecast_headline")
+def a16(spark, sf_dir):
+    return forecast.headline(forecast_rows(spark, sf_dir))
+
+
+@query("a19_spread_stats")
+def a19(spark, sf_dir):
+    return forecast.spread_stats(forecast_rows(spark, sf_dir))
+
+
+@query("a20_nested_response")
+def a20(spark, sf_dir):
+    return forecast.nest_response(forecast_rows(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -52,7 +52,7 @@ OBS = """obs AS (
  GROUP BY 1,2,3,4,5,6)"""
 
 
-def impute_cte(src: str = "obs", name: str = "imp") -> str:
+def impute_cte(src: str = "obs", name: str = "imp", zero: bool = True) -> str:
     keyed = "market IS NOT NULL AND crop IS NOT NULL AND variety IS NOT NULL"
     part = "PARTITION BY market, crop, variety"
     order = "ORDER BY date, state, district"
@@ -62,9 +62,11 @@ def impute_cte(src: str = "obs", name: str = "imp") -> str:
             f"COALESCE(last_value({c} IGNORE NULLS) OVER ({part} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),"
             f" first_value({c} IGNORE NULLS) OVER ({part} {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
         )
-        cols.append(f"COALESCE(CASE WHEN {keyed} THEN {f} ELSE {c} END, 0.0E0) AS {c}")
+        z = (lambda e: f"COALESCE({e}, 0.0E0)") if zero else (lambda e: e)
+        cols.append(f"{z(f'CASE WHEN {keyed} THEN {f} ELSE {c} END')} AS {c}")
     for c in ["arrival_qty", "acreage_estimate", "rainfall_mm", "temp_c"]:
-        cols.append(f"COALESCE(CASE WHEN {keyed} THEN COALESCE({c}, median({c}) OVER ({part})) ELSE {c} END, 0.0E0) AS {c}")
+        z = (lambda e: f"COALESCE({e}, 0.0E0)") if zero else (lambda e: e)
+        cols.append(f"{z(f'CASE WHEN {keyed} THEN COALESCE({c}, median({c}) OVER ({part})) ELSE {c} END')} AS {c}")
     for c in FLAGS:
         cols.append(f"COALESCE({c}, 0) AS {c}")
     return f"{name} AS (SELECT {', '.join(KEYS6)}, {', '.join(cols)} FROM {src})"
@@ -127,8 +129,8 @@ SERIES = "PARTITION BY market, crop ORDER BY date, variety, state, district"
 def features_cte(src: str = "wk", name: str = "ft") -> str:
     """Calendar + lags + rolling over the weekly table."""
     cal = (
-        "year(date) AS year, month(date) AS month, quarter(date) AS quarter, "
-        "weekofyear(date) AS week_of_year, isodow(date) - 1 AS day_of_week, "
+        "CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter, "
+        "CAST(weekofyear(date) AS INTEGER) AS week_of_year, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, "
         f"{harvest_case()} AS is_harvest_month, "
         "sin(2E0 * pi() * month(date) / 12.0E0) AS month_sin, cos(2E0 * pi() * month(date) / 12.0E0) AS month_cos"
     )
@@ -180,3 +182,151 @@ DAILY_CLEAN = [OBS, impute_cte(), winsor_cte()]
 WEEKLY = DAILY_CLEAN + [rollup_cte()]
 WEEKLY_FEATURES = WEEKLY + [features_cte()]
 ENCODED = WEEKLY_FEATURES + [encoders_cte()]
+
+
+# ----------------------------------------------------------------- model frame
+FEATURES30 = [
+    "arrival_qty", "acreage_estimate", "rainfall_mm", "temp_c", "govt_policy_flag", "holiday_flag",
+    "year", "month", "quarter", "week_of_year", "day_of_week", "is_harvest_month", "month_sin", "month_cos",
+    "lag_1", "arrival_lag_1", "lag_2", "arrival_lag_2", "lag_4", "arrival_lag_4", "lag_12", "arrival_lag_12",
+    "rolling_mean_4", "rolling_std_4", "arrival_rolling_mean_4", "rolling_mean_12", "rolling_std_12", "arrival_rolling_mean_12",
+    "market_encoded", "state_encoded",
+]
+
+
+def prepare_cte(src: str = "enc", name: str = "mf") -> str:
+    """Median fill per crop, zero fill, inf -> 0, drop NULL targets."""
+    cols = []
+    for c in FEATURES30:
+        e = f"COALESCE(COALESCE({c}, median({c}) OVER (PARTITION BY crop)), 0.0E0)"
+        cols.append(f"CASE WHEN isinf({e}) THEN 0.0E0 ELSE {e} END AS {c}")
+    inner = f"SELECT {', '.join(SERIES_ID_COLS)}, {', '.join(cols)}, modal_price FROM {src}"
+    return f"{name} AS (SELECT * FROM ({inner}) WHERE modal_price IS NOT NULL)"
+
+
+SERIES_ID_COLS = ["date", "market", "crop", "variety", "state", "district"]
+MODEL_FRAME = ENCODED + [prepare_cte()]
+
+
+# ----------------------------------------------------------------- requests
+def _case_sql(key: str, pairs, default: str) -> str:
+    arms = " ".join(f"WHEN {k} THEN {v}" for k, v in pairs)
+    return f"CASE {key} {arms} ELSE {default} END"
+
+
+def town_sql(key: str = "n_nationkey", name: str = "n_name") -> str:
+    towns = list(dims.MARKETS)
+    arms = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(towns))
+    return f"CASE {key} % 14 {arms} ELSE {name} END"
+
+
+def requests_raw_cte(towns: bool = False, name: str = "raw") -> str:
+    crop = _case_sql("o_orderkey % 8", [(0, "' Rice '"), (1, "'wheat'"), (2, "'MAIZE'"), (3, "'pulses'"), (4, "'cotton'"), (5, "'sugarcane'"), (6, "'soybean'")], "NULL")
+    horizon = _case_sql("o_orderkey % 6", [(0, 1), (1, 2), (2, 4), (3, 12), (4, 8)], "NULL")
+    market = town_sql() if towns else "n_name"
+    return f"""{name} AS (
+ SELECT o_orderkey AS request_id, {market} AS market, r_name AS state, {crop} AS crop,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'red' END AS variety,
+  CAST({horizon} AS INTEGER) AS horizon_weeks,
+  CASE WHEN o_orderkey % 50 = 0 THEN 'string' WHEN o_orderkey % 50 = 1 THEN '2024-13-45'
+       ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS as_of_date
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey)"""
+
+
+NORM = """nrm AS (SELECT request_id, trim(market) AS market, trim(state) AS state, lower(trim(crop)) AS crop,
+ trim(variety) AS variety, horizon_weeks, trim(as_of_date) AS as_of_date FROM raw)"""
+
+
+def validate_cte(run_date: str = "2024-10-01") -> str:
+    return f"""val0 AS (
+ SELECT request_id, market, state, COALESCE(crop, 'rice') AS crop, COALESCE(variety, 'PR 126') AS variety,
+  CAST(COALESCE(horizon_weeks, 4) AS INTEGER) AS horizon_weeks,
+  CASE WHEN as_of_date = 'string' THEN DATE '{run_date}' ELSE CAST(try_strptime(as_of_date, '%Y-%m-%d') AS DATE) END AS as_of
+ FROM nrm),
+val AS (
+ SELECT *, CASE WHEN reason0 = '' THEN NULL ELSE reason0 END AS reason,
+  CASE WHEN reason0 = '' THEN 'accepted' ELSE 'rejected' END AS status
+ FROM (SELECT v.*, concat_ws(',',
+   CASE WHEN market IS NULL OR market = '' THEN 'missing_market' END,
+   CASE WHEN state IS NULL OR state = '' THEN 'missing_state' END,
+   CASE WHEN horizon_weeks NOT IN ({', '.join(str(h) for h in dims.ALLOWED_HORIZONS)}) THEN 'bad_horizon' END,
+   CASE WHEN as_of IS NULL THEN 'bad_date' END) AS reason0 FROM val0 v)),
+acc AS (SELECT request_id, market, state, crop, variety, horizon_weeks, as_of FROM val WHERE status = 'accepted')"""
+
+
+def requests_chain(towns: bool = False) -> list[str]:
+    return [requests_raw_cte(towns), NORM, validate_cte()]
+
+
+def _values(name: str, cols: str, rows) -> str:
+    def lit(v):
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        if isinstance(v, list):
+            return "[" + ", ".join(lit(x) for x in v) + "]"
+        if isinstance(v, float):
+            return f"{v!r}E0" if "e" not in repr(v) else repr(v)
+        return str(v)
+
+    body = ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in rows)
+    return f"{name} AS (SELECT * FROM (VALUES {body}) t({cols}))"
+
+
+DIMS = [
+    _values("crop_price", "crop, base_price, volatility", [(c, float(dims.CROP_BASE_PRICE[c]), float(dims.CROP_VOLATILITY[c])) for c in dims.CROP_BASE_PRICE]),
+    _values("market_price", "market, multiplier", [(m, float(v)) for m, v in dims.MARKET_MULTIPLIER.items()]),
+    _values("serving_market", "market, base_price", [(m, float(v)) for m, v in dims.SERVING_MARKET_BASE.items()]),
+    _values("serving_crop", "crop, multiplier", [(c, float(v)) for c, v in dims.SERVING_CROP_MULTIPLIER.items()]),
+    _values("mdim", "market, market_state, region, major_crops", [(m, s, r, c) for m, (s, r, c) in dims.MARKETS.items()]),
+    _values("expected_base", "crop, base_price", [(c, float(v)) for c, v in dims.EXPECTED_CROP_BASE.items()]),
+    _values("state_factor", "state, factor", [(s, float(v)) for s, v in dims.STATE_FACTOR.items()]),
+]
+
+
+ASOF = """fl AS (
+ SELECT market, crop, date AS feature_date, modal_price, lag_1, rolling_mean_4 FROM ft
+ QUALIFY row_number() OVER (PARTITION BY market, crop, date ORDER BY variety DESC, state DESC, district DESC) = 1),
+an AS (
+ SELECT a.*, f.feature_date, f.modal_price, f.lag_1, f.rolling_mean_4
+ FROM acc a ASOF LEFT JOIN fl f ON a.market = f.market AND a.crop = f.crop AND a.as_of >= f.feature_date)"""
+
+ANCHORED = """anc AS (
+ SELECT an.*, an.modal_price AS anchor_price,
+  COALESCE(cp.base_price, 2000.0E0) * COALESCE(mp.multiplier, 1.0E0) AS rule_base_price,
+  COALESCE(cp.volatility, 0.1E0) AS volatility
+ FROM an LEFT JOIN crop_price cp ON an.crop = cp.crop LEFT JOIN market_price mp ON an.market = mp.market),
+fw AS (
+ SELECT * EXCLUDE (k), CAST(k AS INTEGER) AS week, CAST(as_of + CAST(7 * k AS INTEGER) AS DATE) AS forecast_date
+ FROM (SELECT anc.*, unnest(generate_series(1, horizon_weeks)) AS k FROM anc))"""
+
+
+def model_rows_cte(src: str = "fw", name: str = "mr") -> str:
+    season = "(1.0E0 + 0.1E0 * sin(2E0 * pi() * (month(forecast_date) - 6) / 12.0E0))"
+    p = "px"
+    return f"""{name}0 AS (SELECT *, {RH(f'greatest(1000.0E0, anchor_price * {season})')} AS px,
+  {season} AS seasonal_factor FROM {src} WHERE anchor_price IS NOT NULL),
+{name} AS (
+ SELECT request_id, week, forecast_date, horizon_weeks, seasonal_factor, {p} AS modal_price,
+  {RH(f'greatest(500.0E0, {p} - {p} * 0.15E0)')} AS min_price, {RH(f'{p} + {p} * 0.15E0')} AS max_price,
+  {RH(f'greatest(500.0E0, {p} - {p} * 0.08E0 * (horizon_weeks / 4.0E0))')} AS ci_lower,
+  {RH(f'{p} + {p} * 0.08E0 * (horizon_weeks / 4.0E0)')} AS ci_upper, 'model' AS source
+ FROM {name}0)"""
+
+
+def rule_rows_cte(src: str = "fw", name: str = "rr", where: str = "anchor_price IS NULL") -> str:
+    i = "(week - 1)"
+    b = "rule_base_price"
+    modal = f"greatest({b} * 0.5E0, {b} * (1.0E0 + {i} * 0.012E0) + sin({i} * 0.5E0) * {b} * 0.03E0 + cos({i} * 0.3E0) * {b} * 0.02E0)"
+    return f"""{name}0 AS (SELECT *, {modal} AS m FROM {src} WHERE {where}),
+{name} AS (
+ SELECT request_id, week, forecast_date, horizon_weeks, NULL::DOUBLE AS seasonal_factor, {RH('m')} AS modal_price,
+  {RH('greatest(m * 0.7E0, m - m * volatility * 0.8E0)')} AS min_price, {RH('m + m * volatility * 0.8E0')} AS max_price,
+  NULL::DOUBLE AS ci_lower, NULL::DOUBLE AS ci_upper, 'rule' AS source
+ FROM {name}0)"""
+
+
+FORECAST = (
+    requests_chain() + [ASOF.replace("fl AS", "fl AS", 1)] + [ANCHORED, model_rows_cte(), rule_rows_cte(),
+    "rows AS (SELECT * FROM mr UNION ALL SELECT * FROM rr)"]
+)
