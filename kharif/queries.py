@@ -18,6 +18,7 @@ from kharif.functions import pricing
 from kharif.functions.calendar import is_weekend
 from kharif.operators import clean, evaluate, features, forecast, quality, reports, rollup, split
 from kharif.plans import chain
+from kharif.session import cut_lineage
 from kharif.schema import FEATURE_ORDER, FLAG_COLS, MEDIAN_FILL_COLS, PRICE_COLS, REQUIRED_COLUMNS
 from kharif.sources import dims, fixtures
 from kharif.sources.tables import read_table
@@ -43,15 +44,25 @@ KEYS6 = ["date", "state", "district", "market", "crop", "variety"]
 
 
 def obs(spark, sf_dir):
+    """Lazy observation view: single-use queries keep filter / column pushdown."""
     return fixtures.observations(spark, sf_dir)
 
 
+def obs_table(spark, sf_dir):
+    """Observation view written once to the shared checkpoint folder.
+
+    Chains read it several times (series fills, quantile bounds, encoder and
+    median fits); without the cut each branch would rescan and rejoin the
+    line items."""
+    return cut_lineage(fixtures.observations(spark, sf_dir))
+
+
 def daily_clean(spark, sf_dir):
-    return chain.clean_daily(obs(spark, sf_dir))
+    return chain.clean_daily(obs_table(spark, sf_dir))
 
 
 def weekly(spark, sf_dir):
-    return chain.weekly_table(obs(spark, sf_dir))
+    return chain.weekly_table(obs_table(spark, sf_dir))
 
 
 def weekly_features(spark, sf_dir):
@@ -330,8 +341,11 @@ def j3(spark, sf_dir):
 
 
 def model_frame(spark, sf_dir):
-    """Keys + prepared feature columns (without one-hot) + target."""
-    ft = chain.encode(weekly_features(spark, sf_dir), vocabulary=[])
+    """Keys + prepared feature columns (without one-hot) + target.
+
+    The weekly feature table is written once; encoder, median and scaler
+    fits are then small aggregates over it."""
+    ft = chain.encode(cut_lineage(weekly_features(spark, sf_dir)), vocabulary=[])
     cols = features.feature_columns(ft)
     return chain.prepare_training(ft.select(*SERIES_ID, *cols, "modal_price"), cols), cols
 

@@ -69,7 +69,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared folder, survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet below the shared checkpoint folder and
+    read it back.
+
+    The lineage ends at the written table, so a lost executor re-reads files
+    instead of recomputing upstream joins, and later branches (fits, bounds,
+    medians) scan a small columnar table with column pruning.  Unlike an
+    unpersisted ``checkpoint()``, the input is computed only once.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

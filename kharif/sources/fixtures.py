@@ -42,17 +42,6 @@ def _case(key: Column, pairs, default) -> Column:
     return expr.otherwise(F.lit(default) if not isinstance(default, Column) else default)
 
 
-def supplier_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier -> (state, market); nation and region are fixed-size."""
-    supp = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
-    nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
-    region = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
-    geo = F.broadcast(nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey))
-    return supp.join(geo, supp.s_nationkey == geo.n_nationkey).select(
-        "s_suppkey", F.col("r_name").alias("state"), F.col("n_name").alias("market")
-    )
-
-
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily observations, one row per (date, state, district, market, crop, variety)."""
     li = read_table(
@@ -61,9 +50,21 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate",
     )
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size")
-    geo = supplier_geo(spark, sf_dir)
+    supp = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
+    nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+    region = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
 
-    joined = li.join(part, li.l_partkey == part.p_partkey).join(geo, li.l_suppkey == geo.s_suppkey)
+    # Each dimension joins the line-item stream directly, so Catalyst sizes
+    # supplier and part from their files (broadcast below the threshold,
+    # sort-merge with AQE skew splitting above); nation and region are fixed.
+    joined = (
+        li.join(supp, li.l_suppkey == supp.s_suppkey)
+        .join(F.broadcast(nation), F.col("s_nationkey") == nation.n_nationkey)
+        .join(F.broadcast(region), F.col("n_regionkey") == region.r_regionkey)
+        .join(part, li.l_partkey == part.p_partkey)
+        .withColumnRenamed("r_name", "state")
+        .withColumnRenamed("n_name", "market")
+    )
 
     price_hole = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 10 == 0
     arrival_hole = (F.col("l_orderkey") + F.col("l_linenumber")) % 11 == 0
@@ -116,8 +117,11 @@ def forecast_requests(spark: SparkSession, sf_dir: str, towns: bool = False) ->
     cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
-    geo = F.broadcast(nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey))
-    j = orders.join(cust, orders.o_custkey == cust.c_custkey).join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
+    j = (
+        orders.join(cust, orders.o_custkey == cust.c_custkey)
+        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    )
     key = F.col("o_orderkey")
     market = town_of_nation(F.col("n_nationkey"), F.col("n_name")) if towns else F.col("n_name")
     return j.select(
