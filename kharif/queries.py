@@ -18,7 +18,10 @@ from kharif.functions import pricing
 from kharif.functions.calendar import is_weekend
 from kharif.operators import clean, evaluate, features, forecast, quality, reports, rollup, split
 from kharif.plans import chain
-from kharif.session import cut_lineage
+from kharif.session import cut_lineage, shared_path
+from kharif.plans import jobs, model
+from kharif.sources import io
+from kharif.streaming import scoring
 from kharif.schema import FEATURE_ORDER, FLAG_COLS, MEDIAN_FILL_COLS, PRICE_COLS, REQUIRED_COLUMNS
 from kharif.sources import dims, fixtures
 from kharif.sources.tables import read_table
@@ -605,5 +608,184 @@ def a20(spark, sf_dir):
     return forecast.nest_response(forecast_rows(spark, sf_dir))
 
 
+# ------------------------------------------------------------------ models (Spark ML)
+QUERY_GBT = model.GBTParams(max_iter=10, max_depth=4, seed=42)
+
+
+def trained(spark, sf_dir):
+    return jobs.training_job(obs(spark, sf_dir), QUERY_GBT)
+
+
+@query("m3_gbt_train")
+def m3(spark, sf_dir):
+    """GBT trained on the temporal train split (early stopping on the last
+    10% of the train range), scored on the test rows."""
+    r = trained(spark, sf_dir)
+    return r.test_scored.select(*SERIES_ID, "modal_price", "prediction")
+
+
+@query("m4_batch_scoring")
+def m4(spark, sf_dir):
+    r = trained(spark, sf_dir)
+    return model.score(r.model, r.frame).select(*SERIES_ID, "split", "prediction")
+
+
+def horizon_frames(spark, sf_dir):
+    r_obs = cut_lineage(obs(spark, sf_dir), "observations")
+    mf, cols = jobs.prepare_model_frame(r_obs)
+    long = split.horizon_targets(mf)
+    long = cut_lineage(split.temporal_split(long), "horizon-frame")
+    return long, cols
+
+
+@query("m5_multi_horizon")
+def m5(spark, sf_dir):
+    """One model per horizon (1, 2, 4, 12 weeks) on the lead-h target."""
+    long, cols = horizon_frames(spark, sf_dir)
+    models = model.train_multi_horizon(long.where(F.col("split") == "train"), cols, (1, 2, 4, 12), QUERY_GBT)
+    rows = [(h, m.model.stages[-1].getNumTrees, len(m.feature_columns)) for h, m in sorted(models.items())]
+    counts = long.where(F.col("split") == "train").groupBy("horizon").agg(F.count(F.lit(1)).alias("train_rows"))
+    info = spark.createDataFrame(rows, "horizon int, trees int, features int")
+    return info.join(counts, "horizon")
+
+
+@query("m6_horizon_evaluation")
+def m6(spark, sf_dir):
+    long, cols = horizon_frames(spark, sf_dir)
+    models = model.train_multi_horizon(long.where(F.col("split") == "train"), cols, (1, 2, 4, 12), QUERY_GBT)
+    return model.evaluate_horizons(models, long.where(F.col("split") == "test"))
+
+
+@query("m7_cross_validation")
+def m7(spark, sf_dir):
+    """Expanding-window CV (5 folds) over the model frame."""
+    r_obs = cut_lineage(obs(spark, sf_dir), "observations")
+    mf, cols = jobs.prepare_model_frame(r_obs)
+    idx = split.with_row_index(mf, ("date", "market", "variety", "state", "district"))
+    folds = cut_lineage(split.expanding_folds(idx, 5), "folds")
+    return model.cross_validate(folds, cols, params=QUERY_GBT)
+
+
+@query("m8_feature_importance")
+def m8(spark, sf_dir):
+    return model.feature_importance(trained(spark, sf_dir).model, spark)
+
+
+@query("o2_top_importance")
+def o2(spark, sf_dir):
+    return model.top_n(model.feature_importance(trained(spark, sf_dir).model, spark), 15)
+
+
+@query("m9_permutation_importance")
+def m9(spark, sf_dir):
+    """RMSE increase per permuted feature on the test rows."""
+    r = trained(spark, sf_dir)
+    test = r.frame.where(F.col("split") == "test")
+    idx = split.with_row_index(test, ("crop", "date", "market", "variety", "state", "district"), group_keys=())
+    n = idx.count()
+    return model.permutation_importance(r.model, idx, n)
+
+
+@query("m11_retrain_job")
+def m11(spark, sf_dir):
+    """Retrain from the tables, save the model with metadata, report."""
+    r = trained(spark, sf_dir)
+    path = shared_path(spark, "model")
+    model.save_model(r.model, path)
+    meta = model.read_metadata(spark, path)
+    return r.metrics.crossJoin(meta.select("model_type", "feature_count"))
+
+
+@query("m12_forecast_job")
+def m12(spark, sf_dir):
+    """Requests -> as-of features -> GBT anchor -> weekly rows with bands."""
+    r = trained(spark, sf_dir)
+    raw = fixtures.forecast_requests(spark, sf_dir)
+    rows, _, _ = jobs.forecast_job(raw, r.frame, r.model, RUN_DATE)
+    return rows.select(*ROW_OUT, "source")
+
+
+@query("s6_model_save_load")
+def s6(spark, sf_dir):
+    """Saved and reloaded model score the test rows identically."""
+    r = trained(spark, sf_dir)
+    path = shared_path(spark, "model")
+    model.save_model(r.model, path)
+    loaded = model.load_model(spark, path)
+    test = r.frame.where(F.col("split") == "test")
+    a = model.score(r.model, test).select(*SERIES_ID, F.col("prediction").alias("prediction_saved"))
+    b = model.score(loaded, test).select(*SERIES_ID, F.col("prediction").alias("prediction_loaded"))
+    return a.join(b, SERIES_ID)
+
+
+@query("s7_model_metadata")
+def s7(spark, sf_dir):
+    r = trained(spark, sf_dir)
+    path = shared_path(spark, "model")
+    model.save_model(r.model, path)
+    return model.metadata_features(model.read_metadata(spark, path))
+
+
+@query("s8_run_summary")
+def s8(spark, sf_dir):
+    """Records per stage of the training run (no model needed)."""
+    o = cut_lineage(obs(spark, sf_dir), "observations")
+    mf, _ = jobs.prepare_model_frame(o)
+    framed = split.temporal_split(mf)
+    return jobs.run_summary(o, mf, framed)
+
+
+# ------------------------------------------------------------------ files / wire formats / stream
+@query("s4_write_csv")
+def s4(spark, sf_dir):
+    """Weekly table written as CSV and read back with the fixed schema."""
+    path = shared_path(spark, "weekly-csv")
+    io.write_csv(weekly(spark, sf_dir), path)
+    schema = "date date, market string, crop string, variety string, state string, district string, " \
+        "min_price double, max_price double, modal_price double, arrival_qty double, acreage_estimate double, " \
+        "rainfall_mm double, temp_c double, govt_policy_flag int, holiday_flag int"
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+@query("s1_csv_roundtrip")
+def s1_csv(spark, sf_dir):
+    """Observation CSV written, then loaded with the contract reader (S1 + S2)."""
+    path = shared_path(spark, "observations-csv")
+    io.write_csv(obs(spark, sf_dir), path)
+    return io.load_observations(spark, path)
+
+
+@query("s5_export_forecasts")
+def s5(spark, sf_dir):
+    """Forecast rows exported as CSV (flat) and read back."""
+    path = shared_path(spark, "forecast-csv")
+    rows = forecast_rows(spark, sf_dir).select(*ROW_OUT, "confidence_interval", "source")
+    io.export_forecasts(rows, path, "csv")
+    schema = "request_id bigint, week int, forecast_date date, modal_price double, min_price double, " \
+        "max_price double, source string, ci_lower double, ci_upper double"
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+@query("s9_request_json")
+def s9(spark, sf_dir):
+    """Requests serialised to JSON documents and parsed back into typed rows."""
+    raw = fixtures.forecast_requests(spark, sf_dir)
+    return io.parse_requests(io.requests_to_json(raw))
+
+
+@query("r1_stream_scoring")
+def r1(spark, sf_dir):
+    """Requests streamed from files, scored against the static as-of anchors."""
+    src = shared_path(spark, "request-stream")
+    raw = fixtures.forecast_requests(spark, sf_dir)
+    raw.repartition(4, "request_id").write.parquet(src)
+    feats = weekly_features(spark, sf_dir)
+    anchors = forecast.last_per_date(feats, ["market", "crop"], "date", ["modal_price"], ["variety", "state", "district"])
+    anchors = cut_lineage(anchors.select("market", "crop", F.col("date").alias("feature_date"), F.col("modal_price").alias("anchor_price")), "anchors")
+    out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ckpt")
+    scoring.run_to_table(scoring.score_stream(scoring.request_stream(spark, src), anchors, RUN_DATE), out, ck)
+    return spark.read.parquet(out)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
