@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kharif.functions.numeric import is_infinite
+from kharif.session import fitted
 from kharif.schema import (
     FLAG_COLS,
     IMPUTE_KEYS,
@@ -36,12 +37,17 @@ def _attach(df: DataFrame, stats: DataFrame, group_keys: Sequence[str]) -> DataF
     """Attach per-group statistics to every row.
 
     Without keys ``stats`` is a single row, so a broadcast cross join is
-    bounded.  With keys the join is null-safe (a NULL key is its own group)
-    and its strategy is left to Catalyst and AQE.
+    bounded.  With keys the statistics are fitted first (one action): up to
+    ``FIT_MAX_ROWS`` rows they come back as a local table and are broadcast,
+    which also keeps the big side's partitioning; beyond that they are
+    written to the shared folder and Catalyst / AQE choose the join.  The
+    join is null-safe (a NULL key is its own group).
     """
+    s, small = (stats, True) if stats.isStreaming else fitted(stats)
     if not group_keys:
-        return df.crossJoin(F.broadcast(stats))
-    s = stats
+        return df.crossJoin(F.broadcast(s))
+    if small:
+        s = F.broadcast(s)
     for k in group_keys:
         s = s.withColumnRenamed(k, f"__g_{k}")
     cond = None
@@ -91,12 +97,16 @@ def impute(
         keyed = keyed & F.col(k).isNotNull()
     ordered = Window.partitionBy(*series_keys).orderBy(*order)
     fwd = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bwd = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # After the forward fill only rows before the series' first value are
+    # still NULL, and their back fill is exactly that first value: a
+    # whole-series frame (computed once per series, O(n)) replaces the
+    # current..unbounded-following frame that Spark re-evaluates per row.
+    series = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     whole = Window.partitionBy(*series_keys)
 
     fills: dict[str, Column] = {}
     for c in price_cols:
-        filled = F.coalesce(F.last(c, ignorenulls=True).over(fwd), F.first(c, ignorenulls=True).over(bwd))
+        filled = F.coalesce(F.last(c, ignorenulls=True).over(fwd), F.first(c, ignorenulls=True).over(series))
         fills[c] = F.when(keyed, filled).otherwise(F.col(c))
     for c in median_cols:
         fills[c] = F.when(keyed, F.coalesce(F.col(c), F.median(c).over(whole))).otherwise(F.col(c))
@@ -252,6 +262,6 @@ def frequency_encode(df: DataFrame, col: str, table: DataFrame | None = None, ou
     """Replace ``col`` by its frequency share; unseen or NULL -> 0."""
     t = frequency_table(df, col) if table is None else table
     out = out or col
-    t = t.withColumnRenamed("value", "__fv").withColumnRenamed("frequency", "__freq")
-    j = df.join(t, df[col] == t["__fv"], "left")
+    t, small = fitted(t.withColumnRenamed("value", "__fv").withColumnRenamed("frequency", "__freq"))
+    j = df.join(F.broadcast(t) if small else t, df[col] == t["__fv"], "left")
     return j.withColumn(out, F.coalesce(F.col("__freq"), F.lit(0.0))).drop("__fv", "__freq")

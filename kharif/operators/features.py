@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kharif.functions.calendar import calendar_columns, month_cos, month_sin
 from kharif.operators.clean import NUMERIC_TYPES, _attach
+from kharif.session import fitted
 from kharif.schema import FEATURE_KEYS, FEATURE_ORDER, TARGET
 from kharif.sources import dims
 
@@ -129,13 +130,14 @@ def apply_target_encoder(
 ) -> DataFrame:
     """Left join the codes; unseen or NULL category -> the group prior."""
     out = out or f"{col}_encoded"
-    codes = encoder.select(*[F.col(k).alias(f"__k_{k}") for k in group_keys], F.col("category").alias("__cat"), F.col("code").alias("__code"))
-    priors = encoder.select(*group_keys, "prior").dropDuplicates(list(group_keys)) if group_keys else encoder.select("prior").limit(1)
+    enc, small = fitted(encoder)
+    codes = enc.select(*[F.col(k).alias(f"__k_{k}") for k in group_keys], F.col("category").alias("__cat"), F.col("code").alias("__code"))
+    priors = enc.select(*group_keys, "prior").dropDuplicates(list(group_keys)) if group_keys else enc.select("prior").limit(1)
     priors = priors.withColumnRenamed("prior", "__prior")
     cond = df[col] == codes["__cat"]
     for k in group_keys:
         cond = cond & df[k].eqNullSafe(codes[f"__k_{k}"])
-    j = df.join(codes, cond, "left").drop(*[f"__k_{k}" for k in group_keys], "__cat")
+    j = df.join(F.broadcast(codes) if small else codes, cond, "left").drop(*[f"__k_{k}" for k in group_keys], "__cat")
     j = _attach(j, priors, group_keys)
     return j.withColumn(out, F.coalesce(F.col("__code"), F.col("__prior"))).drop("__code", "__prior")
 

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kharif.schema import FEATURE_KEYS, FEATURE_ORDER, TARGET
-from kharif.session import cut_lineage
+from kharif.operators.clean import _attach
+from kharif.session import cut_lineage, fitted
 
 HORIZONS = (1, 2, 4, 12)
 LOW_BITS = (1 << 33) - 1
@@ -45,7 +46,8 @@ def with_row_index(
         ).alias("__off"),
     )
     g = tagged.join(F.broadcast(offsets), pid == F.col("__pid")).withColumn("__gidx", F.col("__off") + pos)
-    firsts = g.groupBy(*group_keys).agg(F.min("__gidx").alias("__first"), F.count(F.lit(1)).alias("group_rows"))
+    firsts, small = fitted(g.groupBy(*group_keys).agg(F.min("__gidx").alias("__first"), F.count(F.lit(1)).alias("group_rows")))
+    firsts = F.broadcast(firsts) if small else firsts
     cond = None
     fk = firsts
     for k in group_keys:
@@ -80,7 +82,7 @@ def temporal_split(
     if cutoff_date is not None:
         return df.withColumn("split", F.when(F.col("date") <= F.to_date(F.lit(cutoff_date)), "train").otherwise("test"))
     cuts = df.groupBy(*group_keys).agg(F.percentile(day, train_fraction).alias("cutoff_day"))
-    j = df.join(cuts, list(group_keys), "left")
+    j = _attach(df, cuts, group_keys)
     return j.withColumn("split", F.when(day <= F.col("cutoff_day"), "train").otherwise("test"))
 
 
@@ -117,8 +119,8 @@ def horizon_targets(
     long = leads.select(*df.columns, F.explode(arr).alias("__h")).select(*df.columns, "__h.*")
     long = long.where(F.col("target_future").isNotNull())
     counts = long.groupBy(*count_keys, "horizon").agg(F.count(F.lit(1)).alias("__n"))
-    keep = counts.where(F.col("__n") >= min_rows).drop("__n")
-    return long.join(keep, [*count_keys, "horizon"], "left_semi")
+    keep, small = fitted(counts.where(F.col("__n") >= min_rows).drop("__n"))
+    return long.join(F.broadcast(keep) if small else keep, [*count_keys, "horizon"], "left_semi")
 
 
 # --------------------------------------------------------------------------- W8

@@ -31,7 +31,12 @@ def clean_daily(obs: DataFrame, group_keys: Sequence[str] = CROP_GROUP, approx_b
 
 
 def weekly_table(obs: DataFrame, freq: str = "weekly", group_keys: Sequence[str] = CROP_GROUP) -> DataFrame:
-    return rollup.rollup(clean_daily(obs, group_keys), freq)
+    """Clean and roll up.  One hash exchange on (market, crop) serves the
+    series fills (market, crop, variety), the roll-up groups and the later
+    lag / rolling windows (market, crop): every one of them is clustered by a
+    superset of those keys, so Catalyst adds no further shuffle."""
+    clustered = obs.repartition(*FEATURE_KEYS)
+    return rollup.rollup(clean_daily(clustered, group_keys), freq)
 
 
 def series_features(periodic: DataFrame) -> DataFrame:

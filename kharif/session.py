@@ -82,3 +82,21 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+FIT_MAX_ROWS = 100_000
+
+
+def fitted(df: DataFrame, max_rows: int = FIT_MAX_ROWS, name: str = "fitted") -> tuple[DataFrame, bool]:
+    """Materialise fitted statistics (medians, bounds, encoder codes...).
+
+    Returns ``(table, small)``.  At most ``max_rows`` rows come back to the
+    driver and are rebuilt as a local relation whose size is known, so the
+    caller may broadcast it.  A larger table is written to the shared folder
+    instead and joined by whatever strategy Catalyst / AQE pick.
+    """
+    spark = df.sparkSession
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return spark.createDataFrame(rows, df.schema), True
+    return cut_lineage(df, name), False

@@ -263,6 +263,18 @@ SQL["a16_forecast_headline"] = chain(*_FC, "x AS (SELECT *, max(modal_price) OVE
     "min(week) FILTER (WHERE modal_price = mx) AS peak_week, min(week) FILTER (WHERE modal_price = mn) AS trough_week FROM x GROUP BY request_id)") + \
     f"\nSELECT request_id, {R('f', 'first_price')}, {R('l', 'last_price')}, {R('m', 'mean_price')}, {R('s', 'std_price')}, peak_week, trough_week, {R('(l - f) / f * 100.0E0', 'total_change_pct')} FROM h"
 
+SQL["s4_write_csv"] = SQL["a1_weekly_rollup"]
+SQL["s1_csv_roundtrip"] = SQL["s1_load_observations"]
+SQL["s5_export_forecasts"] = chain(*_FC) + "\nSELECT " + present(_ROW, _ROWD) + ", source, " + R("ci_lower", "ci_lower") + ", " + R("ci_upper", "ci_upper") + " FROM rows"
+SQL["r1_stream_scoring"] = SQL["s5_export_forecasts"]
+SQL["s9_request_json"] = chain(requests_chain()[0]) + "\nSELECT * FROM raw"
+SQL["s8_run_summary"] = chain(*MODEL_FRAME, "c AS (SELECT crop, quantile_cont(date - DATE '1970-01-01', 0.8E0) AS cut FROM mf GROUP BY crop)",
+    "sp AS (SELECT CASE WHEN (m.date - DATE '1970-01-01') <= c.cut THEN 'train' ELSE 'test' END AS split FROM mf m LEFT JOIN c ON m.crop = c.crop)") + """
+SELECT 'original_records' AS stage, count(*) AS records FROM obs
+UNION ALL SELECT 'processed_records', count(*) FROM mf
+UNION ALL SELECT 'train_samples', count(*) FILTER (WHERE split = 'train') FROM sp
+UNION ALL SELECT 'test_samples', count(*) FILTER (WHERE split = 'test') FROM sp"""
+
 SQL = {k: v for k, v in SQL.items() if v is not None}
 
 def oracle_sql() -> dict[str, str]:
