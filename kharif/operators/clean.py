@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kharif.functions.numeric import is_infinite
+from kharif.operators.quantiles import group_medians, group_quantiles
 from kharif.session import fitted
 from kharif.schema import (
     FLAG_COLS,
@@ -145,24 +146,24 @@ def outlier_bounds(
     k: float = 1.5,
     approx: bool = False,
     accuracy: int = 100000,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Per column: q_lo - k*(q_hi-q_lo) and q_hi + k*(q_hi-q_lo).
 
-    Exact interpolated quantiles by default (``percentile`` keeps a value ->
-    count map per group).  ``approx=True`` switches to ``percentile_approx``
-    for groups too large for that map.
+    Exact interpolated quantiles by default (``group_quantiles``: map-based
+    for ordinary groups, distributed sort for huge ones); ``approx=True``
+    switches to ``percentile_approx``.
     """
-    aggs = []
-    for c in cols:
-        if approx:
-            q = F.percentile_approx(F.col(c), [lower_q, upper_q], accuracy)
-        else:
-            q = F.percentile(F.col(c), [lower_q, upper_q])
-        aggs.append(q.alias(f"__q_{c}"))
-    stats = df.groupBy(*group_keys).agg(*aggs)
+    if approx:
+        aggs = [F.percentile_approx(F.col(c), [lower_q, upper_q], accuracy).alias(f"__a_{c}") for c in cols]
+        stats = df.groupBy(*group_keys).agg(*aggs).select(
+            *group_keys, *[F.col(f"__a_{c}")[i].alias(f"__q{i}_{c}") for c in cols for i in (0, 1)]
+        )
+    else:
+        stats = group_quantiles(df, cols, [lower_q, upper_q], group_keys, sizes)
     out = [F.col(k_) for k_ in group_keys]
     for c in cols:
-        lo, hi = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]
+        lo, hi = F.col(f"__q0_{c}"), F.col(f"__q1_{c}")
         iqr = hi - lo
         out += [(lo - k * iqr).alias(f"{c}_lower"), (hi + k * iqr).alias(f"{c}_upper")]
     return stats.select(*out)
@@ -212,8 +213,9 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # --------------------------------------------------------------------------- P8
 def column_medians(df: DataFrame, cols: Sequence[str], group_keys: Sequence[str] = ()) -> DataFrame:
-    """Interpolated median of every column in one aggregate."""
-    return df.groupBy(*group_keys).agg(*[F.median(c).alias(f"__med_{c}") for c in cols])
+    """Interpolated median of every column per group (one aggregate for
+    ordinary groups; huge groups take the distributed sort path)."""
+    return group_medians(df, cols, group_keys)
 
 
 def fill_median(

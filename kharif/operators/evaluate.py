@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kharif.functions.pricing import residual
+from kharif.operators.quantiles import group_quantiles
 from kharif.schema import FEATURE_KEYS, FEATURE_ORDER, TARGET
 
 EPS = sys.float_info.epsilon  # MAPE denominator floor, as in scikit-learn
@@ -89,7 +90,9 @@ def metric_spread(
     metrics: DataFrame, metric: str = "rmse", group_keys: Sequence[str] = ("horizon",)
 ) -> DataFrame:
     """Five-number summary of a metric across series / folds per group."""
-    q = F.percentile(F.col(metric), [0.0, 0.25, 0.5, 0.75, 1.0])
-    out = metrics.groupBy(*group_keys).agg(q.alias("__q"), F.count(F.lit(1)).alias("members"))
     names = ["min", "q1", "median", "q3", "max"]
-    return out.select(*group_keys, "members", *[F.col("__q")[i].alias(f"{metric}_{n}") for i, n in enumerate(names)])
+    q = group_quantiles(metrics, [metric], [0.0, 0.25, 0.5, 0.75, 1.0], group_keys)
+    members = metrics.groupBy(*group_keys).agg(F.count(F.lit(1)).alias("members"))
+    return members.join(q, list(group_keys)).select(
+        *group_keys, "members", *[F.col(f"__q{i}_{metric}").alias(f"{metric}_{n}") for i, n in enumerate(names)]
+    )

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kharif.operators.quantiles import group_medians
 from kharif.schema import CRITICAL_COLUMNS, REQUIRED_COLUMNS, TARGET
 
 
@@ -56,10 +57,12 @@ def quality_profile(df: DataFrame, price: str = TARGET) -> DataFrame:
         F.min(price).alias("min_price"),
         F.max(price).alias("max_price"),
         F.avg(price).alias("mean_price"),
-        F.median(price).alias("median_price"),
     ]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in df.columns]
-    return df.agg(*aggs)
+    med = group_medians(df, [price]).select(F.col(f"__med_{price}").alias("median_price"))
+    out = df.agg(*aggs).crossJoin(med)
+    first = ["total_records", "start_date", "end_date", "markets", "crops", "states", "min_price", "max_price", "mean_price", "median_price"]
+    return out.select(*first, *[c for c in out.columns if c not in first])
 
 
 # --------------------------------------------------------------------------- A6

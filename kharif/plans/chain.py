@@ -27,7 +27,9 @@ def clean_daily(obs: DataFrame, group_keys: Sequence[str] = CROP_GROUP, approx_b
     median windows; one exchange.
     """
     imputed = clean.impute(obs)
-    return clean.winsorize(imputed, group_keys=group_keys, approx=approx_bounds)
+    # Imputation keeps every row, so group sizes come from the cheaper input.
+    sizes = obs.groupBy(*group_keys).agg(F.count(F.lit(1)).alias("count"))
+    return clean.winsorize(imputed, group_keys=group_keys, approx=approx_bounds, sizes=sizes)
 
 
 def weekly_table(obs: DataFrame, freq: str = "weekly", group_keys: Sequence[str] = CROP_GROUP) -> DataFrame:
