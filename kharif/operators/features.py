@@ -111,13 +111,15 @@ def fit_target_encoder(
     code = prior * (1 - w) + mean * w.  One row per (group, category) plus the
     group's prior, so unseen categories can fall back to it.
     """
-    prior = df.groupBy(*group_keys).agg(F.avg(target).alias("prior"))
-    stats = (
-        df.where(F.col(col).isNotNull() & F.col(target).isNotNull())
-        .groupBy(*group_keys, col)
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("mean"))
+    # One aggregate: per (group, category) count and mean of the target; the
+    # group prior is rebuilt from the same partial sums (NULL categories
+    # count towards the prior only), so the fit is a single job.
+    stats = df.where(F.col(target).isNotNull()).groupBy(*group_keys, col).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(target).alias("__sum"), F.avg(target).alias("mean")
     )
-    s = _attach(stats, prior, group_keys)
+    s, small = fitted(stats)
+    w = Window.partitionBy(*group_keys) if group_keys else Window.partitionBy(F.lit(0))
+    s = s.withColumn("prior", F.sum("__sum").over(w) / F.sum("n").over(w)).where(F.col(col).isNotNull())
     weight = 1.0 / (1.0 + F.exp(-(F.col("n") - min_samples_leaf) / smoothing))
     return s.select(
         *group_keys, F.col(col).alias("category"), "n", "prior",

@@ -96,7 +96,9 @@ def fitted(df: DataFrame, max_rows: int = FIT_MAX_ROWS, name: str = "fitted") ->
     instead and joined by whatever strategy Catalyst / AQE pick.
     """
     spark = df.sparkSession
-    rows = df.limit(max_rows + 1).collect()
+    # coalesce(1) after the limit makes this one job (a bare limit-collect
+    # scans partitions incrementally, one job per round).
+    rows = df.limit(max_rows + 1).coalesce(1).collect()
     if len(rows) <= max_rows:
         return spark.createDataFrame(rows, df.schema), True
     return cut_lineage(df, name), False

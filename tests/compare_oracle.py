@@ -20,6 +20,10 @@ from kharif.session import build_session  # noqa: E402
 from kharif.sources.tables import TABLES  # noqa: E402
 
 
+TYPE_NAMES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+              "DateType()": "DATE", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT"}
+
+
 def norm(v):
     if v is None:
         return None
@@ -78,6 +82,11 @@ def main():
             bad += 1
             continue
         schema_ok = sorted(scols) == sorted(ocols)
+        smap = {f.name: TYPE_NAMES.get(repr(f.dataType), repr(f.dataType)) for f in sdf.schema.fields}
+        omap = {c: str(t) for c, t in zip(ocols, rel.types)}
+        tdiff = {c: (smap[c], omap.get(c)) for c in smap if smap[c] != omap.get(c)}
+        if tdiff:
+            print(f"    type differences: {tdiff}")
         a, b = rows_of(scols, srows), rows_of(ocols, orows)
         same = a == b
         diff = ""
