@@ -205,44 +205,46 @@ def forecast_weeks(df: DataFrame) -> DataFrame:
     )
 
 
-def model_rows(df: DataFrame, anchor: str = "anchor_price") -> DataFrame:
+def _model_exprs(anchor: str) -> dict:
     """Weekly price from the anchor with the seasonal factor of the forecast
     month, price band and confidence interval."""
     price = pricing.seasonal_price(F.col(anchor), F.month("forecast_date"))
-    out = df.withColumn("modal_price", price)
-    lo, hi = pricing.price_band(F.col("modal_price"))
-    return out.withColumns(
-        {
-            "min_price": lo,
-            "max_price": hi,
-            "confidence_interval": pricing.confidence_interval(F.col("modal_price"), F.col("horizon_weeks")),
-        }
-    )
+    lo, hi = pricing.price_band(price)
+    return {
+        "modal_price": price, "min_price": lo, "max_price": hi,
+        "confidence_interval": pricing.confidence_interval(price, F.col("horizon_weeks")),
+    }
+
+
+def _rule_exprs() -> dict:
+    """Rule-based forecast (needs ``rule_base_price`` and ``volatility``)."""
+    modal = pricing.rule_step_price(F.col("rule_base_price"), F.col("week") - 1)
+    lo, hi = pricing.rule_band(modal, F.col("volatility"))
+    return {
+        "modal_price": round_half_up(modal, 2), "min_price": round_half_up(lo, 2), "max_price": round_half_up(hi, 2),
+        "confidence_interval": F.lit(None).cast("struct<lower:double,upper:double>"),
+    }
+
+
+def model_rows(df: DataFrame, anchor: str = "anchor_price") -> DataFrame:
+    return df.withColumns(_model_exprs(anchor))
 
 
 # --------------------------------------------------------------------------- F7
 def rule_rows(df: DataFrame) -> DataFrame:
-    """Rule-based forecast rows (needs ``rule_base_price`` and ``volatility``)."""
-    step = F.col("week") - 1
-    modal = pricing.rule_step_price(F.col("rule_base_price"), step)
-    lo, hi = pricing.rule_band(modal, F.col("volatility"))
-    return df.withColumns(
-        {
-            "modal_price": round_half_up(modal, 2),
-            "min_price": round_half_up(lo, 2),
-            "max_price": round_half_up(hi, 2),
-            "confidence_interval": F.lit(None).cast("struct<lower:double,upper:double>"),
-        }
-    )
+    return df.withColumns(_rule_exprs())
 
 
 # -------------------------------------------------------------------------- J10
 def with_fallback(df: DataFrame, anchor: str = "anchor_price") -> DataFrame:
     """Rows with a model anchor use it; the others get the rule forecast,
-    flagged in ``source``."""
-    m = model_rows(df.where(F.col(anchor).isNotNull())).withColumn("source", F.lit("model"))
-    r = rule_rows(df.where(F.col(anchor).isNull())).withColumn("source", F.lit("rule"))
-    return m.unionByName(r)
+    flagged in ``source``.  One projection with per-row conditionals, so the
+    upstream plan (requests, as-of join) runs once."""
+    has = F.col(anchor).isNotNull()
+    m, r = _model_exprs(anchor), _rule_exprs()
+    cols = {k: F.when(has, m[k]).otherwise(r[k]) for k in m}
+    cols["source"] = F.when(has, F.lit("model")).otherwise(F.lit("rule"))
+    return df.withColumns(cols)
 
 
 # -------------------------------------------------------------------------- W10
