@@ -226,8 +226,15 @@ def fill_median(
 ) -> DataFrame:
     """NULL -> column median (of the fit frame when ``medians`` is given)."""
     cols = numeric_columns(df, exclude=group_keys) if cols is None else list(cols)
-    m = column_medians(df, cols, group_keys) if medians is None else medians
-    j = _attach(df, m, group_keys)
+    if medians is None:
+        # Like the reference, only columns that have NULLs are filled: one
+        # cheap count pass spares the median of every complete column.
+        counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+        cols = [c for c in cols if counts[c] > 0]
+        if not cols:
+            return df
+        medians = column_medians(df, cols, group_keys)
+    j = _attach(df, medians, group_keys)
     return j.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in cols}).drop(
         *[f"__med_{c}" for c in cols]
     )

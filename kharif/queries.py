@@ -165,7 +165,7 @@ def s3(spark, sf_dir):
 
 @query("a5_quality_profile")
 def a5(spark, sf_dir):
-    return quality.quality_profile(obs(spark, sf_dir))
+    return quality.quality_profile(obs_table(spark, sf_dir))
 
 
 @query("a6_load_profile")
@@ -243,7 +243,7 @@ def o3(spark, sf_dir):
 
 @query("a14_price_by_date")
 def a14a(spark, sf_dir):
-    return reports.price_by_date_for_sample(obs(spark, sf_dir))
+    return reports.price_by_date_for_sample(obs_table(spark, sf_dir))
 
 
 @query("a14_price_by_month")
@@ -258,7 +258,7 @@ def a14c(spark, sf_dir):
 
 @query("a15_price_histogram")
 def a15(spark, sf_dir):
-    return reports.histogram(obs(spark, sf_dir))
+    return reports.histogram(obs_table(spark, sf_dir))
 
 
 @query("a17_crop_comparison")
@@ -334,12 +334,12 @@ def m1(spark, sf_dir):
 
 @query("a9_frequency_table")
 def a9(spark, sf_dir):
-    return clean.frequency_table(obs(spark, sf_dir), "variety")
+    return clean.frequency_table(obs_table(spark, sf_dir), "variety")
 
 
 @query("j3_frequency_encode")
 def j3(spark, sf_dir):
-    o = obs(spark, sf_dir)
+    o = obs_table(spark, sf_dir)
     return clean.frequency_encode(o, "variety", out="variety_frequency").select(*KEYS6, "variety_frequency")
 
 

@@ -7,6 +7,7 @@ from oracles.sql import (
     DIMS,
     ENCODED,
     FEATURES30,
+    INT_FEATURES,
     FORECAST,
     MODEL_FRAME,
     RH,
@@ -149,7 +150,7 @@ _m2 = ["lag_1", "rolling_mean_4", "arrival_qty", "market_encoded", "day_of_week"
 SQL["m2_apply_scaler"] = chain(*MODEL_FRAME) + "\nSELECT " + ", ".join(SERIES_ID) + ", " + ", ".join(
     R(f"({c} - avg({c}) OVER (PARTITION BY crop)) / CASE WHEN stddev_pop({c}) OVER (PARTITION BY crop) IS NULL OR stddev_pop({c}) OVER (PARTITION BY crop) = 0 THEN 1.0E0 ELSE stddev_pop({c}) OVER (PARTITION BY crop) END", c)
     for c in _m2) + " FROM mf"
-SQL["m10_feature_pipeline"] = chain(*MODEL_FRAME) + "\nSELECT " + present(SERIES_ID + FEATURES30 + ["modal_price"], set(FEATURES30) | {"modal_price"}) + " FROM mf"
+SQL["m10_feature_pipeline"] = chain(*MODEL_FRAME) + "\nSELECT " + present(SERIES_ID + FEATURES30 + ["modal_price"], (set(FEATURES30) - INT_FEATURES) | {"modal_price"}) + " FROM mf"
 
 _SER = "PARTITION BY market, crop ORDER BY date, variety, state, district"
 SQL["w7_horizon_targets"] = chain(

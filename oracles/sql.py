@@ -194,10 +194,17 @@ FEATURES30 = [
 ]
 
 
+INT_FEATURES = {"govt_policy_flag", "holiday_flag", "year", "month", "quarter", "week_of_year", "day_of_week", "is_harvest_month"}
+
+
 def prepare_cte(src: str = "enc", name: str = "mf") -> str:
     """Median fill per crop, zero fill, inf -> 0, drop NULL targets."""
     cols = []
     for c in FEATURES30:
+        if c in INT_FEATURES:
+            # Calendar parts of a non-NULL date and zero-filled flags: never NULL.
+            cols.append(f"CAST({c} AS INTEGER) AS {c}")
+            continue
         e = f"COALESCE(COALESCE({c}, median({c}) OVER (PARTITION BY crop)), 0.0E0)"
         cols.append(f"CASE WHEN isinf({e}) THEN 0.0E0 ELSE {e} END AS {c}")
     inner = f"SELECT {', '.join(SERIES_ID_COLS)}, {', '.join(cols)}, modal_price FROM {src}"
