@@ -78,12 +78,12 @@ QUERIES: dict[str, Query] = {
 _MIX_SQL = """
 WITH docs AS (
   SELECT doc_id, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, lang AS lang0, source AS source0,
-    CASE WHEN regexp_matches(coalesce(source, '?'), '[0-9]{1,9}$') AND length(regexp_extract(source, '([0-9]+)$', 1)) <= 9
+    CASE WHEN regexp_matches(coalesce(source, '?'), '[0-9]{{1,9}}$') AND length(regexp_extract(source, '([0-9]+)$', 1)) <= 9
          THEN 'domain' || CAST(CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4 AS VARCHAR) ELSE '?' END AS domain,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n
   FROM documents),
-some AS (SELECT * FROM docs WHERE n > 0),
-leaf AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens FROM some GROUP BY ALL),
+kept AS (SELECT * FROM docs WHERE n > 0),
+leaf AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens FROM kept GROUP BY ALL),
 d0 AS (SELECT domain, sum(tokens)::HUGEINT * {epochs} AS k, (SELECT sum(tokens) FROM leaf)::HUGEINT * {percent} // 100 AS b,
   {domain_weight} AS w FROM leaf GROUP BY domain),
 d1 AS (SELECT *, b - coalesce(sum(k) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l,
@@ -112,7 +112,7 @@ s3 AS (SELECT domain, lang, source, tokens, CASE WHEN s IS NULL OR i < s THEN k
 plan AS (SELECT *, CAST(alloc // tokens AS INTEGER) AS whole, CAST(alloc % tokens AS BIGINT) AS rest FROM s3 WHERE alloc > 0),
 placed AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source
     ORDER BY md5('{seed}:' || CAST(whole AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) - n AS start
-  FROM some JOIN plan USING (domain, lang, source)),
+  FROM kept JOIN plan USING (domain, lang, source)),
 taken AS (
   SELECT doc_id, domain, lang0 AS lang, source0 AS source, e.epoch, n AS n_tokens, n AS take_tokens
   FROM placed, (SELECT CAST(unnest(range({epochs})) AS INTEGER) AS epoch) e WHERE e.epoch < whole
