@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kharif.llm import bpe, mixing, neighbours, pii, quality, simhash, topk
+from kharif.llm import bpe, chat, mixing, neighbours, pages, pii, quality, simhash, topk
 from kharif.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,13 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.
     return quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok").alias("text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return chat.read_back(*chat.format_tree(rows.unionByName(own)))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir, "doc_id", "text", "lang", "source"), keep=["doc_id", "lang", "source"])
 
@@ -65,7 +72,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
 
 
+def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), keep=["page_id", "url"])
+
+
 QUERIES: dict[str, Query] = {
+    "op1_chat": op1_chat,
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
@@ -73,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op7_topk": op7_topk,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
+    "op10_pages": op10_pages,
 }
 
 _MIX_SQL = """
