@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kharif.llm import bpe, chat, mixing, neighbours, pages, pii, quality, simhash, topk
+from kharif.llm import bpe, chat, mixing, neighbours, pages, passages, pii, quality, simhash, topk
 from kharif.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_passages(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
+    "op5_passages": op5_passages,
     "op6_neighbours": op6_neighbours,
     "op7_topk": op7_topk,
     "op8_simhash": op8_simhash,
