@@ -60,81 +60,102 @@ class Words:
     def __init__(self) -> None:
         self.table: dict[str, int] = {}
 
-    def shingles(self, text: str | None) -> np.ndarray:
+    def of(self, text: str | None) -> np.ndarray:
         words = text.lower().split() if text else []
-        if len(words) < SHINGLE:
-            return np.empty(0, np.uint64)
         table = self.table
         if len(table) > WORDS:
             table.clear()
         for w in set(words).difference(table):
             table[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
-        h = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-        out = np.zeros(len(h) - SHINGLE + 1, np.uint64)
-        for k in range(SHINGLE):
-            out = _mixed(out ^ h[k : len(h) - SHINGLE + 1 + k], k + 1)
-        return out
+        return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of the five-word shingles of hashed words."""
+    n = len(words) - SHINGLE + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(SHINGLE if n > 0 else 0):
+        out = out * _M1 + words[k : n + k]
+    return _mixed(out, 1)
 
 
 def sliding_minima(value: np.ndarray, width: int) -> np.ndarray:
     """Place of the least value of every window of ``width`` (leftmost of equal
     ones), by doubling the width."""
-    place = np.arange(len(value))
-    span = 1
+    place, least, span = np.arange(len(value), dtype=np.int32), value, 1
     while span < width:
         step = min(span, width - span)
-        a, b = place[: len(place) - step], place[step:]
-        place = np.where(value[b] < value[a], b, a)
+        lower = least[step:] < least[:-step]
+        place = np.where(lower, place[step:], place[:-step])
+        least = np.where(lower, least[step:], least[:-step])
         span += step
     return place
 
 
-def tree_windows(value: np.ndarray, centres: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def tree_windows(value: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last place of the compact window of each centre: up to the
     nearest smaller value on either side.  That value is itself a centre
     (its window contains this one), so the Cartesian tree over the centres
-    gives it; pointers jump over larger ones until they settle."""
+    gives it; pointers jump over larger ones until they settle.  The first and
+    the last centre must be smaller than all between them."""
     v, n = value[centres], len(centres)
     left, right = np.arange(-1, n - 1), np.arange(1, n + 1)
-    while True:
-        some = np.flatnonzero(left >= 0)
-        some = some[v[left[some]] > v[some]]
-        if not len(some):
-            break
+    some = np.arange(1, n)
+    while len(some := some[v[left[some]] > v[some]]):
         left[some] = left[left[some]]
-    while True:
-        some = np.flatnonzero(right < n)
-        some = some[v[right[some]] >= v[some]]
-        if not len(some):
-            break
+        some = some[left[some] >= 0]
+    some = np.arange(n - 1)
+    while len(some := some[v[right[some]] >= v[some]]):
         right[some] = right[right[some]]
-    first = np.where(left >= 0, centres[np.maximum(left, 0)] + 1, 0)
-    last = np.where(right < n, centres[np.minimum(right, n - 1)] - 1, size - 1)
+        some = some[right[some] < n]
+    first = centres[np.maximum(left, 0)] + 1
+    last = centres[np.minimum(right, n - 1)] - 1
     return first, last
 
 
-def windows(shingles: np.ndarray, bands: int = BANDS, width: int = MIN_SHINGLES) -> tuple[np.ndarray, ...]:
-    """(signature, centre, left, right) of the intersections of the compact
-    windows of the two functions of each band."""
-    n = len(shingles) - width + 1
+def windows(texts: list[np.ndarray], bands: int = BANDS, width: int = MIN_SHINGLES) -> tuple[np.ndarray, ...]:
+    """(number of the text, signature, centre, left, right) of the
+    intersections of the compact windows of the two functions of each band,
+    for several hashed texts at once.  Between texts stands a value below all
+    others, so no window reaches across."""
+    sizes = np.array([max(len(t) - SHINGLE + 1, 0) for t in texts])
+    starts = np.concatenate([[1], 1 + np.cumsum(sizes + 1)])  # one mark before and after each text
+    joined = np.zeros(int(starts[-1]), np.uint64)
+    for t, at, n in zip(texts, starts, sizes):
+        joined[at : at + n] = shingles(t)
+    mark = np.zeros(len(joined), bool)
+    mark[starts - 1] = True
+    text_of = np.repeat(np.arange(len(texts) + 1), np.concatenate([[1], sizes + 1]))
     out: list[tuple[np.ndarray, ...]] = []
-    for band in range(bands if n > 0 else 0):
+    for band in range(bands if len(joined) >= width else 0):
         found = []
         for f in (2 * band, 2 * band + 1):
-            value = _mixed(shingles, 11 + f)
+            value = _mixed(joined, 11 + f) | np.uint64(1)
+            value[mark] = 0
             at = sliding_minima(value, width)
-            centres, which = np.unique(at, return_inverse=True)
-            first, last = tree_windows(value, centres, len(shingles))
-            found.append((value, at, first[which], last[which]))
-        (va, a, fa, la), (vb, b, fb, lb) = found
-        runs = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            # places never fall, so equal ones are neighbours
+            begins = np.concatenate([[True], at[1:] != at[:-1]])
+            centres = np.unique(np.concatenate([at[begins], np.flatnonzero(mark)]))
+            first, last = tree_windows(value, centres)
+            found.append((value, at, begins, centres, first, last))
+        (va, a, ba, ca, fa, la), (vb, b, bb, cb, fb, lb) = found
+        runs = np.flatnonzero((ba | bb) & ~mark[a] & ~mark[b])
         a, b = a[runs], b[runs]
-        left, right = np.maximum(fa[runs], fb[runs]), np.minimum(la[runs], lb[runs])
-        key = _mixed(va[a] ^ _mixed(vb[b] + (b - a).astype(np.int64).view(np.uint64), 5), 23 + band)
-        out.append((key.view(np.int64), a, left, right))
+        i, j = np.searchsorted(ca, a), np.searchsorted(cb, b)
+        left, right = np.maximum(fa[i], fb[j]), np.minimum(la[i], lb[j])
+        apart = (b.astype(np.int64) - a).view(np.uint64)
+        key = _mixed(va[a] ^ _mixed(vb[b] + apart, 5), 23 + band).view(np.int64)
+        text = text_of[a] - 1
+        begin = starts[text]
+        out.append((text, key, a - begin, left - begin, right - begin))
     if not out:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    text, key, centre, left, right = (np.concatenate(x) for x in zip(*out))
+    # a signature once a text: its first place
+    order = np.lexsort((centre, key, text))
+    again = np.concatenate([[False], (key[order][1:] == key[order][:-1]) & (text[order][1:] == text[order][:-1])]) if len(order) else order
+    order = order[~again] if len(order) else order
+    return text[order], key[order], centre[order], left[order], right[order]
 
 
 def dense(match: np.ndarray, similarity: float = SIMILARITY) -> tuple[int, int]:
@@ -154,7 +175,6 @@ def verify(a: np.ndarray, b: np.ndarray, at: int, bt: int, similarity: float = S
     """The near-duplicate passage of two texts (shingles) that meet at ``at``
     and ``bt``: (first, end) shingles in both, and their Jaccard similarity;
     None if there is none of enough length and similarity."""
-    same = 0
     # Word for word to either side: by far the most frequent case, and cheap.
     n = min(len(a) - at, len(b) - bt)
     differs = np.flatnonzero(a[at : at + n] != b[bt : bt + n])
@@ -203,21 +223,17 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in slices(batches, 200):
-            found, ids = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.append(windows(words.shingles(text)))
-                ids.append(np.full(len(found[-1][0]), doc, np.int64))
-            key, centre, left, right = (np.concatenate(x) for x in zip(*found))
-            # place packed: centre, then how far the window reaches to either side
-            near, far = np.minimum(centre - left, (1 << 16) - 1), np.minimum(right - centre, (1 << 16) - 1)
-            columns = [pa.array(key), pa.array(np.concatenate(ids)), pa.array(centre << 32 | near << 16 | far)]
+            texts = [words.of(t) for t in batch.column(1).to_pylist()]
+            text, key, centre, left, right = windows(texts)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[text]
+            # place packed: the centre, then how far the window reaches to either side
+            near, far = np.minimum(centre - left, 255), np.minimum(right - centre, 255)
+            columns = [pa.array(key), pa.array(ids), pa.array(centre.astype(np.int64) << 16 | near << 8 | far)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "place"])
 
-    every = rows.mapInArrow(windowed, "key long, doc long, place long")
-    least = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    shared = written(every.join(least.select("key", "low"), "key"), "passage-windows")
-
-    need = _flagged(shared.select("doc"))
+    left = written(rows.mapInArrow(windowed, "key long, doc long, place long"), "passage-windows")
+    met = written(_meetings(left, 0), "passage-met")
+    need = _flagged(met.select(F.explode(F.array("doc", "source")).alias("doc")))
     known = spark.sparkContext.broadcast(need)
 
     def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,27 +242,24 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             at = batch.column(2).to_numpy(zero_copy_only=False)
             some = np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & 1)
             ids, texts = batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)).to_pylist()
-            made = [(words.shingles(t) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts]
+            made = [(shingles(words.of(t)) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([ids, pa.array(made, pa.binary())], names=["doc", "shingles"])
 
     bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
     texts = written(rows.select("doc", "text", bit.alias("bit")).mapInArrow(payload, "doc long, shingles binary"), "passage-texts")
     texts = texts.groupBy("doc").agg(F.max("shingles").alias("shingles"))
 
-    found, left = None, shared
+    found = None
     for k in range(ROUNDS):
-        pairs = _pairs(left)
-        told = written(_verified(pairs, texts), f"passage-round{k}")
-        good = told.where("similarity is not null").drop("key")
+        told = written(_verified(met, texts), f"passage-round{k}")
+        good = told.where("similarity is not null").drop("key", "place")
         found = good if found is None else found.unionByName(good)
         if k + 1 == ROUNDS:
             break
         # Signatures under which a text failed meet again, without the source that failed it.
-        failed = told.where("similarity is null").select("doc", "key").distinct()
-        again = left.join(failed, ["doc", "key"], "left_semi").drop("low")
-        lows = again.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-        left = written(again.join(lows.select("key", "low"), "key"), f"passage-left{k}")
-        if left.isEmpty():
+        failed = told.where("similarity is null").select("key", "doc", "place")
+        met = written(_meetings(failed, k + 1), f"passage-met{k + 1}")
+        if met.isEmpty():
             break
     spans = found.groupBy("doc", "source", "start", "end").agg(F.max("similarity").alias("similarity"))
     firsts = found.select(F.col("source").alias("doc"), "source", F.col("source_start").alias("start"), F.col("source_end").alias("end"), F.lit(1.0).alias("similarity")).distinct()
@@ -262,31 +275,26 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _pairs(shared: DataFrame) -> DataFrame:
-    """Each window with the first window of its signature in the first
-    document; windows of a pair that lie on one diagonal and overlap are one
-    meeting (its least place)."""
-    centre = F.shiftright("place", 32)
-    first = shared.where("doc = low").groupBy("key").agg(F.min("place").alias("source_place"))
-    met = shared.where("doc > low").join(first, "key")
-    met = met.select(
-        "doc",
-        F.col("low").alias("source"),
-        centre.alias("at"),
-        F.shiftright("source_place", 32).alias("bt"),
-        F.least(F.shiftright("place", 16).bitwiseAND(65535), F.shiftright("source_place", 16).bitwiseAND(65535)).alias("near"),
-        F.least(F.col("place").bitwiseAND(65535), F.col("source_place").bitwiseAND(65535)).alias("far"),
-        "key",
-    )
-    met = met.withColumn("meeting", F.struct("at", "bt", "near", "far", "key"))
-    return met.groupBy("doc", "source").agg(F.collect_set("meeting").alias("meetings"))
+def _meetings(left: DataFrame, round_: int) -> DataFrame:
+    """Windows of each signature with the one in its first document.  The
+    interval join: aligned at their centres, the two windows must have a
+    subsequence of nearly the least length in common."""
+    first = left.groupBy("key").agg(F.min("doc").alias("source"), F.max("doc").alias("high"), F.min_by("place", "doc").alias("source_place"))
+    # A table of its own, so that a signature of very many windows can be split in the join.
+    first = written(first.where("source < high").drop("high"), f"passage-first{round_}")
+    met = left.join(first, "key").where("doc > source")
+    part = lambda c, shift: F.shiftright(c, shift).bitwiseAND(255)
+    common = F.least(part("place", 8), part("source_place", 8)) + F.least(part("place", 0), part("source_place", 0)) + 1
+    met = met.where(common >= int(SIMILARITY * MIN_SHINGLES))
+    return met.select("doc", "source", "key", "place", F.shiftright("place", 16).alias("at"), F.shiftright("source_place", 16).alias("bt"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified passages of each pair, and a row without similarity for every
-    meeting (key) that lies in none."""
+    meeting that lies in none."""
+    pairs = met.groupBy("doc", "source").agg(F.collect_list(F.struct("at", "bt", "key", "place")).alias("meetings"))
     rows = pairs.join(texts, "doc").join(texts.select(F.col("doc").alias("source"), F.col("shingles").alias("other")), "source")
-    names = ["doc", "source", "start", "end", "source_start", "source_end", "similarity", "key"]
+    names = ["doc", "source", "start", "end", "source_start", "source_end", "similarity", "key", "place"]
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
@@ -294,20 +302,21 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for doc, source, meetings, one, other in zip(*(c.to_pylist() for c in batch.columns)):
                 a, b = np.frombuffer(one, np.uint32), np.frombuffer(other, np.uint32)
                 spans: list[tuple] = []
-                for m in sorted(meetings, key=lambda m: (m["at"], m["bt"], m["key"])):
-                    at, bt = m["at"], m["bt"]
+                for at, bt, key, place in sorted((m["at"], m["bt"], m["key"], m["place"]) for m in meetings):
                     if any(s[0][0] <= at < s[0][1] and s[1][0] <= bt < s[1][1] for s in spans):
                         continue
                     if hit := verify(a, b, at, bt):
                         if hit not in spans:
                             spans.append(hit)
                             (s, e), (t, u), j = hit
-                            out.append((doc, source, s, e, t, u, j, None))
+                            out.append((doc, source, s, e, t, u, j, None, None))
                     else:
-                        out.append((doc, source, None, None, None, None, None, m["key"]))
-            kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
-            columns = list(zip(*out)) or [()] * 8
+                        out.append((doc, source, None, None, None, None, None, key, place))
+            kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64(), pa.int64()]
+            columns = list(zip(*out)) or [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     rows = rows.select("doc", "source", "meetings", "shingles", "other")
-    return rows.mapInArrow(told, "doc long, source long, start long, end long, source_start long, source_end long, similarity double, key long")
+    return rows.mapInArrow(
+        told, "doc long, source long, start long, end long, source_start long, source_end long, similarity double, key long, place long"
+    )
