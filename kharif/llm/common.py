@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,43 @@ def slices(batches: Iterator, rows: int) -> Iterator:
             yield batch.slice(at, rows)
 
 
+#: Bits of an id filter (1 MB).
+FILTER_BITS = 1 << 23
+
+
+def id_filter(ids: DataFrame, name: str) -> np.ndarray:
+    """Bits of all ids, a fixed size whatever their number, so that every task
+    may have it.  It only ever lets too many rows through."""
+    bit = filter_bit(name)
+    words = ids.select(F.shiftright(bit, 5).alias("w"), F.pmod(bit, F.lit(32)).cast("int").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).toArrow()  # at most FILTER_BITS / 32 rows
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.uint32)
+    return out
+
+
+def filter_bit(name: str) -> Column:
+    return F.pmod(F.xxhash64(f"`{name}`"), F.lit(FILTER_BITS))
+
+
+def passes(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+
+
+def maybe_in(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``docs`` without most of the rows whose ``name`` (a long) is not among
+    ``ids``: what a following join need not shuffle."""
+    prepare(docs.sparkSession)
+    known, mark = docs.sparkSession.sparkContext.broadcast(id_filter(ids, name)), fresh(docs, "bit")
+
+    def let(batches: Iterator) -> Iterator:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(passes(known.value, at))).select(list(range(batch.num_columns - 1)))
+
+    return docs.withColumn(mark, filter_bit(name)).mapInArrow(let, docs.schema)
+
+
 def by_hash(hashed: Column, share: float) -> Column:
     """True for about ``share`` of all values of a 64-bit hash."""
     return F.lit(True) if share >= 1 else hashed < F.lit(int(-(2**63) + min(share, 0.999) * 2**64))

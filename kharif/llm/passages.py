@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kharif.llm.common import prepare, slices, written
+from kharif.llm.common import filter_bit, id_filter, passes, prepare, slices, written
 
 SHINGLE = 5
 MIN_WORDS = 51
@@ -39,8 +39,6 @@ MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
 SIMILARITY = 0.8
 BANDS = 2
 ROUNDS = 3
-#: Bits of the filter that tells which documents to read again (1 MB).
-FILTER_BITS = 1 << 23
 #: Words whose hashes a worker keeps.
 WORDS = 300_000
 
@@ -201,17 +199,6 @@ def verify(a: np.ndarray, b: np.ndarray, at: int, bt: int, similarity: float = S
     return best
 
 
-def _flagged(ids: DataFrame) -> np.ndarray:
-    """A filter of ``FILTER_BITS`` bits with every id's bit set: a fixed size,
-    so it can go to all workers.  It may only let too many through."""
-    bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
-    words = ids.select(F.shiftright(bit, 5).alias("w"), F.pmod(bit, F.lit(32)).cast("int").alias("b"))
-    words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).toPandas()  # at most FILTER_BITS / 32 rows
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["m"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return out
-
-
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each passage and document: doc_id, source_doc_id (the least
     document it was verified with; itself for the first occurrence), the words
@@ -233,20 +220,18 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     left = written(rows.mapInArrow(windowed, "key long, doc long, place long"), "passage-windows")
     met = written(_meetings(left, 0), "passage-met")
-    need = _flagged(met.select(F.explode(F.array("doc", "source")).alias("doc")))
+    need = id_filter(met.select(F.explode(F.array("doc", "source")).alias("doc")), "doc")
     known = spark.sparkContext.broadcast(need)
 
     def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bits = Words(), known.value
         for batch in slices(batches, 200):
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            some = np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & 1)
+            some = np.flatnonzero(passes(bits, batch.column(2).to_numpy(zero_copy_only=False)))
             ids, texts = batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)).to_pylist()
             made = [(shingles(words.of(t)) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([ids, pa.array(made, pa.binary())], names=["doc", "shingles"])
 
-    bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
-    texts = written(rows.select("doc", "text", bit.alias("bit")).mapInArrow(payload, "doc long, shingles binary"), "passage-texts")
+    texts = written(rows.select("doc", "text", filter_bit("doc").alias("bit")).mapInArrow(payload, "doc long, shingles binary"), "passage-texts")
     texts = texts.groupBy("doc").agg(F.max("shingles").alias("shingles"))
 
     found = None

@@ -32,7 +32,7 @@ from kharif.llm.common import by_hash, fresh, prepare, slices
 BITS = 18
 SIZE = 1 << BITS
 #: Labelled rows that the hinge-loss fit sees at most; counts see all of them.
-FIT_ROWS = 10_000
+FIT_ROWS = 6_000
 EPOCHS = 8
 COST = 1.0
 THRESHOLD = 0.7
@@ -84,25 +84,38 @@ class Ngrams:
         return np.unique((mixed >> 40) & (SIZE - 1))
 
 
-def _scaled(features: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    values = ratio[features]
-    norm = np.sqrt(values @ values)
-    return (values / norm if norm > 0 else values).astype(np.float32)
+@dataclass
+class Vectors:
+    """Scaled indicator vectors of unit length: the features of row i are
+    ``at[starts[i]:starts[i + 1]]``, their values the ratios times ``unit[i]``."""
+
+    at: np.ndarray
+    starts: np.ndarray
+    ratio: np.ndarray
+    unit: np.ndarray
+
+    @classmethod
+    def of(cls, at: np.ndarray, starts: np.ndarray, ratio: np.ndarray) -> Vectors:
+        square = np.concatenate([[0.0], np.cumsum(ratio[at].astype(float) ** 2)])
+        norm = np.sqrt(np.maximum(square[starts[1:]] - square[starts[:-1]], 0))
+        return cls(at, starts, ratio, np.where(norm > 1e-9, 1 / np.maximum(norm, 1e-9), 0.0))
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self.at[self.starts[i] : self.starts[i + 1]]
+        return at, self.ratio[at] * self.unit[i]
 
 
-def dual_coordinate_descent(
-    rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, cost: np.ndarray, size: int, epochs: int, seed: int = 1
-) -> np.ndarray:
+def dual_coordinate_descent(rows: Vectors, sign: np.ndarray, cost: np.ndarray, size: int, epochs: int, seed: int = 1) -> np.ndarray:
     """Weights (the last one the intercept) of the hinge-loss model: each step
     solves the dual of one row exactly and keeps it within [0, cost]."""
-    weights, alpha = np.zeros(size + 1), np.zeros(len(rows))
-    square = np.array([v @ v + 1.0 for _, v in rows])
-    order, draw = np.arange(len(rows)), np.random.default_rng(seed)
+    weights, alpha = np.zeros(size + 1), np.zeros(len(sign))
+    square = np.where(rows.unit > 0, 2.0, 1.0)  # a unit vector and the intercept
+    order, draw = np.arange(len(sign)), np.random.default_rng(seed)
     for _ in range(epochs):
         draw.shuffle(order)
         moved = 0.0
         for i in order:
-            at, values = rows[i]
+            at, values = rows.row(i)
             slope = sign[i] * (weights[at] @ values + weights[-1]) - 1.0
             now = min(max(alpha[i] - slope / square[i], 0.0), cost[i])
             if (step := now - alpha[i]) != 0.0:
@@ -191,35 +204,40 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
         rows.select("text", "label").mapInArrow(_count, "feature long, n0 long, n1 long")
         .groupBy("feature")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .toPandas()  # at most 2 ** BITS + 1 rows
+        .toArrow()  # at most 2 ** BITS + 1 rows
     )
-    total = counts[counts.feature < 0]
-    if total.empty or not int(total.n0.iloc[0]) or not int(total.n1.iloc[0]):
+    feature = counts["feature"].to_numpy()
+    held, total = np.ones((2, SIZE)), [0, 0]
+    for k in (0, 1):
+        n = counts[f"n{k}"].to_numpy()
+        total[k] = int(n[feature < 0].sum())
+        held[k][feature[feature >= 0]] += n[feature >= 0]
+    del counts
+    if not total[0] or not total[1]:
         return Model(None, None)
-    counts = counts[counts.feature >= 0]
-    held = np.zeros((2, SIZE))
-    held[0][counts.feature] = counts.n0
-    held[1][counts.feature] = counts.n1
-    held += 1.0
     ratio = np.log(held[1] / held[1].sum()) - np.log(held[0] / held[0].sum())
 
-    docs = int(total.n0.iloc[0]) + int(total.n1.iloc[0])
+    docs = sum(total)
     picked = rows
     if docs > fit_rows:  # an even share by hash, a little over it, then the exact bound
         picked = rows.where(by_hash(F.col("key"), (1.1 * fit_rows + 50) / docs))
     picked = picked.mapInArrow(_features, "f binary, label int, key long").limit(2 * fit_rows).toArrow()
-    picked = picked.sort_by([("key", "ascending"), ("label", "ascending")]).slice(0, fit_rows)
-    label = np.array(picked.column("label").to_pylist(), dtype=int)
-    vectors = [(at := np.frombuffer(f, np.int32), _scaled(at, ratio)) for f in picked.column("f").to_pylist()]
+    picked = picked.sort_by([("key", "ascending"), ("label", "ascending")]).slice(0, fit_rows).combine_chunks()
+    label, found = picked["label"].to_numpy(), picked["f"].to_pylist()
+    del picked
+    starts = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])])
+    ratio = ratio.astype(np.float32)
+    vectors = Vectors.of(np.frombuffer(b"".join(found), np.int32), starts, ratio)
+    del found
     n0, n1 = int((label == 0).sum()), int((label == 1).sum())
     if not n0 or not n1:
         return Model(None, None)
     sign = np.where(label == 1, 1.0, -1.0)
     cost = np.where(label == 1, COST, COST * min(4.0, max(1.0, n1 / n0)))  # the rarer class counts more
     w = dual_coordinate_descent(vectors, sign, cost, SIZE, EPOCHS)
-    margin = np.array([w[at] @ v for at, v in vectors]) + w[-1]
+    margin = np.array([w[at] @ values for at, values in map(vectors.row, range(len(sign)))]) + w[-1]
     slope, offset = _curve(margin, label == 1)
-    return Model(w[:-1].astype(np.float32), ratio.astype(np.float32), float(w[-1]), slope, offset)
+    return Model(w[:-1].astype(np.float32), ratio, float(w[-1]), slope, offset)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:

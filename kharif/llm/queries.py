@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kharif.llm import bpe, chat, mixing, neighbours, pages, passages, pii, quality, simhash, topk
+from kharif.llm.common import maybe_in, written
 from kharif.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +27,10 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.
     """Fitted on the labelled rows of ``docs`` that are not held out."""
     labels = read_table(spark, sf_dir, "labels", "doc_id", "quality").where("quality in (0, 1)")
     labels = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    # Texts of labelled rows only go through the join (like at every size: as a
+    # merge), and are read twice from one written table.
+    rows = maybe_in(docs.select("doc_id", "text"), labels, "doc_id").join(labels.hint("merge"), "doc_id")
+    return quality.fit(written(rows, "quality-labelled"))
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
