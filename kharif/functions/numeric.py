@@ -12,9 +12,11 @@ def _c(col) -> Column:
 
 
 def round_half_up(col, digits: int = 2) -> Column:
-    """floor(x * 10^d + 0.5) / 10^d on the binary double, as Python's round
-    does for all but exact binary ties.  Spark's ``round`` rounds the decimal
-    text instead, which differs on values such as 2.675."""
+    """floor(x * 10^d + 0.5) / 10^d in double precision.
+
+    Python's ``round`` looks at the exact binary value instead, so the two
+    differ where the product rounds up to a tie: 2.675 gives 2.68 here and
+    2.67 in Python, 1.115 gives 1.12 and 1.11."""
     scale = float(10**digits)
     return F.floor(_c(col) * scale + 0.5) / scale
 

@@ -38,17 +38,13 @@ def _attach(df: DataFrame, stats: DataFrame, group_keys: Sequence[str]) -> DataF
     """Attach per-group statistics to every row.
 
     Without keys ``stats`` is a single row, so a broadcast cross join is
-    bounded.  With keys the statistics are fitted first (one action): up to
-    ``FIT_MAX_ROWS`` rows they come back as a local table and are broadcast,
-    which also keeps the big side's partitioning; beyond that they are
-    written to the shared folder and Catalyst / AQE choose the join.  The
-    join is null-safe (a NULL key is its own group).
+    bounded.  With keys the statistics are written once and Catalyst / AQE
+    choose the join by their size.  The join is null-safe (a NULL key is its
+    own group).
     """
-    s, small = (stats, True) if stats.isStreaming else fitted(stats)
+    s = stats if stats.isStreaming else fitted(stats)
     if not group_keys:
         return df.crossJoin(F.broadcast(s))
-    if small:
-        s = F.broadcast(s)
     for k in group_keys:
         s = s.withColumnRenamed(k, f"__g_{k}")
     cond = None
@@ -68,8 +64,9 @@ def require_crop(df: DataFrame, crop: str) -> DataFrame:
     """P1 with the reference's guard: raise, listing the crops, when empty."""
     out = filter_crop(df, crop)
     if not out.limit(1).count():
-        crops = [r[0] for r in df.select("crop").distinct().orderBy("crop").limit(1000).collect()]
-        raise ValueError(f"no rows for crop {crop!r}; available crops: {crops}")
+        names = df.select("crop").distinct()
+        first = [r[0] for r in names.orderBy("crop").limit(20).collect()]
+        raise ValueError(f"no rows for crop {crop!r}; there are {names.count()} crops, the first by name: {first}")
     return out
 
 
@@ -271,6 +268,6 @@ def frequency_encode(df: DataFrame, col: str, table: DataFrame | None = None, ou
     """Replace ``col`` by its frequency share; unseen or NULL -> 0."""
     t = frequency_table(df, col) if table is None else table
     out = out or col
-    t, small = fitted(t.withColumnRenamed("value", "__fv").withColumnRenamed("frequency", "__freq"))
-    j = df.join(F.broadcast(t) if small else t, df[col] == t["__fv"], "left")
+    t = fitted(t.withColumnRenamed("value", "__fv").withColumnRenamed("frequency", "__freq"))
+    j = df.join(t, df[col] == t["__fv"], "left")
     return j.withColumn(out, F.coalesce(F.col("__freq"), F.lit(0.0))).drop("__fv", "__freq")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,6 @@ TIME_FEATURES = (
 BASIC_FEATURES = ("arrival_qty", "acreage_estimate", "rainfall_mm", "temp_c", "govt_policy_flag", "holiday_flag")
 FEATURE_PREFIXES = ("lag_", "rolling_", "arrival_")
 FEATURE_INFIXES = ("encoded", "variety_")
-NEVER_FEATURES = ("date", "district", "min_price", "max_price", "modal_price", "state", "market", "crop", "variety")
 
 
 def series_window(keys: Sequence[str] = FEATURE_KEYS, order: Sequence[str] = FEATURE_ORDER):
@@ -117,7 +118,7 @@ def fit_target_encoder(
     stats = df.where(F.col(target).isNotNull()).groupBy(*group_keys, col).agg(
         F.count(F.lit(1)).alias("n"), F.sum(target).alias("__sum"), F.avg(target).alias("mean")
     )
-    s, small = fitted(stats)
+    s = fitted(stats)
     w = Window.partitionBy(*group_keys) if group_keys else Window.partitionBy(F.lit(0))
     s = s.withColumn("prior", F.sum("__sum").over(w) / F.sum("n").over(w)).where(F.col(col).isNotNull())
     weight = 1.0 / (1.0 + F.exp(-(F.col("n") - min_samples_leaf) / smoothing))
@@ -132,14 +133,14 @@ def apply_target_encoder(
 ) -> DataFrame:
     """Left join the codes; unseen or NULL category -> the group prior."""
     out = out or f"{col}_encoded"
-    enc, small = fitted(encoder)
+    enc = fitted(encoder)
     codes = enc.select(*[F.col(k).alias(f"__k_{k}") for k in group_keys], F.col("category").alias("__cat"), F.col("code").alias("__code"))
     priors = enc.select(*group_keys, "prior").dropDuplicates(list(group_keys)) if group_keys else enc.select("prior").limit(1)
     priors = priors.withColumnRenamed("prior", "__prior")
     cond = df[col] == codes["__cat"]
     for k in group_keys:
         cond = cond & df[k].eqNullSafe(codes[f"__k_{k}"])
-    j = df.join(F.broadcast(codes) if small else codes, cond, "left").drop(*[f"__k_{k}" for k in group_keys], "__cat")
+    j = df.join(codes, cond, "left").drop(*[f"__k_{k}" for k in group_keys], "__cat")
     j = _attach(j, priors, group_keys)
     return j.withColumn(out, F.coalesce(F.col("__code"), F.col("__prior"))).drop("__code", "__prior")
 
@@ -150,16 +151,24 @@ def category_vocabulary(df: DataFrame, col: str = "variety") -> DataFrame:
     return df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col)
 
 
-MAX_ONE_HOT = 1024
+def collect_vocabulary(df: DataFrame, col: str = "variety") -> list[str]:
+    """Vocabulary for wide one-hot columns, an explicit choice of the caller:
+    column names must be known when the plan is built, so the distinct values
+    come to the driver.  ``one_hot_vector`` has no such need."""
+    return [r[0] for r in category_vocabulary(df, col).collect()]
 
 
-def collect_vocabulary(df: DataFrame, col: str = "variety", limit: int = MAX_ONE_HOT) -> list[str]:
-    """Vocabulary for one-hot columns (column names must be known when the
-    plan is built).  Raises instead of truncating when it is too large."""
-    values = [r[0] for r in category_vocabulary(df, col).limit(limit + 1).collect()]
-    if len(values) > limit:
-        raise ValueError(f"{col} has more than {limit} categories; use target or frequency encoding")
-    return values
+def fit_one_hot_vector(df: DataFrame, col: str = "variety"):
+    """Fitted indexer and encoder for one sparse 0/1 vector column of any
+    width; values by name, unknown and NULL ones all zero.  Can be saved."""
+    index = StringIndexer(inputCol=col, outputCol=f"{col}_index", handleInvalid="keep", stringOrderType="alphabetAsc")
+    # "keep" files unknown values last, and dropLast leaves that place out.
+    vector = OneHotEncoder(inputCol=f"{col}_index", outputCol=f"{col}_onehot", dropLast=True)
+    return Pipeline(stages=[index, vector]).fit(df)
+
+
+def one_hot_vector(df: DataFrame, fitted_encoder, col: str = "variety") -> DataFrame:
+    return fitted_encoder.transform(df).drop(f"{col}_index")
 
 
 def one_hot(df: DataFrame, col: str, vocabulary: Sequence[str], prefix: str | None = None) -> DataFrame:
@@ -182,7 +191,7 @@ def feature_columns(df: DataFrame) -> list[str]:
             or c.startswith(FEATURE_PREFIXES)
             or any(s in c for s in FEATURE_INFIXES)
         )
-    return [c for c in df.columns if wanted(c) and c not in NEVER_FEATURES and c in numeric]
+    return [c for c in df.columns if wanted(c) and c in numeric]
 
 
 def select_features(df: DataFrame, keep: Sequence[str] = (), target: str = TARGET) -> DataFrame:

@@ -13,7 +13,6 @@ numbers; the split is decided from a cheap per-group count.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -86,11 +85,11 @@ def group_quantiles(
     if not group_keys:
         total = sizes.first()["count"]
         return _map_based(df, cols, probs, ()) if total <= map_max_rows else _sort_based(df, cols, probs, ())
-    # At most total / map_max_rows groups can be big, so this list is bounded.
-    big, _ = fitted(sizes.where(F.col("count") > map_max_rows).select(*group_keys), max_rows=max(1, math.ceil(1e12 / map_max_rows)))
+    # At most total / map_max_rows groups can be big; Catalyst sizes the joins.
+    big = fitted(sizes.where(F.col("count") > map_max_rows).select(*group_keys))
     if not big.take(1):
         return _map_based(df, cols, probs, group_keys)
-    b = F.broadcast(big)
+    b = big
     small_part = _map_based(df.join(b, list(group_keys), "left_anti"), cols, probs, group_keys)
     big_part = _sort_based(df.join(b, list(group_keys), "left_semi"), cols, probs, group_keys)
     return small_part.unionByName(big_part)

@@ -31,8 +31,7 @@ def first_market(df: DataFrame, group_keys: Sequence[str] = ("crop",)) -> DataFr
 # --------------------------------------------------------------------------- A14
 def price_by_date_for_sample(df: DataFrame, price: str = TARGET) -> DataFrame:
     """Mean price by date in each crop's sample market."""
-    s, small = fitted(first_market(df).withColumnRenamed("crop", "__crop"))
-    s = F.broadcast(s) if small else s
+    s = fitted(first_market(df).withColumnRenamed("crop", "__crop"))
     j = df.join(s, (df["crop"] == s["__crop"]) & (df["market"] == s["sample_market"])).drop("__crop", "sample_market")
     return j.groupBy("crop", "market", "date").agg(F.avg(price).alias("mean_price"))
 
@@ -52,8 +51,8 @@ def price_by_state(df: DataFrame, price: str = TARGET) -> DataFrame:
 def histogram(df: DataFrame, col: str = TARGET, bins: int = 50, group_keys: Sequence[str] = ("crop",)) -> DataFrame:
     """Equal-width bins between min and max (the last bin closed), counts of
     non-empty bins; bin edges as columns."""
-    rng, small = fitted(df.groupBy(*group_keys).agg(F.min(col).alias("__lo"), F.max(col).alias("__hi")))
-    j = df.where(F.col(col).isNotNull()).join(F.broadcast(rng) if small else rng, list(group_keys))
+    rng = fitted(df.groupBy(*group_keys).agg(F.min(col).alias("__lo"), F.max(col).alias("__hi")))
+    j = df.where(F.col(col).isNotNull()).join(rng, list(group_keys))
     width = F.col("__hi") - F.col("__lo")
     idx = F.when(width == 0, F.lit(bins // 2)).otherwise(
         F.least(F.floor((F.col(col) - F.col("__lo")) / width * bins), F.lit(bins - 1))

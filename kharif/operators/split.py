@@ -29,12 +29,11 @@ def with_row_index(
     order: Sequence[str],
     group_keys: Sequence[str] = ("crop",),
     out: str = "row_index",
-    checkpoint: bool = True,
 ) -> DataFrame:
     """0-based position of each row within its group in ``order``; also
     adds ``group_rows`` (rows in the group).  ``order`` must be total."""
     sorted_ = df.orderBy(*group_keys, *order).withColumn("__mid", F.monotonically_increasing_id())
-    tagged = cut_lineage(sorted_) if checkpoint else sorted_
+    tagged = cut_lineage(sorted_)
     pid = F.shiftright("__mid", 33)
     pos = F.col("__mid").bitwiseAND(F.lit(LOW_BITS))
     counts = tagged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__cnt"))
@@ -46,8 +45,7 @@ def with_row_index(
         ).alias("__off"),
     )
     g = tagged.join(F.broadcast(offsets), pid == F.col("__pid")).withColumn("__gidx", F.col("__off") + pos)
-    firsts, small = fitted(g.groupBy(*group_keys).agg(F.min("__gidx").alias("__first"), F.count(F.lit(1)).alias("group_rows")))
-    firsts = F.broadcast(firsts) if small else firsts
+    firsts = fitted(g.groupBy(*group_keys).agg(F.min("__gidx").alias("__first"), F.count(F.lit(1)).alias("group_rows")))
     cond = None
     fk = firsts
     for k in group_keys:
@@ -119,8 +117,8 @@ def horizon_targets(
     long = leads.select(*df.columns, F.explode(arr).alias("__h")).select(*df.columns, "__h.*")
     long = long.where(F.col("target_future").isNotNull())
     counts = long.groupBy(*count_keys, "horizon").agg(F.count(F.lit(1)).alias("__n"))
-    keep, small = fitted(counts.where(F.col("__n") >= min_rows).drop("__n"))
-    return long.join(F.broadcast(keep) if small else keep, [*count_keys, "horizon"], "left_semi")
+    keep = fitted(counts.where(F.col("__n") >= min_rows).drop("__n"))
+    return long.join(keep, [*count_keys, "horizon"], "left_semi")
 
 
 # --------------------------------------------------------------------------- W8
@@ -163,5 +161,5 @@ def latest_window(
     if strict:
         short = out.where(~F.col("complete")).limit(1).collect()
         if short:
-            raise ValueError(f"Need at least {length} observations for prediction (series {short[0][:len(keys)]})")
+            raise ValueError(f"series {short[0][:len(keys)]} is shorter than the window of {length} rows")
     return out

@@ -68,6 +68,12 @@ def weekly(spark, sf_dir):
     return chain.weekly_table(obs_table(spark, sf_dir))
 
 
+def targets(spark, sf_dir):
+    """Weekly rows that have a target: the rows of the model frame, without its
+    fitted features."""
+    return clean.drop_null_target(weekly(spark, sf_dir))
+
+
 def weekly_features(spark, sf_dir):
     return chain.series_features(weekly(spark, sf_dir))
 
@@ -389,13 +395,13 @@ def m10(spark, sf_dir):
 # ------------------------------------------------------------------ horizons / splits
 @query("w7_horizon_targets")
 def w7(spark, sf_dir):
-    mf, _ = model_frame(spark, sf_dir)
-    return split.horizon_targets(mf.select(*SERIES_ID, "modal_price")).select(*SERIES_ID, "horizon", "target_future")
+    return split.horizon_targets(targets(spark, sf_dir).select(*SERIES_ID, "modal_price")).select(*SERIES_ID, "horizon", "target_future")
 
 
 @query("w8_sequences")
 def w8(spark, sf_dir):
-    mf, _ = model_frame(spark, sf_dir)
+    rows = weekly_features(spark, sf_dir).select(*SERIES_ID, "modal_price", "arrival_qty", "lag_1")
+    mf = chain.prepare_training(rows, ["arrival_qty", "lag_1"])
     return split.sequences(mf, ["modal_price", "arrival_qty", "lag_1"], 12)
 
 
@@ -406,20 +412,17 @@ def w9(spark, sf_dir):
 
 @query("w11_positional_split")
 def w11(spark, sf_dir):
-    mf, _ = model_frame(spark, sf_dir)
-    return split.positional_split(mf.select(*SERIES_ID)).select(*SERIES_ID, "row_index", "split")
+    return split.positional_split(targets(spark, sf_dir).select(*SERIES_ID)).select(*SERIES_ID, "row_index", "split")
 
 
 @query("w12_temporal_split")
 def w12(spark, sf_dir):
-    mf, _ = model_frame(spark, sf_dir)
-    return split.temporal_split(mf.select(*SERIES_ID)).select(*SERIES_ID, "split")
+    return split.temporal_split(targets(spark, sf_dir).select(*SERIES_ID)).select(*SERIES_ID, "split")
 
 
 @query("w13_expanding_folds")
 def w13(spark, sf_dir):
-    mf, _ = model_frame(spark, sf_dir)
-    idx = split.with_row_index(mf.select(*SERIES_ID), ("market", *FEATURE_ORDER))
+    idx = split.with_row_index(targets(spark, sf_dir).select(*SERIES_ID), ("market", *FEATURE_ORDER))
     return split.expanding_folds(idx, 5).select(*SERIES_ID, "fold", "role")
 
 
@@ -751,7 +754,8 @@ def s4(spark, sf_dir):
 def s1_csv(spark, sf_dir):
     """Observation CSV written, then loaded with the contract reader (S1 + S2)."""
     path = shared_path(spark, "observations-csv")
-    io.write_csv(obs(spark, sf_dir), path)
+    rows = obs(spark, sf_dir)
+    io.write_csv(rows.select(*reversed(rows.columns)), path)  # columns go by name, not by place
     return io.load_observations(spark, path)
 
 
@@ -778,7 +782,7 @@ def r1(spark, sf_dir):
     """Requests streamed from files, scored against the static as-of anchors."""
     src = shared_path(spark, "request-stream")
     raw = fixtures.forecast_requests(spark, sf_dir)
-    raw.repartition(4, "request_id").write.parquet(src)
+    raw.write.parquet(src)
     feats = weekly_features(spark, sf_dir)
     anchors = forecast.last_per_date(feats, ["market", "crop"], "date", ["modal_price"], ["variety", "state", "district"])
     anchors = cut_lineage(anchors.select("market", "crop", F.col("date").alias("feature_date"), F.col("modal_price").alias("anchor_price")), "anchors")

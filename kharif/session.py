@@ -50,7 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint directory; create one only when unset.
 
     A cluster names the shared folder in ``spark.checkpoint.dir``; local
-    tests have none, so a fresh directory is made for them.
+    tests have none, so a fresh directory is made for them.  On any other
+    master a missing setting is an error: executors do not share the driver's
+    disk, and stages written there would be lost.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="kharif-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -84,21 +88,11 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-FIT_MAX_ROWS = 100_000
+def fitted(df: DataFrame, name: str = "fitted") -> DataFrame:
+    """Fitted statistics (medians, bounds, encoder codes...) as a small written
+    table, whatever their number.
 
-
-def fitted(df: DataFrame, max_rows: int = FIT_MAX_ROWS, name: str = "fitted") -> tuple[DataFrame, bool]:
-    """Materialise fitted statistics (medians, bounds, encoder codes...).
-
-    Returns ``(table, small)``.  At most ``max_rows`` rows come back to the
-    driver and are rebuilt as a local relation whose size is known, so the
-    caller may broadcast it.  A larger table is written to the shared folder
-    instead and joined by whatever strategy Catalyst / AQE pick.
+    Nothing passes the driver, upstream work is done once, and Catalyst sizes
+    the join from the table's files (broadcast while small, else by shuffle).
     """
-    spark = df.sparkSession
-    # coalesce(1) after the limit makes this one job (a bare limit-collect
-    # scans partitions incrementally, one job per round).
-    rows = df.limit(max_rows + 1).coalesce(1).collect()
-    if len(rows) <= max_rows:
-        return spark.createDataFrame(rows, df.schema), True
-    return cut_lineage(df, name), False
+    return cut_lineage(df, name)

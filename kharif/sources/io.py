@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,21 +12,40 @@ from kharif.schema import FORECAST_REQUEST_SCHEMA, OBSERVATION_SCHEMA, REQUIRED_
 
 # --------------------------------------------------------------------------- S1
 def load_observations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Observation files with the fixed schema (no inference), header row,
-    ISO dates.  Extra columns are dropped, missing ones raise (S2)."""
+    """Observation files by the names in their header (any column order; all
+    files of a folder must agree on it), cast to the fixed schema; ISO dates.
+    Extra columns are dropped, missing ones raise (S2).  A value that does not
+    parse is NULL; ``unreadable`` counts them."""
+    return _typed(check_schema(_raw(spark, path, fmt)))
+
+
+def unreadable(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """(column_name, unreadable): values that are there but do not parse."""
+    raw = check_schema(_raw(spark, path, fmt)).select(*REQUIRED_COLUMNS)
+    bad = [F.count_if(F.col(c).isNotNull() & _cast(raw, c).isNull()).alias(c) for c in REQUIRED_COLUMNS]
+    pairs = ", ".join(f"'{c}', `{c}`" for c in REQUIRED_COLUMNS)
+    return raw.agg(*bad).selectExpr(f"stack({len(REQUIRED_COLUMNS)}, {pairs}) as (column_name, unreadable)")
+
+
+def _raw(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     if fmt == "csv":
-        df = (
-            spark.read.option("header", True)
-            .option("mode", "PERMISSIVE")
-            .option("dateFormat", "yyyy-MM-dd")
-            .schema(OBSERVATION_SCHEMA)
-            .csv(path)
-        )
-    elif fmt == "parquet":
-        df = spark.read.parquet(path)
-    else:
-        raise ValueError(f"unsupported format {fmt!r}")
-    return check_schema(df).select(*REQUIRED_COLUMNS)
+        # Texts under the header's names; a file with another header raises.
+        names = spark.read.option("header", True).csv(path).schema
+        return spark.read.option("header", True).option("enforceSchema", False).schema(names).csv(path)
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    raise ValueError(f"unsupported format {fmt!r}")
+
+
+def _cast(df: DataFrame, name: str) -> Column:
+    kind = OBSERVATION_SCHEMA[name].dataType
+    if isinstance(kind, T.DateType) and isinstance(df.schema[name].dataType, T.StringType):
+        return F.try_to_date(F.col(name), "yyyy-MM-dd")
+    return F.col(name).try_cast(kind)
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    return df.select(*[_cast(df, c).alias(c) for c in REQUIRED_COLUMNS])
 
 
 # --------------------------------------------------------------------------- S4

@@ -17,13 +17,13 @@ from kharif.operators import forecast
 from kharif.schema import FORECAST_REQUEST_SCHEMA
 
 
-def request_stream(spark: SparkSession, directory: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Parquet request files arriving in ``directory`` (schema fixed)."""
-    return (
-        spark.readStream.schema(FORECAST_REQUEST_SCHEMA)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .parquet(directory)
-    )
+def request_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet request files arriving in ``directory`` (schema fixed); a limit
+    a trigger only where the caller sets one."""
+    reader = spark.readStream.schema(FORECAST_REQUEST_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(directory)
 
 
 def score_stream(requests: DataFrame, anchors: DataFrame, run_date: str) -> DataFrame:

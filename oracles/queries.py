@@ -173,9 +173,9 @@ SQL["w13_expanding_folds"] = chain(
 ) + "\nSELECT " + ", ".join(SERIES_ID) + ", fold, CASE WHEN row_index < st THEN 'train' ELSE 'test' END AS role FROM f WHERE row_index < st + sz"
 
 _SCORED = WEEKLY + [
-    f"pos AS (SELECT *, row_number() OVER ({_SER}) AS position FROM wk)",
-    "sc AS (SELECT " + ", ".join(f"a.{c}" for c in SERIES_ID) + ", CAST(h AS INTEGER) AS horizon, b.date AS target_date, a.modal_price AS y_pred, b.modal_price AS y_true "
-    "FROM pos a CROSS JOIN (VALUES (1), (2), (4), (12)) t(h) JOIN pos b ON a.market = b.market AND a.crop = b.crop AND a.position + h = b.position)",
+    "sc AS (" + " UNION ALL ".join(
+        f"SELECT {', '.join(SERIES_ID)}, {h} AS horizon, lead(date, {h}) OVER ({_SER}) AS target_date, modal_price AS y_pred, lead(modal_price, {h}) OVER ({_SER}) AS y_true "
+        f"FROM wk QUALIFY lead(1, {h}) OVER ({_SER}) IS NOT NULL" for h in (1, 2, 4, 12)) + ")",
 ]
 SQL["j9_align_actuals"] = chain(*_SCORED) + "\nSELECT " + ", ".join(SERIES_ID) + f", horizon, target_date, {R('y_pred', 'y_pred')}, {R('y_true', 'y_true')} FROM sc"
 SQL["f11_residuals"] = chain(*_SCORED) + "\nSELECT " + ", ".join(SERIES_ID) + f", horizon, {R('y_true - y_pred', 'residual')} FROM sc"
