@@ -11,10 +11,14 @@ that has it (copies of a passage never turn into all their pairs), and the
 passage around the meeting point is verified on the shingles themselves:
 Jaccard similarity of at least ``SIMILARITY`` over at least ``MIN_WORDS``
 words.  Texts that fail against the first one of a signature meet again
-without it, for ``ROUNDS`` rounds.
+without it, for ``ROUNDS`` rounds (near copies of later texts).  Everything
+under a signature that failed a text is then windowed again with ``GROWTH`` times
+as many functions a band, and so on until no signature fails: longer signatures part
+what differs, so nothing is dropped and no group is compared pair by pair.
 
 A passage of ``MIN_WORDS`` words or more that two texts share word for word has
-all its signatures in both, so every band proposes it.
+its signatures, of any number of functions, in both, so every band proposes it
+until it is found.
 
 Defined results: NULL text counts as empty; shorter texts have no passage; rows
 without an id take no part; repeated rows of an id are one document; repeats
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kharif.llm.common import filter_bit, id_filter, passes, prepare, slices, written
+from kharif.llm.common import filter_bit, id_filter, maybe_in, passes, prepare, slices, written
 
 SHINGLE = 5
 MIN_WORDS = 51
@@ -39,6 +43,8 @@ MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
 SIMILARITY = 0.8
 BANDS = 2
 ROUNDS = 3
+#: How many times more functions a band has once a signature has failed.
+GROWTH = 2
 #: Words whose hashes a worker keeps.
 WORDS = 300_000
 
@@ -111,11 +117,15 @@ def tree_windows(value: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np
     return first, last
 
 
-def windows(texts: list[np.ndarray], bands: int = BANDS, width: int = MIN_SHINGLES) -> tuple[np.ndarray, ...]:
-    """(number of the text, signature, centre, left, right) of the
-    intersections of the compact windows of the two functions of each band,
-    for several hashed texts at once.  Between texts stands a value below all
-    others, so no window reaches across."""
+def windows(
+    texts: list[np.ndarray], bands: int = BANDS, width: int = MIN_SHINGLES, functions: int = 2, wanted: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
+    """(number of the text, signature, centre, left, right, many) of the
+    intersections of the compact windows of the ``functions`` of each band, for
+    several hashed texts at once; many: the text has that signature elsewhere
+    too, and this is its first place.  With ``wanted``, only signatures that
+    begin with one of these of ``GROWTH`` times fewer functions.  Between texts stands a
+    value below all others, so no window reaches across."""
     sizes = np.array([max(len(t) - SHINGLE + 1, 0) for t in texts])
     starts = np.concatenate([[1], 1 + np.cumsum(sizes + 1)])  # one mark before and after each text
     joined = np.zeros(int(starts[-1]), np.uint64)
@@ -124,36 +134,61 @@ def windows(texts: list[np.ndarray], bands: int = BANDS, width: int = MIN_SHINGL
     mark = np.zeros(len(joined), bool)
     mark[starts - 1] = True
     text_of = np.repeat(np.arange(len(texts) + 1), np.concatenate([[1], sizes + 1]))
+
+    def compact(seed: int) -> tuple[np.ndarray, ...]:
+        value = _mixed(joined, seed) | np.uint64(1)
+        value[mark] = 0
+        at = sliding_minima(value, width)
+        # places never fall, so equal ones are neighbours
+        begins = np.concatenate([[True], at[1:] != at[:-1]])
+        centres = np.unique(np.concatenate([at[begins], np.flatnonzero(mark)]))
+        return (value, at, begins, centres, *tree_windows(value, centres))
+
     out: list[tuple[np.ndarray, ...]] = []
     for band in range(bands if len(joined) >= width else 0):
-        found = []
-        for f in (2 * band, 2 * band + 1):
-            value = _mixed(joined, 11 + f) | np.uint64(1)
-            value[mark] = 0
-            at = sliding_minima(value, width)
-            # places never fall, so equal ones are neighbours
-            begins = np.concatenate([[True], at[1:] != at[:-1]])
-            centres = np.unique(np.concatenate([at[begins], np.flatnonzero(mark)]))
-            first, last = tree_windows(value, centres)
-            found.append((value, at, begins, centres, first, last))
-        (va, a, ba, ca, fa, la), (vb, b, bb, cb, fb, lb) = found
-        runs = np.flatnonzero((ba | bb) & ~mark[a] & ~mark[b])
-        a, b = a[runs], b[runs]
-        i, j = np.searchsorted(ca, a), np.searchsorted(cb, b)
+        (va, a, ba, ca, fa, la), (vb, b, bb, cb, fb, lb) = compact(11 + 2 * band), compact(12 + 2 * band)
+        edges = np.flatnonzero(ba | bb)
+        runs = edges[~mark[a[edges]] & ~mark[b[edges]]]
+        centre, other = a[runs], b[runs]
+        i, j = np.searchsorted(ca, centre), np.searchsorted(cb, other)
         left, right = np.maximum(fa[i], fb[j]), np.minimum(la[i], lb[j])
-        apart = (b.astype(np.int64) - a).view(np.uint64)
-        key = _mixed(va[a] ^ _mixed(vb[b] + apart, 5), 23 + band).view(np.int64)
-        text = text_of[a] - 1
+        apart = (other.astype(np.int64) - centre).view(np.uint64)
+        chain = va[centre] ^ _mixed(vb[other] + apart, 5)
+        sealed = lambda: _mixed(chain, 23 + band).view(np.int64)  # noqa: B023, E731
+        used = 2
+        if functions > used:
+            # From runs of equal minima to the starts of their windows.
+            lengths = np.diff(np.append(edges, len(a)))[np.isin(edges, runs, assume_unique=True)]
+            if used * GROWTH == functions:
+                lengths = np.where(np.isin(sealed(), wanted), lengths, 0)
+            at = np.repeat(runs, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            chain, centre, left, right = (np.repeat(x, lengths) for x in (chain, centre, left, right))
+            while used < functions and len(at):
+                v, c, _, cc, fc, lc = compact(1000 * (band + 1) + used)
+                c = c[at]
+                i = np.searchsorted(cc, c)
+                left, right = np.maximum(left, fc[i]), np.minimum(right, lc[i])
+                chain = _mixed(chain ^ _mixed(v[c] + (c.astype(np.int64) - centre).view(np.uint64), 5), 6)
+                used += 1
+                if used * GROWTH == functions:
+                    some = np.isin(sealed(), wanted)
+                    at, chain, centre, left, right = (x[some] for x in (at, chain, centre, left, right))
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = (chain[1:] != chain[:-1]) | (centre[1:] != centre[:-1])
+            chain, centre, left, right = (x[fresh] for x in (chain, centre, left, right))
+        text = text_of[centre] - 1
         begin = starts[text]
-        out.append((text, key, a - begin, left - begin, right - begin))
+        out.append((text, sealed(), centre - begin, left - begin, right - begin))
     if not out:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
+        return (*(np.empty(0, np.int64) for _ in range(5)), np.empty(0, bool))
     text, key, centre, left, right = (np.concatenate(x) for x in zip(*out))
     # a signature once a text: its first place
     order = np.lexsort((centre, key, text))
-    again = np.concatenate([[False], (key[order][1:] == key[order][:-1]) & (text[order][1:] == text[order][:-1])]) if len(order) else order
-    order = order[~again] if len(order) else order
-    return text[order], key[order], centre[order], left[order], right[order]
+    again = np.zeros(len(order) + 1, bool)
+    again[1:-1] = (key[order][1:] == key[order][:-1]) & (text[order][1:] == text[order][:-1])
+    many = again[1:] & ~again[:-1]
+    order, many = order[~again[:-1]], many[~again[:-1]]
+    return text[order], key[order], centre[order], left[order], right[order], many
 
 
 def dense(match: np.ndarray, similarity: float = SIMILARITY) -> tuple[int, int]:
@@ -207,19 +242,8 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prepare(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).where("doc is not null")
 
-    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in slices(batches, 200):
-            texts = [words.of(t) for t in batch.column(1).to_pylist()]
-            text, key, centre, left, right = windows(texts)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[text]
-            # place packed: the centre, then how far the window reaches to either side
-            near, far = np.minimum(centre - left, 255), np.minimum(right - centre, 255)
-            columns = [pa.array(key), pa.array(ids), pa.array(centre.astype(np.int64) << 16 | near << 8 | far)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "place"])
-
-    left = written(rows.mapInArrow(windowed, "key long, doc long, place long"), "passage-windows")
-    met = written(_meetings(left, 0), "passage-met")
+    left = written(_windows_of(rows.select("doc", "text", F.lit(None).cast("array<long>").alias("wanted")), 2), "passage-windows")
+    met = written(_meetings(left), "passage-met")
     need = id_filter(met.select(F.explode(F.array("doc", "source")).alias("doc")), "doc")
     known = spark.sparkContext.broadcast(need)
 
@@ -234,18 +258,28 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = written(rows.select("doc", "text", filter_bit("doc").alias("bit")).mapInArrow(payload, "doc long, shingles binary"), "passage-texts")
     texts = texts.groupBy("doc").agg(F.max("shingles").alias("shingles"))
 
-    found = None
-    for k in range(ROUNDS):
-        told = written(_verified(met, texts), f"passage-round{k}")
-        good = told.where("similarity is not null").drop("key", "place")
-        found = good if found is None else found.unionByName(good)
-        if k + 1 == ROUNDS:
-            break
-        # Signatures under which a text failed meet again, without the source that failed it.
-        failed = told.where("similarity is null").select("key", "doc", "place")
-        met = written(_meetings(failed, k + 1), f"passage-met{k + 1}")
-        if met.isEmpty():
+    found, functions = None, 2
+    while True:
+        open_keys = None
+        for k in range(ROUNDS if functions == 2 else 1):
+            told = written(_verified(met.where("near"), texts), "passage-told")
+            good = told.where("similarity is not null").drop("key", "place", "open")
+            found = good if found is None else found.unionByName(good)
+            names = ["key", "doc", "place", "open"]
+            failed = told.where("similarity is null").select(names).unionByName(met.where("not near").select(names))
+            open_keys = failed.where("open").select("key").distinct() if open_keys is None else open_keys
+            if k + 1 < ROUNDS and functions == 2:
+                # Near copies: signatures meet again without the source that failed them.
+                met = written(_meetings(failed.drop("open").withColumn("many", F.lit(False))), "passage-met")
+        # Everything under a signature that failed goes on under signatures of more functions.
+        wanted = left.select("key", "doc").join(open_keys, "key").groupBy("doc").agg(F.collect_set("key").alias("wanted"))
+        wanted = written(wanted, "passage-wanted")
+        if wanted.isEmpty():
             break
+        functions *= GROWTH
+        again = maybe_in(rows, wanted, "doc").join(wanted.hint("merge"), "doc")
+        left = written(_windows_of(again, functions), "passage-windows")
+        met = written(_meetings(left), "passage-met")
     spans = found.groupBy("doc", "source", "start", "end").agg(F.max("similarity").alias("similarity"))
     firsts = found.select(F.col("source").alias("doc"), "source", F.col("source_start").alias("start"), F.col("source_end").alias("end"), F.lit(1.0).alias("similarity")).distinct()
     words = SHINGLE - 1
@@ -260,26 +294,51 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _meetings(left: DataFrame, round_: int) -> DataFrame:
+def _windows_of(rows: DataFrame, functions: int) -> DataFrame:
+    """Signatures of the texts of (doc, text, wanted): key, doc, place, many."""
+
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in slices(batches, 200):
+            # Any other text of the batch with a wanted signature wants it too.
+            wanted = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            texts = [words.of(t) for t in batch.column(1).to_pylist()]
+            text, key, centre, left, right, many = windows(texts, functions=functions, wanted=wanted)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[text]
+            # place packed: the centre, then how far the window reaches to either side
+            near, far = np.minimum(centre - left, 255), np.minimum(right - centre, 255)
+            columns = [pa.array(key), pa.array(ids), pa.array(centre.astype(np.int64) << 16 | near << 8 | far), pa.array(many)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "place", "many"])
+
+    return rows.select("doc", "text", "wanted").mapInArrow(windowed, "key long, doc long, place long, many boolean")
+
+
+def _meetings(left: DataFrame) -> DataFrame:
     """Windows of each signature with the one in its first document.  The
-    interval join: aligned at their centres, the two windows must have a
-    subsequence of nearly the least length in common."""
-    first = left.groupBy("key").agg(F.min("doc").alias("source"), F.max("doc").alias("high"), F.min_by("place", "doc").alias("source_place"))
+    interval join, near: aligned at their centres, the two windows have a
+    subsequence of nearly the least length in common.  open: if the two fail,
+    there are other pairs of places under the signature."""
+    first = left.groupBy("key").agg(
+        F.min("doc").alias("source"),
+        F.max("doc").alias("high"),
+        F.min_by("place", "doc").alias("source_place"),
+        (F.bool_or("many") | (F.count("*") > 2)).alias("open"),
+    )
     # A table of its own, so that a signature of very many windows can be split in the join.
-    first = written(first.where("source < high").drop("high"), f"passage-first{round_}")
+    first = written(first.where("source < high").drop("high"), "passage-first")
     met = left.join(first, "key").where("doc > source")
     part = lambda c, shift: F.shiftright(c, shift).bitwiseAND(255)
     common = F.least(part("place", 8), part("source_place", 8)) + F.least(part("place", 0), part("source_place", 0)) + 1
-    met = met.where(common >= int(SIMILARITY * MIN_SHINGLES))
-    return met.select("doc", "source", "key", "place", F.shiftright("place", 16).alias("at"), F.shiftright("source_place", 16).alias("bt"))
+    near = (common >= int(SIMILARITY * MIN_SHINGLES)).alias("near")
+    return met.select("doc", "source", "key", "place", F.shiftright("place", 16).alias("at"), F.shiftright("source_place", 16).alias("bt"), near, "open")
 
 
 def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified passages of each pair, and a row without similarity for every
     meeting that lies in none."""
-    pairs = met.groupBy("doc", "source").agg(F.collect_list(F.struct("at", "bt", "key", "place")).alias("meetings"))
+    pairs = met.groupBy("doc", "source").agg(F.collect_list(F.struct("at", "bt", "key", "place", "open")).alias("meetings"))
     rows = pairs.join(texts, "doc").join(texts.select(F.col("doc").alias("source"), F.col("shingles").alias("other")), "source")
-    names = ["doc", "source", "start", "end", "source_start", "source_end", "similarity", "key", "place"]
+    names = ["doc", "source", "start", "end", "source_start", "source_end", "similarity", "key", "place", "open"]
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
@@ -287,21 +346,21 @@ def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
             for doc, source, meetings, one, other in zip(*(c.to_pylist() for c in batch.columns)):
                 a, b = np.frombuffer(one, np.uint32), np.frombuffer(other, np.uint32)
                 spans: list[tuple] = []
-                for at, bt, key, place in sorted((m["at"], m["bt"], m["key"], m["place"]) for m in meetings):
+                for at, bt, key, place, more in sorted(tuple(m.values()) for m in meetings):
                     if any(s[0][0] <= at < s[0][1] and s[1][0] <= bt < s[1][1] for s in spans):
                         continue
                     if hit := verify(a, b, at, bt):
                         if hit not in spans:
                             spans.append(hit)
                             (s, e), (t, u), j = hit
-                            out.append((doc, source, s, e, t, u, j, None, None))
+                            out.append((doc, source, s, e, t, u, j, None, None, None))
                     else:
-                        out.append((doc, source, None, None, None, None, None, key, place))
-            kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64(), pa.int64()]
-            columns = list(zip(*out)) or [()] * 9
+                        out.append((doc, source, None, None, None, None, None, key, place, more))
+            kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+            columns = list(zip(*out)) or [()] * 10
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     rows = rows.select("doc", "source", "meetings", "shingles", "other")
     return rows.mapInArrow(
-        told, "doc long, source long, start long, end long, source_start long, source_end long, similarity double, key long, place long"
+        told, "doc long, source long, start long, end long, source_start long, source_end long, similarity double, key long, place long, open boolean"
     )

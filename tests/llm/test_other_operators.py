@@ -112,6 +112,22 @@ def test_repeated_passages_are_found_and_others_left_alone(spark):
     assert passages.find_passages(table.limit(0)).count() == 0
 
 
+def test_no_link_is_lost_under_a_frequent_passage(spark):
+    """All texts have a passage that is too short to report, so its signatures
+    fail against their first text; every pair shares more words around it."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    common, rows = [word() for _ in range(40)], []
+    for pair in range(40):
+        around = [word() for _ in range(7)] + common + [word() for _ in range(7)]
+        for half in range(2):
+            text = [word() for _ in range(rng.randrange(30))] + around + [word() for _ in range(rng.randrange(30))]
+            rows.append((pair + 40 * half, " ".join(text)))
+    got = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    links = {(r.source_doc_id, r.doc_id) for r in got if not r.is_first}
+    assert links == {(pair, pair + 40) for pair in range(40)}
+
+
 # --- chat -----------------------------------------------------------------------------
 
 
