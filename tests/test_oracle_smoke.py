@@ -36,6 +36,8 @@ def test_every_query_is_registered_with_an_id_prefix():
     names = entry.queries()
     assert len(names) >= 90
     for n in names:
+        if n == "pipeline" or n.startswith("op"):  # the training-data operators
+            continue
         assert n.split("_")[0][0] in "spjawofmr" and n.split("_")[0][1:].isdigit(), n
     assert set(entry.oracle_sql()) <= set(names)
 
