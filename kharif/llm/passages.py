@@ -118,13 +118,15 @@ def tree_windows(value: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np
 
 
 def windows(
-    texts: list[np.ndarray], bands: int = BANDS, width: int = MIN_SHINGLES, functions: int = 2, wanted: np.ndarray | None = None
+    texts: list[np.ndarray], bands: int = BANDS, width: int = MIN_SHINGLES, functions: int = 2, wanted: np.ndarray | None = None, roots: np.ndarray | None = None
 ) -> tuple[np.ndarray, ...]:
-    """(number of the text, signature, centre, left, right, many) of the
+    """(number of the text, signature, centre, left, right, many, parent, root) of the
     intersections of the compact windows of the ``functions`` of each band, for
     several hashed texts at once; many: the text has that signature elsewhere
     too, and this is its first place.  With ``wanted``, only signatures that
-    begin with one of these of ``GROWTH`` times fewer functions.  Between texts stands a
+    begin with one of these (parent) of ``GROWTH`` times fewer functions, and
+    with one of ``roots`` of two functions; only the stretches under these are
+    hashed further.  Between texts stands a
     value below all others, so no window reaches across."""
     sizes = np.array([max(len(t) - SHINGLE + 1, 0) for t in texts])
     starts = np.concatenate([[1], 1 + np.cumsum(sizes + 1)])  # one mark before and after each text
@@ -135,7 +137,7 @@ def windows(
     mark[starts - 1] = True
     text_of = np.repeat(np.arange(len(texts) + 1), np.concatenate([[1], sizes + 1]))
 
-    def compact(seed: int) -> tuple[np.ndarray, ...]:
+    def compact(joined: np.ndarray, mark: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
         value = _mixed(joined, seed) | np.uint64(1)
         value[mark] = 0
         at = sliding_minima(value, width)
@@ -146,7 +148,7 @@ def windows(
 
     out: list[tuple[np.ndarray, ...]] = []
     for band in range(bands if len(joined) >= width else 0):
-        (va, a, ba, ca, fa, la), (vb, b, bb, cb, fb, lb) = compact(11 + 2 * band), compact(12 + 2 * band)
+        (va, a, ba, ca, fa, la), (vb, b, bb, cb, fb, lb) = (compact(joined, mark, 11 + 2 * band + f) for f in (0, 1))
         edges = np.flatnonzero(ba | bb)
         runs = edges[~mark[a[edges]] & ~mark[b[edges]]]
         centre, other = a[runs], b[runs]
@@ -156,39 +158,56 @@ def windows(
         chain = va[centre] ^ _mixed(vb[other] + apart, 5)
         sealed = lambda: _mixed(chain, 23 + band).view(np.int64)  # noqa: B023, E731
         used = 2
+        root = parent = sealed()
         if functions > used:
             # From runs of equal minima to the starts of their windows.
             lengths = np.diff(np.append(edges, len(a)))[np.isin(edges, runs, assume_unique=True)]
-            if used * GROWTH == functions:
-                lengths = np.where(np.isin(sealed(), wanted), lengths, 0)
+            lengths = np.where(np.isin(root, roots), lengths, 0)
             at = np.repeat(runs, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            chain, centre, left, right = (np.repeat(x, lengths) for x in (chain, centre, left, right))
-            while used < functions and len(at):
-                v, c, _, cc, fc, lc = compact(1000 * (band + 1) + used)
+            if not len(at):
+                continue
+            chain, centre, left, right, root = (np.repeat(x, lengths) for x in (chain, centre, left, right, root))
+            # The stretches of these windows, a mark before, between and after.
+            edge = np.zeros(len(joined) + 1, np.int32)
+            edge[at] += 1
+            edge[at + width] -= 1
+            old = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            new = np.arange(1, len(old) + 1)
+            new[1:] += np.cumsum(np.diff(old) > 1)
+            some, gap, back = np.zeros(new[-1] + 2, np.uint64), np.ones(new[-1] + 2, bool), np.zeros(new[-1] + 2, np.int64)
+            some[new], gap[new], back[new] = joined[old], False, old
+            at = new[np.searchsorted(old, at)]
+            parent = sealed()
+            while True:
+                if used * GROWTH == functions:
+                    parent = sealed()
+                    kept = np.isin(parent, wanted)
+                    at, chain, centre, left, right, root, parent = (x[kept] for x in (at, chain, centre, left, right, root, parent))
+                if used == functions or not len(at):
+                    break
+                v, c, _, cc, fc, lc = compact(some, gap, 1000 * (band + 1) + used)
                 c = c[at]
                 i = np.searchsorted(cc, c)
-                left, right = np.maximum(left, fc[i]), np.minimum(right, lc[i])
-                chain = _mixed(chain ^ _mixed(v[c] + (c.astype(np.int64) - centre).view(np.uint64), 5), 6)
+                left, right = np.maximum(left, back[fc[i]]), np.minimum(right, back[lc[i]])
+                chain = _mixed(chain ^ _mixed(v[c] + (back[c] - centre).view(np.uint64), 5), 6)
                 used += 1
-                if used * GROWTH == functions:
-                    some = np.isin(sealed(), wanted)
-                    at, chain, centre, left, right = (x[some] for x in (at, chain, centre, left, right))
             fresh = np.ones(len(at), bool)
             fresh[1:] = (chain[1:] != chain[:-1]) | (centre[1:] != centre[:-1])
-            chain, centre, left, right = (x[fresh] for x in (chain, centre, left, right))
+            chain, centre, left, right, root, parent = (x[fresh] for x in (chain, centre, left, right, root, parent))
         text = text_of[centre] - 1
         begin = starts[text]
-        out.append((text, sealed(), centre - begin, left - begin, right - begin))
+        out.append((text, sealed(), centre - begin, left - begin, right - begin, parent, root))
     if not out:
-        return (*(np.empty(0, np.int64) for _ in range(5)), np.empty(0, bool))
-    text, key, centre, left, right = (np.concatenate(x) for x in zip(*out))
+        none = np.empty(0, np.int64)
+        return none, none, none, none, none, np.empty(0, bool), none, none
+    text, key, centre, left, right, parent, root = (np.concatenate(x) for x in zip(*out))
     # a signature once a text: its first place
     order = np.lexsort((centre, key, text))
     again = np.zeros(len(order) + 1, bool)
     again[1:-1] = (key[order][1:] == key[order][:-1]) & (text[order][1:] == text[order][:-1])
     many = again[1:] & ~again[:-1]
     order, many = order[~again[:-1]], many[~again[:-1]]
-    return text[order], key[order], centre[order], left[order], right[order], many
+    return text[order], key[order], centre[order], left[order], right[order], many, parent[order], root[order]
 
 
 def dense(match: np.ndarray, similarity: float = SIMILARITY) -> tuple[int, int]:
@@ -242,7 +261,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prepare(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).where("doc is not null")
 
-    left = written(_windows_of(rows.select("doc", "text", F.lit(None).cast("array<long>").alias("wanted")), 2), "passage-windows")
+    left = written(_windows_of(rows, 2), "passage-windows")
     met = written(_meetings(left), "passage-met")
     need = id_filter(met.select(F.explode(F.array("doc", "source")).alias("doc")), "doc")
     known = spark.sparkContext.broadcast(need)
@@ -267,15 +286,21 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found = good if found is None else found.unionByName(good)
             names = ["key", "doc", "place", "open"]
             failed = told.where("similarity is null").select(names).unionByName(met.where("not near").select(names))
-            open_keys = failed.where("open").select("key").distinct() if open_keys is None else open_keys
+            lost = failed.where("open").select("key", "doc") if k == 0 else lost
             if k + 1 < ROUNDS and functions == 2:
                 # Near copies: signatures meet again without the source that failed them.
-                met = written(_meetings(failed.drop("open").withColumn("many", F.lit(False))), "passage-met")
-        # Everything under a signature that failed goes on under signatures of more functions.
-        wanted = left.select("key", "doc").join(open_keys, "key").groupBy("doc").agg(F.collect_set("key").alias("wanted"))
-        wanted = written(wanted, "passage-wanted")
-        if wanted.isEmpty():
+                again = failed.select("key", "doc", "place", F.lit(False).alias("many"), F.lit(True).alias("seeks"))
+                met = written(_meetings(again), "passage-met")
+        # What is under a signature that failed goes on under signatures of more
+        # functions; what failed itself is what others are compared with.
+        lost = written(lost.withColumn("failed", F.lit(True)), "passage-lost")
+        if lost.isEmpty():
             break
+        wanted = left.select("key", "doc", "root").join(lost.select("key").distinct(), "key").join(lost, ["key", "doc"], "left")
+        wanted = wanted.groupBy("doc").agg(
+            F.collect_set("key").alias("wanted"), F.collect_set("root").alias("roots"), F.collect_set(F.when(F.col("failed"), F.col("key"))).alias("failed")
+        )
+        wanted = written(wanted, "passage-wanted")
         functions *= GROWTH
         again = maybe_in(rows, wanted, "doc").join(wanted.hint("merge"), "doc")
         left = written(_windows_of(again, functions), "passage-windows")
@@ -295,22 +320,31 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _windows_of(rows: DataFrame, functions: int) -> DataFrame:
-    """Signatures of the texts of (doc, text, wanted): key, doc, place, many."""
+    """Signatures of the texts of (doc, text and, for more than two functions,
+    wanted, roots, failed): key, doc, place, many, root; seeks: a text that
+    failed under the parent."""
+    names = ["doc", "text"] + ["wanted", "roots", "failed"] * (functions > 2)
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in slices(batches, 200):
             # Any other text of the batch with a wanted signature wants it too.
-            wanted = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            wanted, roots = (batch.column(i).flatten().to_numpy(zero_copy_only=False) if functions > 2 else None for i in (2, 3))
             texts = [words.of(t) for t in batch.column(1).to_pylist()]
-            text, key, centre, left, right, many = windows(texts, functions=functions, wanted=wanted)
+            text, key, centre, left, right, many, parent, root = windows(texts, functions=functions, wanted=wanted, roots=roots)
+            seeks = np.ones(len(text), bool)
+            if functions > 2:
+                lists = batch.column(4)
+                number = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.uint64)
+                of = lambda keys, numbers: keys.astype(np.int64).view(np.uint64) ^ _mixed(numbers, 7)
+                seeks = np.isin(of(parent, text.astype(np.uint64)), of(lists.flatten().to_numpy(zero_copy_only=False), number))
             ids = batch.column(0).to_numpy(zero_copy_only=False)[text]
             # place packed: the centre, then how far the window reaches to either side
             near, far = np.minimum(centre - left, 255), np.minimum(right - centre, 255)
-            columns = [pa.array(key), pa.array(ids), pa.array(centre.astype(np.int64) << 16 | near << 8 | far), pa.array(many)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "place", "many"])
+            place = centre.astype(np.int64) << 16 | near << 8 | far
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, place, many, root, seeks)], names=["key", "doc", "place", "many", "root", "seeks"])
 
-    return rows.select("doc", "text", "wanted").mapInArrow(windowed, "key long, doc long, place long, many boolean")
+    return rows.select(*names).mapInArrow(windowed, "key long, doc long, place long, many boolean, root long, seeks boolean")
 
 
 def _meetings(left: DataFrame) -> DataFrame:
@@ -322,11 +356,12 @@ def _meetings(left: DataFrame) -> DataFrame:
         F.min("doc").alias("source"),
         F.max("doc").alias("high"),
         F.min_by("place", "doc").alias("source_place"),
+        F.min_by("seeks", "doc").alias("source_seeks"),
         (F.bool_or("many") | (F.count("*") > 2)).alias("open"),
     )
     # A table of its own, so that a signature of very many windows can be split in the join.
     first = written(first.where("source < high").drop("high"), "passage-first")
-    met = left.join(first, "key").where("doc > source")
+    met = left.join(first, "key").where("doc > source and (seeks or source_seeks)")
     part = lambda c, shift: F.shiftright(c, shift).bitwiseAND(255)
     common = F.least(part("place", 8), part("source_place", 8)) + F.least(part("place", 0), part("source_place", 0)) + 1
     near = (common >= int(SIMILARITY * MIN_SHINGLES)).alias("near")
