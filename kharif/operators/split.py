@@ -84,6 +84,14 @@ def temporal_split(
     return j.withColumn("split", F.when(day <= F.col("cutoff_day"), "train").otherwise("test"))
 
 
+def horizon_split(long: DataFrame, train_fraction: float = 0.8, group_keys: Sequence[str] = ("crop",)) -> DataFrame:
+    """Temporal split of a ``horizon_targets`` frame with a gap: rows up to the
+    cutoff whose target lies after it are neither train nor test rows."""
+    out = temporal_split(long, train_fraction=train_fraction, group_keys=group_keys)
+    beyond = F.unix_date("target_date") > F.col("cutoff_day")
+    return out.withColumn("split", F.when((F.col("split") == "train") & beyond, "gap").otherwise(F.col("split"))).drop("cutoff_day")
+
+
 # --------------------------------------------------------------------------- W13
 def expanding_folds(indexed: DataFrame, n_splits: int = 5) -> DataFrame:
     """Expanding-window folds over a frame with ``row_index`` and
@@ -109,11 +117,13 @@ def horizon_targets(
     count_keys: Sequence[str] = ("crop",),
 ) -> DataFrame:
     """Long frame: one row per input row and horizon h with the target h
-    rows ahead in the same series; rows without a future are dropped and
+    rows ahead in the same series and its date; rows without a future are dropped and
     (group, horizon) pairs with fewer than ``min_rows`` rows are skipped."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    leads = df.select("*", *[F.lead(target, h).over(w).alias(f"__lead_{h}") for h in horizons])
-    arr = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"__lead_{h}").alias("target_future")) for h in horizons])
+    ahead = lambda c, h: F.lead(c, h).over(w)
+    fields = lambda h: (F.lit(h).alias("horizon"), ahead(target, h).alias("target_future"), ahead("date", h).alias("target_date"))
+    leads = df.select("*", *[F.struct(*fields(h)).alias(f"__lead_{h}") for h in horizons])
+    arr = F.array(*[F.col(f"__lead_{h}") for h in horizons])
     long = leads.select(*df.columns, F.explode(arr).alias("__h")).select(*df.columns, "__h.*")
     long = long.where(F.col("target_future").isNotNull())
     counts = long.groupBy(*count_keys, "horizon").agg(F.count(F.lit(1)).alias("__n"))

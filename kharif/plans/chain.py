@@ -41,9 +41,10 @@ def weekly_table(obs: DataFrame, freq: str = "weekly", group_keys: Sequence[str]
     return rollup.rollup(clean_daily(clustered, group_keys), freq)
 
 
-def series_features(periodic: DataFrame) -> DataFrame:
-    """Calendar, harvest, lag and rolling features."""
-    return features.add_series_features(features.add_time_features(periodic))
+def series_features(periodic: DataFrame, exclude_current: bool = False) -> DataFrame:
+    """Calendar, harvest, lag and rolling features; rolling ones of earlier
+    rows only with ``exclude_current``."""
+    return features.add_series_features(features.add_time_features(periodic), exclude_current=exclude_current)
 
 
 def encode(df: DataFrame, vocabulary: Sequence[str] | None, group_keys: Sequence[str] = CROP_GROUP) -> DataFrame:

@@ -40,9 +40,11 @@ def model_features(spark_frame: DataFrame, crops: Sequence[str]) -> list[str]:
     return features.feature_columns(spark_frame) + [f"crop_is_{c}" for c in crops]
 
 
-def prepare_model_frame(obs: DataFrame, materialize: bool = True) -> tuple[DataFrame, list[str]]:
-    """Observation table -> prepared weekly feature frame and its columns."""
-    weekly_feats = chain.series_features(chain.weekly_table(obs))
+def prepare_model_frame(obs: DataFrame, materialize: bool = True, exclude_current: bool = False) -> tuple[DataFrame, list[str]]:
+    """Observation table -> prepared weekly feature frame and its columns.
+    Models of the current price need ``exclude_current``: a rolling mean over
+    the row's own price would give its target away."""
+    weekly_feats = chain.series_features(chain.weekly_table(obs), exclude_current)
     if materialize:
         weekly_feats = cut_lineage(weekly_feats, "weekly-features")
     vocab = features.collect_vocabulary(weekly_feats, "variety")
@@ -62,7 +64,7 @@ def training_job(
     """Observations -> features -> split -> GBT (early stopping on a
     frame cut from the train range) -> test metrics and run summary."""
     obs = cut_lineage(obs, "observations")
-    mf, cols = prepare_model_frame(obs)
+    mf, cols = prepare_model_frame(obs, exclude_current=True)
     if split_mode == "temporal":
         framed = split.temporal_split(mf)
     elif split_mode == "positional":
@@ -122,8 +124,3 @@ def forecast_job(
     anchored = scored.select(*keep).unionByName(missing.select(*keep))
     rows = forecast.with_fallback(forecast.forecast_weeks(forecast.with_price_anchors(anchored)))
     return rows, forecast.nest_response(rows), forecast.rejected(validated)
-
-
-def latest_feature_rows(mf: DataFrame) -> DataFrame:
-    """Feature rows usable for as-of scoring (all prepared rows)."""
-    return mf

@@ -227,8 +227,8 @@ METADATA_SCHEMA = T.StructType(
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Nested metadata document as one typed row."""
-    return spark.read.schema(METADATA_SCHEMA).json(os.path.join(path, "metadata"))
+    """Nested metadata document, on one line or indented, as one typed row."""
+    return spark.read.schema(METADATA_SCHEMA).option("multiLine", True).json(os.path.join(path, "metadata"))
 
 
 def metadata_features(meta: DataFrame) -> DataFrame:
@@ -239,6 +239,16 @@ def metadata_features(meta: DataFrame) -> DataFrame:
 
 
 def load_model(spark: SparkSession, path: str) -> TrainedModel:
+    """The saved model with its target and settings; raises on another type."""
     meta = read_metadata(spark, path).first()
-    pm = PipelineModel.load(os.path.join(path, "model"))
-    return TrainedModel(pm, list(meta["feature_columns"]), trained_at=meta["training_date"], model_type=meta["model_type"])
+    if meta is None or meta["model_type"] != "gbt":
+        raise ValueError(f"cannot load a model of type {meta and meta['model_type']!r} from {path}")
+    config = meta["config"] or {}
+    return TrainedModel(
+        PipelineModel.load(os.path.join(path, "model")),
+        list(meta["feature_columns"]),
+        target=config.get("target", TARGET),
+        params=GBTParams(**json.loads(config.get("gbt", "{}"))),
+        trained_at=meta["training_date"],
+        model_type=meta["model_type"],
+    )

@@ -635,9 +635,9 @@ def m4(spark, sf_dir):
 
 def horizon_frames(spark, sf_dir):
     r_obs = cut_lineage(obs(spark, sf_dir), "observations")
-    mf, cols = jobs.prepare_model_frame(r_obs)
+    mf, cols = jobs.prepare_model_frame(r_obs, exclude_current=True)
     long = split.horizon_targets(mf)
-    long = cut_lineage(split.temporal_split(long), "horizon-frame")
+    long = cut_lineage(split.horizon_split(long), "horizon-frame")
     return long, cols
 
 
@@ -663,7 +663,7 @@ def m6(spark, sf_dir):
 def m7(spark, sf_dir):
     """Expanding-window CV (5 folds) over the model frame."""
     r_obs = cut_lineage(obs(spark, sf_dir), "observations")
-    mf, cols = jobs.prepare_model_frame(r_obs)
+    mf, cols = jobs.prepare_model_frame(r_obs, exclude_current=True)
     idx = split.with_row_index(mf, ("date", "market", "variety", "state", "district"))
     folds = cut_lineage(split.expanding_folds(idx, 5), "folds")
     return model.cross_validate(folds, cols, params=QUERY_GBT)
