@@ -92,8 +92,7 @@ def _tile(axes: dict[int, np.ndarray], threshold: float):
         for p, q in close_pairs(a, b, axes[size], threshold, same):
             np.add.at(links, p, n_b[q])
             np.add.at(links, q + shift, n_a[p])
-            label = label[_forest(label[p], label[q + shift], len(ids))]
-        label = _forest(np.arange(len(ids)), label, len(ids))
+            label = _forest(label[p], label[q + shift], len(ids))[label]
         some = np.flatnonzero(links)
         return pd.DataFrame({"u": ids[some], "v": ids[label[some]], "n": links[some]})
 
