@@ -225,8 +225,7 @@ def _links(fp: np.ndarray, own: np.ndarray, tau: int) -> tuple[np.ndarray, np.nd
         block = filed[start : start + 256]
         apart = np.bitwise_count(everyone[block][:, None] ^ everyone[None, :])
         i, j = np.nonzero(apart <= tau)
-        label = label[_forest(label[block[i]], label[j], len(names))] if len(i) else label
-    label = _forest(np.arange(len(names)), label, len(names))
+        label = _forest(label[block[i]], label[j], len(names))[label] if len(i) else label
     moved = np.flatnonzero(label != np.arange(len(names)))
     return names[moved], names[label[moved]]
 

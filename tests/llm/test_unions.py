@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from kharif.llm.neighbours import THRESHOLD, _tile
+from kharif.llm.simhash import TAU, _links
 
 
 def _components(n, pairs):
@@ -54,3 +55,21 @@ def test_tile_of_several_chunks_keeps_every_link_of_a_chain(sides):
     links[told["u"]] = told["n"]
     assert (links == near.sum(1) - (sides == 1)).all()
     assert (_components(n, zip(told["u"], told["v"])) == _components(n, zip(p, q))).all()
+
+
+def test_bucket_of_several_blocks_keeps_every_link_of_a_chain():
+    draw, out = np.random.default_rng(5), []
+    for _ in range(10):
+        at = draw.integers(0, 1 << 63, dtype=np.uint64)
+        for _ in range(200):  # each is four bits from the one before it
+            out.append(at)
+            at = at ^ np.bitwise_or.reduce(np.uint64(1) << draw.choice(64, 4, replace=False).astype(np.uint64))
+    fp = draw.permutation(np.array(out, np.uint64)).view(np.int64)
+    names = np.unique(fp)
+    bare = names.view(np.uint64)
+    p, q = np.nonzero(np.bitwise_count(bare[:, None] ^ bare[None, :]) <= TAU)
+    u, v = _links(fp, np.ones(len(fp), bool), TAU)
+    found = _components(len(names), zip(np.searchsorted(names, u), np.searchsorted(names, v)))
+    told = _components(len(names), zip(p, q))
+    assert len(np.unique(told)) == 10
+    assert (found == told).all(), len(np.unique(found))
