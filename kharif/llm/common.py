@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,22 @@ def slices(batches: Iterator, rows: int) -> Iterator:
             yield batch.slice(at, rows)
 
 
+#: Bytes of text that are worked on at a time.
+SLICE_BYTES = 8 << 20
+
+
+def by_bytes(batches: Iterator, column: int, most: int = SLICE_BYTES) -> Iterator:
+    """The batches cut so that a piece holds about ``most`` bytes of the texts
+    in ``column``, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 #: Bits of an id filter (1 MB).
 FILTER_BITS = 1 << 23
 
