@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kharif.llm import bpe, chat, mixing, neighbours, pages, passages, pii, quality, simhash, token_files, topk
+from kharif.llm import bpe, chat, mixing, neighbours, pages, passages, pii, quality, simhash, spelling, token_files, topk
 from kharif.llm.common import maybe_in, written
 from kharif.session import shared_path
 from kharif.sources.tables import read_table
@@ -85,6 +85,10 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), keep=["page_id", "url"])
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(_documents(spark, sf_dir, "doc_id", "text")))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_files(_documents(spark, sf_dir, "doc_id", "text"), shared_path(spark, "token-files"))
     read = token_files.with_starts(written(token_files.read_documents(spark, path), "token-documents"))
@@ -102,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
     "op10_pages": op10_pages,
+    "op12_spelling": op12_spelling,
     "op13_token_files": op13_token_files,
 }
 
