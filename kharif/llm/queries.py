@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kharif.llm import bpe, chat, mixing, neighbours, pages, passages, pii, quality, simhash, spelling, token_files, topk
+from kharif.llm import bpe, chat, collocations, mixing, neighbours, pages, passages, pii, quality, simhash, spelling, token_files, topk
 from kharif.llm.common import maybe_in, written
 from kharif.session import shared_path
 from kharif.sources.tables import read_table
@@ -85,6 +85,10 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), keep=["page_id", "url"])
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir, "lang", "text"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(_documents(spark, sf_dir, "doc_id", "text")))
 
@@ -106,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
     "op10_pages": op10_pages,
+    "op11_collocations": op11_collocations,
     "op12_spelling": op12_spelling,
     "op13_token_files": op13_token_files,
 }
@@ -156,6 +161,31 @@ taken AS (
 SELECT doc_id, lang, source, domain, epoch, n_tokens, CAST(take_tokens AS BIGINT) AS take_tokens FROM taken
 """
 
+_PHRASE_SQL = r"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+lists AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+  SELECT lang, 1 AS size, unnest(ws) AS phrase FROM lists
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM lists
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM lists),
+f AS (SELECT lang, size, phrase, count(*)::HUGEINT AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
+cuts AS (
+  SELECT lang, size, phrase, a, w, 1 AS k, w[1] AS lp, array_to_string(w[2:], ' ') AS rp FROM cand
+  UNION ALL SELECT lang, size, phrase, a, w, 2, w[1] || ' ' || w[2], w[3] FROM cand WHERE size = 3),
+scored AS (SELECT c.*, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.lp JOIN f y ON y.lang = c.lang AND y.phrase = c.rp),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, p AS phrase, max(a) AS longer FROM (
+  SELECT lang, w[1] || ' ' || w[2] AS p, a FROM cand WHERE size = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM cand WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def _case(name: str, weights: dict[str, int]) -> str:
     return "CASE " + name + "".join(f" WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
@@ -169,4 +199,5 @@ ORACLE_SQL = {
         domain_weight=_case("domain", mixing.DOMAIN_WEIGHTS),
         lang_weight=_case("lang", mixing.LANG_WEIGHTS),
     ),
+    "op11_collocations": _PHRASE_SQL,
 }
