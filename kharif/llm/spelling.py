@@ -185,6 +185,14 @@ def lists_of(word: str, frequent: frozenset[str], qmin: int = QMIN, qmax: int =
     return [h - (1 << 64) if h >> 63 else h for _, _, h in found[: len(found) - shared + 1]]
 
 
+def odd_signs(word: str) -> int:
+    """Which signs (modulo 64) occur an odd number of times, as bits."""
+    bits = 0
+    for sign in word:
+        bits ^= 1 << (ord(sign) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def near_pairs(words: DataFrame, min_chars: int = MIN_CHARS, qmin: int = QMIN, qmax: int = QMAX, pad: int = PAD) -> DataFrame:
     """a, na, b, nb: every pair of words that differ by exactly one inserted,
     deleted or replaced sign, once.  All words have ``min_chars`` signs or more."""
@@ -196,18 +204,19 @@ def near_pairs(words: DataFrame, min_chars: int = MIN_CHARS, qmin: int = QMIN, q
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [lists_of(w, frequent.value, qmin, qmax, pad) for w in _objects(batch.column(0))]
+            words_ = _objects(batch.column(0))
+            lists = [lists_of(w, frequent.value, qmin, qmax, pad) for w in words_]
             at = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists])
             key = pa.array(np.fromiter((h for x in lists for h in x), np.int64, len(at)))
-            yield pa.RecordBatch.from_arrays([key, batch.column(0).take(at), batch.column(1).take(at)], names=["list", "word", "n"])
-
-    index = words.select("word", "n").mapInArrow(filed, "list long, word string, n long").withColumn("size", F.length("word"))
-    index = written(index, "gram-index")
-    # Lists are merged with those of words as long, and one sign longer.
-    left = index.select("list", F.col("word").alias("a"), F.col("n").alias("na"), "size", F.explode(F.array(F.lit(0), F.lit(1))).alias("more"))
-    left = left.withColumn("size", F.col("size") + F.col("more"))
-    right = index.select("list", F.col("word").alias("b"), F.col("n").alias("nb"), "size")
-    met = left.join(right, (left["list"] == right["list"]) & (left["size"] == right["size"]) & ((F.col("more") == 1) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
+            odd = pa.array([odd_signs(w) for w in words_], pa.int64())
+            columns = [key, batch.column(0).take(at), batch.column(1).take(at), odd.take(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["list", "word", "n", "odd"])
+
+    index = written(words.select("word", "n").mapInArrow(filed, "list long, word string, n long, odd long"), "gram-index")
+    left, right = (index.select("list", F.col("word").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
+    # One edit changes how often at most two signs occur: most candidates end here.
+    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("oa").bitwiseXOR(F.col("ob"))) <= 2) & (F.levenshtein("a", "b", 1) == 1)
+    met = left.join(right, (left["list"] == right["list"]) & close)
     return met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
