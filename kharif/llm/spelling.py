@@ -4,13 +4,12 @@ A gram dictionary is built over the padded words: every gram of ``QMIN`` signs,
 and a sign more where the short gram stands in many words (the dictionary is
 pruned by frequency, so only long lists are cut finer).  A word is decomposed
 from left to right into the longest dictionary grams that no earlier gram
-covers.  One edit can change only the grams that start near it; the most that
-any place can change bounds what a word must share with each near word (its
-affected-gram bound).  What an edit leaves unchanged lies wholly before or
-behind it, so a gram's list is divided by the text on its outer side, which both
-words must share; rarer lists are merged first, and as many of the longest
-lists as the bound allows are left out.  Candidates are verified by their edit
-distance.
+covers.  One edit can change only the grams that start near it.  What it leaves
+unchanged lies wholly before or behind it, so a gram's list is divided by the
+text on its outer side, which both words must share.  Lists have one order, the
+rarest (longest outer text) first; a word's affected-gram bound is how many of
+its lists, in that order, leave one unchanged wherever an edit falls, and only
+those are merged.  Candidates are verified by their edit distance.
 
 With a word of m signs, PAD signs of padding a side and m + 2 PAD > 3 QMAX - 1 -
 QMIN at least one gram survives every edit, so no near pair is lost.
@@ -153,20 +152,17 @@ def decompose(padded: str, frequent: frozenset[str], qmin: int = QMIN, qmax: int
     return out
 
 
-def affected(grams: list[tuple[int, int]], n: int, qmin: int = QMIN, qmax: int = QMAX, pad: int = PAD) -> int:
-    """The most grams that one edit of a padded word of ``n`` signs can change:
+def affected(start: int, qmin: int = QMIN, qmax: int = QMAX) -> tuple[int, int]:
+    """First and last place of an edit that can change the gram at ``start``:
     whether a gram stands depends on the signs from qmax - qmin before its start
     to qmax - 1 behind it."""
-    starts = np.zeros(n + 2 * qmax, np.int64)
-    for a, _ in grams:
-        starts[a + qmax] = 1
-    sums = np.concatenate(([0], np.cumsum(starts)))
-    at = np.arange(pad, n - pad) + qmax
-    return int((sums[at + qmax - qmin + 1] - sums[at - qmax + 1]).max())
+    return start - (qmax - qmin), start + qmax - 1
 
 
 def lists_of(word: str, frequent: frozenset[str], qmin: int = QMIN, qmax: int = QMAX, pad: int = PAD) -> list[int]:
-    """Hashes of the lists a word must be filed under."""
+    """Hashes of the lists a word must be filed under: in the order of lists, as
+    many as leave one unchanged wherever an edit falls.  Two near words keep the
+    same lists unchanged, so the first of those is among both words' own."""
     padded = _FRONT * pad + word + _BACK * pad
     grams, n = decompose(padded, frequent, qmin, qmax), len(padded)
     front, back, fronts, backs = xxhash.xxh3_64(), xxhash.xxh3_64(), [], []
@@ -177,12 +173,18 @@ def lists_of(word: str, frequent: frozenset[str], qmin: int = QMIN, qmax: int =
     for sign in reversed(padded):
         back.update(sign.encode())
         backs.append(back.intdigest())
-    found = [(-end, 0, fronts[end - 1]) for _, end in grams] + [(start - n, 1, backs[n - start - 1]) for start, _ in grams]
+    found = [(-end, 0, fronts[end - 1], start) for start, end in grams]
+    found += [(start - n, 1, backs[n - start - 1], start) for start, _ in grams]
     found.sort()  # the longest outer text, that is the rarest list, first
-    shared = len(grams) - affected(grams, n, qmin, qmax, pad)
-    if shared < 1:
-        raise AssertionError("a word without a sure gram")
-    return [h - (1 << 64) if h >> 63 else h for _, _, h in found[: len(found) - shared + 1]]
+    # Places of an edit that no list so far survives.
+    first, last, out = pad, n - pad - 1, []
+    for _, side, h, start in found:
+        out.append(h - (1 << 64) if h >> 63 else h)
+        before, behind = affected(start, qmin, qmax)
+        first, last = (max(first, before), last) if side else (first, min(last, behind))
+        if first > last:
+            return out
+    raise AssertionError("a word without a sure gram")
 
 
 def odd_signs(word: str) -> int:
@@ -215,9 +217,11 @@ def near_pairs(words: DataFrame, min_chars: int = MIN_CHARS, qmin: int = QMIN, q
     index = written(words.select("word", "n").mapInArrow(filed, "list long, word string, n long, odd long"), "gram-index")
     left, right = (index.select("list", F.col("word").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
     # One edit changes how often at most two signs occur: most candidates end here.
-    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("oa").bitwiseXOR(F.col("ob"))) <= 2) & (F.levenshtein("a", "b", 1) == 1)
+    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("oa").bitwiseXOR(F.col("ob"))) <= 2)
     met = left.join(right, (left["list"] == right["list"]) & close)
-    return met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+    # Each pair is verified once: a filter on the keys themselves would go below the join.
+    met = met.groupBy("a", "b").agg(F.first("a").alias("x"), F.first("b").alias("y"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return met.where(F.levenshtein("x", "y", 1) == 1).drop("x", "y")
 
 
 def variants(words: DataFrame, min_chars: int = MIN_CHARS, ratio: int = RATIO) -> DataFrame:
