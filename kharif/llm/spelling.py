@@ -46,6 +46,8 @@ QMIN, QMAX, PAD = 4, 5, 2
 GRAM_SHARE = 1 << 16
 #: Nor does a gram of so few words.
 GRAM_WORDS = 32
+#: Longer words are verified after their lists are merged.
+LONG = 64
 _FRONT, _BACK = "\x01", "\x02"
 
 
@@ -218,8 +220,10 @@ def near_pairs(words: DataFrame, min_chars: int = MIN_CHARS, qmin: int = QMIN, q
     left, right = (index.select("list", F.col("word").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
     # One edit changes how often at most two signs occur: most candidates end here.
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("oa").bitwiseXOR(F.col("ob"))) <= 2)
+    # Very long words share very many lists: those are verified below, once a pair.
+    close = close & ((F.length("a") > LONG) | (F.levenshtein("a", "b", 1) == 1))
     met = left.join(right, (left["list"] == right["list"]) & close)
-    # Each pair is verified once: a filter on the keys themselves would go below the join.
+    # A filter on the keys themselves would go below the join.
     met = met.groupBy("a", "b").agg(F.first("a").alias("x"), F.first("b").alias("y"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return met.where(F.levenshtein("x", "y", 1) == 1).drop("x", "y")
 
