@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kharif.functions.numeric import is_infinite
+from kharif.operators import series
+from kharif.operators.joins import null_safe_join
 from kharif.operators.quantiles import group_medians, group_quantiles
-from kharif.session import fitted
+from kharif.session import cut_lineage, fitted
 from kharif.schema import (
+    FEATURE_KEYS,
     FLAG_COLS,
     IMPUTE_KEYS,
     IMPUTE_ORDER,
@@ -71,6 +74,11 @@ def require_crop(df: DataFrame, crop: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ W1 A4 J7 P2 P3
+def series_medians(df: DataFrame, cols: Sequence[str] = MEDIAN_FILL_COLS, series_keys: Sequence[str] = IMPUTE_KEYS, stored: bool = False) -> DataFrame:
+    """A4: exact medians per series, as ``__med_{col}``."""
+    return fitted(group_medians(df, cols, series_keys, stored), "series-medians")
+
+
 def impute(
     df: DataFrame,
     series_keys: Sequence[str] = IMPUTE_KEYS,
@@ -79,38 +87,59 @@ def impute(
     median_cols: Sequence[str] = MEDIAN_FILL_COLS,
     flag_cols: Sequence[str] = FLAG_COLS,
     zero_fill: bool = True,
+    medians: DataFrame | None = None,
+    stored: bool = False,
+    shard_rows: int | None = None,
+    cluster: Sequence[str] = FEATURE_KEYS,
 ) -> DataFrame:
     """Fill gaps per series.
 
     * prices: forward fill, then back fill, in series order (W1);
-    * arrivals, rain, temperature, acreage: the series median (A4 + J7);
+    * arrivals, rain, temperature, acreage: the series median (A4 + J7), of this
+      frame or, if given, of the frame ``medians`` was fitted on;
     * flags: 0 (P2); any other numeric NULL: 0 (P3, numeric columns only).
 
     Rows with a NULL series key are not imputed (they belong to no series)
-    and end with the zero fill.  All windows share one partitioning, so the
-    whole step costs a single exchange on the series keys.
+    and end with the zero fill.  ``stored`` says that ``df`` is a table; else it
+    is written once, as medians and cuts read it too.  Large series are filled in
+    time shards with carried values (``operators.series``); the exchange is on
+    ``cluster`` keys, of which the series keys are a refinement.
     """
+    names = df.columns
+    df = df if stored else cut_lineage(df, "impute-input")
     keyed = F.lit(True)
     for k in series_keys:
         keyed = keyed & F.col(k).isNotNull()
-    ordered = Window.partitionBy(*series_keys).orderBy(*order)
+    medians = series_medians(df, median_cols, series_keys, stored=True) if medians is None else medians
+    big = series.large_series(df, cluster, shard_rows)
+    parts, carry, rows = list(series_keys), [], df
+    if big is not None:
+        cuts = series.shard_map(df, big, cluster, order[0], shard_rows)
+        rows = series.in_shards(df, cuts, cluster, order[0])
+        known = series.carried(rows, big, series_keys, order, price_cols, cluster)
+        rows = null_safe_join(rows.repartition(*cluster, series.SHARD), known, [*series_keys, series.SHARD], how="left")
+        parts.append(series.SHARD)
+        carry = ["__last_", "__first_"]
+    else:
+        rows = rows.repartition(*cluster)
+    rows = null_safe_join(rows, medians, series_keys, how="left")
+    ordered = Window.partitionBy(*parts).orderBy(*order)
     fwd = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # After the forward fill only rows before the series' first value are
     # still NULL, and their back fill is exactly that first value: a
     # whole-series frame (computed once per series, O(n)) replaces the
     # current..unbounded-following frame that Spark re-evaluates per row.
-    series = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    whole = Window.partitionBy(*series_keys)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     fills: dict[str, Column] = {}
     for c in price_cols:
-        filled = F.coalesce(F.last(c, ignorenulls=True).over(fwd), F.first(c, ignorenulls=True).over(series))
+        filled = F.coalesce(F.last(c, ignorenulls=True).over(fwd), *[F.col(x + c) for x in carry], F.first(c, ignorenulls=True).over(whole))
         fills[c] = F.when(keyed, filled).otherwise(F.col(c))
     for c in median_cols:
-        fills[c] = F.when(keyed, F.coalesce(F.col(c), F.median(c).over(whole))).otherwise(F.col(c))
+        fills[c] = F.when(keyed, F.coalesce(F.col(c), F.col(f"__med_{c}"))).otherwise(F.col(c))
     for c in flag_cols:
         fills[c] = F.coalesce(F.col(c), F.lit(0))
-    out = df.withColumns(fills)
+    out = rows.withColumns(fills).select(*names)
     return fill_zero(out) if zero_fill else out
 
 
@@ -143,13 +172,12 @@ def outlier_bounds(
     k: float = 1.5,
     approx: bool = False,
     accuracy: int = 100000,
-    sizes: DataFrame | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Per column: q_lo - k*(q_hi-q_lo) and q_hi + k*(q_hi-q_lo).
 
-    Exact interpolated quantiles by default (``group_quantiles``: map-based
-    for ordinary groups, distributed sort for huge ones); ``approx=True``
-    switches to ``percentile_approx``.
+    Exact interpolated quantiles by default (``group_quantiles``); ``approx=True``
+    switches to ``percentile_approx``.  ``stored``: ``df`` is a table.
     """
     if approx:
         aggs = [F.percentile_approx(F.col(c), [lower_q, upper_q], accuracy).alias(f"__a_{c}") for c in cols]
@@ -157,7 +185,7 @@ def outlier_bounds(
             *group_keys, *[F.col(f"__a_{c}")[i].alias(f"__q{i}_{c}") for c in cols for i in (0, 1)]
         )
     else:
-        stats = group_quantiles(df, cols, [lower_q, upper_q], group_keys, sizes)
+        stats = group_quantiles(df, cols, [lower_q, upper_q], group_keys, stored)
     out = [F.col(k_) for k_ in group_keys]
     for c in cols:
         lo, hi = F.col(f"__q0_{c}"), F.col(f"__q1_{c}")
@@ -210,8 +238,7 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # --------------------------------------------------------------------------- P8
 def column_medians(df: DataFrame, cols: Sequence[str], group_keys: Sequence[str] = ()) -> DataFrame:
-    """Interpolated median of every column per group (one aggregate for
-    ordinary groups; huge groups take the distributed sort path)."""
+    """Interpolated median of every column per group, all at once."""
     return group_medians(df, cols, group_keys)
 
 

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kharif.functions.calendar import calendar_columns, month_cos, month_sin
+from kharif.operators import series
 from kharif.operators.clean import NUMERIC_TYPES, _attach
-from kharif.session import fitted
+from kharif.session import cut_lineage, fitted
 from kharif.schema import FEATURE_KEYS, FEATURE_ORDER, TARGET
 from kharif.sources import dims
 
@@ -91,10 +92,24 @@ def add_series_features(
     keys: Sequence[str] = FEATURE_KEYS,
     order: Sequence[str] = FEATURE_ORDER,
     exclude_current: bool = False,
+    sizes_from: DataFrame | None = None,
+    shard_rows: int | None = None,
 ) -> DataFrame:
-    """All lag and rolling features in one window pass."""
-    w = series_window(keys, order)
-    return df.select("*", *lag_columns(target, lags, w), *rolling_columns(target, windows, w, exclude_current))
+    """All lag and rolling features in one window pass.
+
+    Large series are windowed in time shards with a halo as long as the longest
+    lag or window (``operators.series``).  ``sizes_from`` is a table with the same
+    keys and no fewer rows a series, from which to tell whether there are any."""
+    big = series.large_series(df if sizes_from is None else sizes_from, keys, shard_rows)
+    names, parts, own = df.columns, list(keys), F.lit(True)
+    if big is not None:
+        df = cut_lineage(df, "periodic")
+        cuts = series.shard_map(df, big, keys, order[0], shard_rows, halo=max([*lags, *windows]))
+        df = series.in_shards(df, cuts, keys, order[0]).repartition(*keys, series.SHARD)
+        parts, own = [*parts, series.SHARD], ~F.col(series.HALO)
+    w = series_window(parts, order)
+    out = df.select("*", *lag_columns(target, lags, w), *rolling_columns(target, windows, w, exclude_current))
+    return out.where(own).drop(series.SHARD, series.HALO) if big is not None else out.select(*names, *out.columns[len(names):])
 
 
 # ------------------------------------------------------------------ A7 J2

@@ -44,9 +44,9 @@ def violations(df: DataFrame, critical: Sequence[str] = CRITICAL_COLUMNS, price:
 
 
 # --------------------------------------------------------------------------- A5
-def quality_profile(df: DataFrame, price: str = TARGET) -> DataFrame:
+def quality_profile(df: DataFrame, price: str = TARGET, stored: bool = False) -> DataFrame:
     """One row: counts, date range, NULLs per column, distinct markets /
-    crops / states, price min, max, mean, median."""
+    crops / states, price min, max, mean, median.  ``stored``: ``df`` is a table."""
     aggs = [
         F.count(F.lit(1)).alias("total_records"),
         F.min("date").alias("start_date"),
@@ -59,7 +59,7 @@ def quality_profile(df: DataFrame, price: str = TARGET) -> DataFrame:
         F.avg(price).alias("mean_price"),
     ]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in df.columns]
-    med = group_medians(df, [price]).select(F.col(f"__med_{price}").alias("median_price"))
+    med = group_medians(df, [price], stored=stored).select(F.col(f"__med_{price}").alias("median_price"))
     out = df.agg(*aggs).crossJoin(med)
     first = ["total_records", "start_date", "end_date", "markets", "crops", "states", "min_price", "max_price", "mean_price", "median_price"]
     return out.select(*first, *[c for c in out.columns if c not in first])

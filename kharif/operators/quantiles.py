@@ -1,70 +1,49 @@
-"""Exact interpolated quantiles that stay distributed for huge groups.
-
-Spark's ``percentile`` keeps a value -> count map per group and merges all
-of a group's maps in one task, which is fine for ordinary groups but puts a
-hot group (a crop holding a third of the rows, say) on one executor.  Groups
-above ``MAP_MAX_ROWS`` therefore take a sort-based path: a global range sort
-gives every value its rank inside the group (``with_row_index``), and only
-the two neighbouring ranks of each requested quantile are kept and
-interpolated, ``v[lo] + (h - lo) * (v[hi] - v[lo])`` with ``h = (n - 1) p``,
-the same linear rule as ``percentile`` and NumPy.  Both paths give the same
-numbers; the split is decided from a cheap per-group count.
+"""Exact interpolated quantiles of many columns, groups and levels at once.
+
+One algorithm for groups of any size.  First, one aggregate per group gives the
+count, minimum and maximum of every column.  Then each wanted rank is narrowed:
+its range of values is cut into ``BUCKETS`` buckets, one aggregate counts them
+for all columns, groups and ranks together (combined on the map side, so a group
+holding a third of the rows is no hot task), and the bucket that holds the rank,
+with its own minimum and maximum, is the next range.  A range of at most
+``FINAL_ROWS`` values, or of equal ones, is done: its values are sorted and the
+rank is picked.  Nothing is sorted globally, no map of values is held and no row
+reaches the driver; a round costs one pass over the needed columns.
+
+The value at level p of n values is ``v[lo] + (h - lo) * (v[hi] - v[lo])`` with
+``h = (n - 1) p``, the linear rule of ``percentile``, NumPy and DuckDB.  NULL and
+NaN are left out; infinite values count as the ends of the range; a group with
+no value of a column has NULL; a NULL key is a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kharif.session import fitted
+from kharif.operators.joins import null_safe_join
+from kharif.session import cut_lineage, fitted
 
-MAP_MAX_ROWS = 5_000_000
+#: Buckets of a round; values of a range that are sorted at last.
+BUCKETS, FINAL_ROWS = 1 << 12, 1 << 14
+_MAX = 1.7976931348623157e308
 
 
 def _name(c: str, i: int) -> str:
     return f"__q{i}_{c}"
 
 
-def _map_based(df: DataFrame, cols: Sequence[str], probs: Sequence[float], group_keys: Sequence[str]) -> DataFrame:
-    aggs = []
-    for c in cols:
-        arr = F.percentile(F.col(c), list(probs)).alias(f"__arr_{c}")
-        aggs.append(arr)
-    out = df.groupBy(*group_keys).agg(*aggs)
-    return out.select(*group_keys, *[F.col(f"__arr_{c}")[i].alias(_name(c, i)) for c in cols for i in range(len(probs))])
-
-
-def _sort_based(df: DataFrame, cols: Sequence[str], probs: Sequence[float], group_keys: Sequence[str]) -> DataFrame:
-    from kharif.operators.split import with_row_index
-
-    result = None
-    for c in cols:
-        ranked = with_row_index(df.where(F.col(c).isNotNull()).select(*group_keys, c), (c,), group_keys)
-        n1 = F.col("group_rows") - 1
-        picks = []
-        for i, p in enumerate(probs):
-            h = n1 * float(p)
-            lo, hi = F.floor(h), F.ceil(h)
-            picks += [
-                F.max(F.when(F.col("row_index") == lo, F.col(c))).alias(f"__lo{i}"),
-                F.max(F.when(F.col("row_index") == hi, F.col(c))).alias(f"__hi{i}"),
-                F.first(h - lo).alias(f"__fr{i}"),
-            ]
-        keep = None
-        for p in probs:
-            h = n1 * float(p)
-            cond = (F.col("row_index") == F.floor(h)) | (F.col("row_index") == F.ceil(h))
-            keep = cond if keep is None else keep | cond
-        agg = ranked.where(keep).groupBy(*group_keys).agg(*picks)
-        part = agg.select(
-            *group_keys,
-            *[(F.col(f"__lo{i}") + F.col(f"__fr{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(_name(c, i))
-              for i in range(len(probs))],
-        )
-        result = part if result is None else result.join(part, list(group_keys), "full_outer") if group_keys else result.crossJoin(part)
-    return result
+def _place(v: Column, lo: Column, hi: Column, curved: bool) -> Column:
+    """Bucket of a value, never falling as the value grows.  The first round
+    spaces buckets by magnitude, so that far outliers do not cost rounds."""
+    def flat(x: Column) -> Column:
+        x = F.least(F.greatest(x, F.lit(-_MAX)), F.lit(_MAX))
+        return F.signum(x) * F.log1p(F.abs(x)) if curved else x / 2
+
+    share = (flat(v) - flat(lo)) / (flat(hi) - flat(lo))
+    return F.least(F.floor(F.greatest(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
 
 
 def group_quantiles(
@@ -72,31 +51,63 @@ def group_quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     group_keys: Sequence[str] = (),
-    sizes: DataFrame | None = None,
-    map_max_rows: int = MAP_MAX_ROWS,
+    stored: bool = False,
+    final_rows: int | None = None,
 ) -> DataFrame:
-    """One row per group with ``__q{i}_{col}`` for every column and prob.
-
-    ``sizes`` (group keys + ``count``) may be passed when a cheaper frame
-    with the same group sizes is at hand (e.g. the table before a
-    row-preserving window step)."""
-    if sizes is None:
-        sizes = df.groupBy(*group_keys).agg(F.count(F.lit(1)).alias("count"))
-    if not group_keys:
-        total = sizes.first()["count"]
-        return _map_based(df, cols, probs, ()) if total <= map_max_rows else _sort_based(df, cols, probs, ())
-    # At most total / map_max_rows groups can be big; Catalyst sizes the joins.
-    big = fitted(sizes.where(F.col("count") > map_max_rows).select(*group_keys))
-    if not big.take(1):
-        return _map_based(df, cols, probs, group_keys)
-    b = big
-    small_part = _map_based(df.join(b, list(group_keys), "left_anti"), cols, probs, group_keys)
-    big_part = _sort_based(df.join(b, list(group_keys), "left_semi"), cols, probs, group_keys)
-    return small_part.unionByName(big_part)
-
-
-def group_medians(df: DataFrame, cols: Sequence[str], group_keys: Sequence[str] = (), sizes: DataFrame | None = None,
-                  map_max_rows: int = MAP_MAX_ROWS) -> DataFrame:
+    """One row per group with ``__q{i}_{col}`` for every column and level.
+
+    ``stored`` says that ``df`` is cheap to read again (a table); else its needed
+    columns are written once."""
+    final_rows = FINAL_ROWS if final_rows is None else final_rows
+    keys = [f"__k{i}" for i in range(len(group_keys))]
+    need = df.select(*[F.col(f"`{g}`").alias(k) for g, k in zip(group_keys, keys)], *[F.col(f"`{c}`").cast("double").alias(f"__c{i}") for i, c in enumerate(cols)])
+    need = need if stored else cut_lineage(need, "quantile-input")
+    value = lambda i: F.when(~F.isnan(f"__c{i}"), F.col(f"__c{i}"))
+
+    stats = []
+    for i in range(len(cols)):
+        stats.append(F.struct(F.lit(i).alias("c"), F.count(value(i)).alias("n"), F.min(value(i)).alias("lo"), F.max(value(i)).alias("hi")))
+    groups = fitted(need.groupBy(*keys).agg(F.array(*stats).alias("s")), "quantile-groups")
+    h = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    levels = [F.struct(F.lit(j).alias("j"), F.floor(h(p)).alias("below"), (h(p) - F.floor(h(p))).alias("part")) for j, p in enumerate(probs)]
+    wanted = groups.select(*keys, F.explode("s").alias("s")).select(*keys, "s.*").where("n > 0")
+    wanted = wanted.withColumn("l", F.explode(F.array(*levels))).select(*keys, "c", "n", "lo", "hi", "l.*")
+    upper = F.least(F.col("below") + 1, F.col("n") - 1)
+    ranks = wanted.select(*keys, "c", "lo", "hi", "n", F.explode(F.array("below", upper)).alias("rank")).distinct()
+    # rank: of the whole group; k: of the range that is left.
+    ranks = ranks.withColumn("k", F.col("rank"))
+    long = need.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("c"), value(i).alias("v")) for i in range(len(cols))])).alias("x"))
+    long = long.select(*keys, "x.*").where("v is not null")
+    on, curved = [*keys, "c"], True
+    open_ = (F.col("n") > final_rows) & (F.col("lo") < F.col("hi"))
+    while ranks.where(open_).take(1):
+        ranges = ranks.where(open_).select(*on, "lo", "hi").distinct()
+        met = null_safe_join(long, ranges, on, "v >= lo and v <= hi")
+        met = met.select(*on, "lo", "hi", "v", _place(F.col("v"), F.col("lo"), F.col("hi"), curved).alias("b"))
+        found = met.groupBy(*on, "lo", "hi", "b").agg(F.count("*").alias("m"), F.min("v").alias("nlo"), F.max("v").alias("nhi"))
+        upto = Window.partitionBy(*on, "lo", "hi").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
+        found = found.withColumn("before", F.coalesce(F.sum("m").over(upto), F.lit(0)))
+        moved = null_safe_join(ranks, found, [*on, "lo", "hi"], "k >= before and k < before + m", "left").select(
+            *on, "rank", F.coalesce("nlo", "lo").alias("lo"), F.coalesce("nhi", "hi").alias("hi"),
+            F.coalesce("m", "n").alias("n"), (F.col("k") - F.coalesce("before", F.lit(0))).alias("k"),
+        )
+        ranks, curved = fitted(moved, "quantile-ranks"), False
+    # What is left of each range, in order: at most FINAL_ROWS values.
+    last = ranks.where("lo < hi").select(*on, "lo", "hi").distinct()
+    rest = null_safe_join(long, last, on, "v >= lo and v <= hi").groupBy(*on, "lo", "hi").agg(F.sort_array(F.collect_list("v")).alias("all"))
+    picked = null_safe_join(ranks, rest, [*on, "lo", "hi"], how="left")
+    picked = picked.select(*on, "rank", F.coalesce(F.element_at("all", (F.col("k") + 1).cast("int")), "lo").alias("v"))
+    at = picked.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    whole = null_safe_join(wanted, at, on).select(*on, "j", "part", F.element_at("at", F.col("below")).alias("a"), F.element_at("at", F.least(F.col("below") + 1, F.col("n") - 1)).alias("b"))
+    # Between equal neighbours (infinite ones too) there is nothing to add.
+    whole = whole.withColumn("q", F.when((F.col("a") == F.col("b")) | (F.col("part") == 0), F.col("a")).otherwise(F.col("a") + F.col("part") * (F.col("b") - F.col("a"))))
+    wide = whole.groupBy(*keys).agg(*[F.max(F.when((F.col("c") == i) & (F.col("j") == j), F.col("q"))).alias(_name(c, j)) for i, c in enumerate(cols) for j in range(len(probs))])
+    # Without keys both have one row.
+    out = null_safe_join(groups, wide, keys, how="left") if keys else groups.join(F.broadcast(wide), F.lit(True), "left")
+    return out.select(*[F.col(k).alias(g) for k, g in zip(keys, group_keys)], *[_name(c, j) for c in cols for j in range(len(probs))])
+
+
+def group_medians(df: DataFrame, cols: Sequence[str], group_keys: Sequence[str] = (), stored: bool = False, final_rows: int | None = None) -> DataFrame:
     """Interpolated medians as ``__med_{col}`` per group."""
-    q = group_quantiles(df, cols, [0.5], group_keys, sizes, map_max_rows)
+    q = group_quantiles(df, cols, [0.5], group_keys, stored, final_rows)
     return q.select(*group_keys, *[F.col(_name(c, 0)).alias(f"__med_{c}") for c in cols])

@@ -16,35 +16,27 @@ from pyspark.sql import functions as F
 
 from kharif.operators import clean, features, rollup
 from kharif.schema import FEATURE_KEYS, IMPUTE_KEYS, TARGET
+from kharif.session import cut_lineage
 
 CROP_GROUP = ("crop",)
 
 
-def clean_daily(obs: DataFrame, group_keys: Sequence[str] = CROP_GROUP, approx_bounds: bool = False) -> DataFrame:
-    """Impute per series, then cap prices to per-crop quantile bounds.
+def clean_daily(obs: DataFrame, group_keys: Sequence[str] = CROP_GROUP, approx_bounds: bool = False, stored: bool = False) -> DataFrame:
+    """Impute per series, then cap prices to per-crop quantile bounds.  The
+    imputed table is written once: bounds and output read it."""
+    imputed = cut_lineage(clean.impute(obs, stored=stored), "imputed")
+    return clean.winsorize(imputed, group_keys=group_keys, approx=approx_bounds, stored=True)
 
-    The series partitioning (market, crop, variety) is shared by the fill and
-    median windows; one exchange.
-    """
-    imputed = clean.impute(obs)
-    # Imputation keeps every row, so group sizes come from the cheaper input.
-    sizes = obs.groupBy(*group_keys).agg(F.count(F.lit(1)).alias("count"))
-    return clean.winsorize(imputed, group_keys=group_keys, approx=approx_bounds, sizes=sizes)
 
+def weekly_table(obs: DataFrame, freq: str = "weekly", group_keys: Sequence[str] = CROP_GROUP, stored: bool = False) -> DataFrame:
+    """Clean and roll up; ``stored`` says that ``obs`` is a table."""
+    return rollup.rollup(clean_daily(obs, group_keys, stored=stored), freq)
 
-def weekly_table(obs: DataFrame, freq: str = "weekly", group_keys: Sequence[str] = CROP_GROUP) -> DataFrame:
-    """Clean and roll up.  One hash exchange on (market, crop) serves the
-    series fills (market, crop, variety), the roll-up groups and the later
-    lag / rolling windows (market, crop): every one of them is clustered by a
-    superset of those keys, so Catalyst adds no further shuffle."""
-    clustered = obs.repartition(*FEATURE_KEYS)
-    return rollup.rollup(clean_daily(clustered, group_keys), freq)
 
-
-def series_features(periodic: DataFrame, exclude_current: bool = False) -> DataFrame:
+def series_features(periodic: DataFrame, exclude_current: bool = False, sizes_from: DataFrame | None = None, shard_rows: int | None = None) -> DataFrame:
     """Calendar, harvest, lag and rolling features; rolling ones of earlier
     rows only with ``exclude_current``."""
-    return features.add_series_features(features.add_time_features(periodic), exclude_current=exclude_current)
+    return features.add_series_features(features.add_time_features(periodic), exclude_current=exclude_current, sizes_from=sizes_from, shard_rows=shard_rows)
 
 
 def encode(df: DataFrame, vocabulary: Sequence[str] | None, group_keys: Sequence[str] = CROP_GROUP) -> DataFrame:

@@ -61,11 +61,11 @@ def obs_table(spark, sf_dir):
 
 
 def daily_clean(spark, sf_dir):
-    return chain.clean_daily(obs_table(spark, sf_dir))
+    return chain.clean_daily(obs_table(spark, sf_dir), stored=True)
 
 
 def weekly(spark, sf_dir):
-    return chain.weekly_table(obs_table(spark, sf_dir))
+    return chain.weekly_table(obs_table(spark, sf_dir), stored=True)
 
 
 def targets(spark, sf_dir):
@@ -75,7 +75,8 @@ def targets(spark, sf_dir):
 
 
 def weekly_features(spark, sf_dir):
-    return chain.series_features(weekly(spark, sf_dir))
+    o = obs_table(spark, sf_dir)
+    return chain.series_features(chain.weekly_table(o, stored=True), sizes_from=o)
 
 
 # ------------------------------------------------------------------ sources
@@ -95,9 +96,7 @@ def w1(spark, sf_dir):
 @query("a4_group_medians")
 def a4(spark, sf_dir):
     """Median of arrivals, rain, temperature, acreage per series."""
-    return obs(spark, sf_dir).groupBy("market", "crop", "variety").agg(
-        *[F.median(c).alias(c) for c in MEDIAN_FILL_COLS]
-    )
+    return clean.series_medians(obs(spark, sf_dir)).withColumnsRenamed({f"__med_{c}": c for c in MEDIAN_FILL_COLS})
 
 
 @query("j7_median_fill")
@@ -120,7 +119,7 @@ def a1(spark, sf_dir):
 
 @query("a2_monthly_rollup")
 def a2(spark, sf_dir):
-    return chain.weekly_table(obs(spark, sf_dir), freq="monthly")
+    return chain.weekly_table(obs_table(spark, sf_dir), freq="monthly", stored=True)
 
 
 @query("a3_daily_passthrough")
@@ -171,7 +170,7 @@ def s3(spark, sf_dir):
 
 @query("a5_quality_profile")
 def a5(spark, sf_dir):
-    return quality.quality_profile(obs_table(spark, sf_dir))
+    return quality.quality_profile(obs_table(spark, sf_dir), stored=True)
 
 
 @query("a6_load_profile")

@@ -337,18 +337,3 @@ def test_permutation_multiplier_is_a_permutation():
 
 
 # --------------------------------------------------------------------- quantiles
-def test_sort_path_quantiles_equal_map_path(spark):
-    from kharif.operators import quantiles
-
-    rng = np.random.default_rng(3)
-    rows = [("a" if i % 4 else "b", float(rng.normal())) for i in range(3000)]
-    df = spark.createDataFrame(rows, "g string, x double")
-    probs = [0.05, 0.5, 0.95]
-    m = {r["g"]: r for r in quantiles.group_quantiles(df, ["x"], probs, ["g"]).collect()}
-    s = {r["g"]: r for r in quantiles.group_quantiles(df, ["x"], probs, ["g"], map_max_rows=1000).collect()}
-    for g in ("a", "b"):
-        want = np.percentile([x for k, x in rows if k == g], [5, 50, 95])
-        for i in range(3):
-            assert m[g][f"__q{i}_x"] == pytest.approx(want[i]) and s[g][f"__q{i}_x"] == pytest.approx(want[i])
-    glob = quantiles.group_quantiles(df, ["x"], [0.5], [], map_max_rows=10).first()
-    assert glob["__q0_x"] == pytest.approx(np.median([x for _, x in rows]))
