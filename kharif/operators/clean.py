@@ -259,7 +259,8 @@ def fill_median(
             return df
         medians = column_medians(df, cols, group_keys)
     j = _attach(df, medians, group_keys)
-    return j.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in cols}).drop(
+    # Whole-number columns stay whole: their median is cast.
+    return j.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}").cast(df.schema[c].dataType)) for c in cols}).drop(
         *[f"__med_{c}" for c in cols]
     )
 

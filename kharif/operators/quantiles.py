@@ -68,19 +68,21 @@ def group_quantiles(
     for i in range(len(cols)):
         stats.append(F.struct(F.lit(i).alias("c"), F.count(value(i)).alias("n"), F.min(value(i)).alias("lo"), F.max(value(i)).alias("hi")))
     groups = fitted(need.groupBy(*keys).agg(F.array(*stats).alias("s")), "quantile-groups")
+    # Two ranks a level, the one below it and the next; k counts within the range that is left.
     h = lambda p: (F.col("n") - 1) * F.lit(float(p))
-    levels = [F.struct(F.lit(j).alias("j"), F.floor(h(p)).alias("below"), (h(p) - F.floor(h(p))).alias("part")) for j, p in enumerate(probs)]
-    wanted = groups.select(*keys, F.explode("s").alias("s")).select(*keys, "s.*").where("n > 0")
-    wanted = wanted.withColumn("l", F.explode(F.array(*levels))).select(*keys, "c", "n", "lo", "hi", "l.*")
-    upper = F.least(F.col("below") + 1, F.col("n") - 1)
-    ranks = wanted.select(*keys, "c", "lo", "hi", "n", F.explode(F.array("below", upper)).alias("rank")).distinct()
-    # rank: of the whole group; k: of the range that is left.
-    ranks = ranks.withColumn("k", F.col("rank"))
+    part = lambda p: h(p) - F.floor(h(p))
+    both = lambda j, p: [
+        F.struct(F.lit(j).alias("j"), F.lit(False).alias("next"), part(p).alias("part"), F.floor(h(p)).alias("k")),
+        F.struct(F.lit(j).alias("j"), F.lit(True).alias("next"), part(p).alias("part"), F.least(F.floor(h(p)) + 1, F.col("n") - 1).alias("k")),
+    ]
+    ranks = groups.select(*keys, F.explode("s").alias("s")).select(*keys, "s.*")
+    ranks = ranks.withColumn("l", F.explode(F.array(*[x for j, p in enumerate(probs) for x in both(j, p)]))).select(*keys, "c", "n", "lo", "hi", "l.*")
     long = need.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("c"), value(i).alias("v")) for i in range(len(cols))])).alias("x"))
     long = long.select(*keys, "x.*").where("v is not null")
     on, curved = [*keys, "c"], True
     open_ = (F.col("n") > final_rows) & (F.col("lo") < F.col("hi"))
-    while ranks.where(open_).take(1):
+    left = groups.where(F.exists("s", lambda x: (x["n"] > final_rows) & (x["lo"] < x["hi"]))).take(1)
+    while left:
         ranges = ranks.where(open_).select(*on, "lo", "hi").distinct()
         met = null_safe_join(long, ranges, on, "v >= lo and v <= hi")
         met = met.select(*on, "lo", "hi", "v", _place(F.col("v"), F.col("lo"), F.col("hi"), curved).alias("b"))
@@ -88,23 +90,33 @@ def group_quantiles(
         upto = Window.partitionBy(*on, "lo", "hi").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
         found = found.withColumn("before", F.coalesce(F.sum("m").over(upto), F.lit(0)))
         moved = null_safe_join(ranks, found, [*on, "lo", "hi"], "k >= before and k < before + m", "left").select(
-            *on, "rank", F.coalesce("nlo", "lo").alias("lo"), F.coalesce("nhi", "hi").alias("hi"),
-            F.coalesce("m", "n").alias("n"), (F.col("k") - F.coalesce("before", F.lit(0))).alias("k"),
+            *on, F.coalesce("m", "n").alias("n"), F.coalesce("nlo", "lo").alias("lo"), F.coalesce("nhi", "hi").alias("hi"),
+            "j", "next", "part", (F.col("k") - F.coalesce("before", F.lit(0))).alias("k"),
         )
         ranks, curved = fitted(moved, "quantile-ranks"), False
+        left = ranks.where(open_).take(1)
     # What is left of each range, in order: at most FINAL_ROWS values.
     last = ranks.where("lo < hi").select(*on, "lo", "hi").distinct()
     rest = null_safe_join(long, last, on, "v >= lo and v <= hi").groupBy(*on, "lo", "hi").agg(F.sort_array(F.collect_list("v")).alias("all"))
     picked = null_safe_join(ranks, rest, [*on, "lo", "hi"], how="left")
-    picked = picked.select(*on, "rank", F.coalesce(F.element_at("all", (F.col("k") + 1).cast("int")), "lo").alias("v"))
-    at = picked.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
-    whole = null_safe_join(wanted, at, on).select(*on, "j", "part", F.element_at("at", F.col("below")).alias("a"), F.element_at("at", F.least(F.col("below") + 1, F.col("n") - 1)).alias("b"))
-    # Between equal neighbours (infinite ones too) there is nothing to add.
-    whole = whole.withColumn("q", F.when((F.col("a") == F.col("b")) | (F.col("part") == 0), F.col("a")).otherwise(F.col("a") + F.col("part") * (F.col("b") - F.col("a"))))
-    wide = whole.groupBy(*keys).agg(*[F.max(F.when((F.col("c") == i) & (F.col("j") == j), F.col("q"))).alias(_name(c, j)) for i, c in enumerate(cols) for j in range(len(probs))])
-    # Without keys both have one row.
-    out = null_safe_join(groups, wide, keys, how="left") if keys else groups.join(F.broadcast(wide), F.lit(True), "left")
-    return out.select(*[F.col(k).alias(g) for k, g in zip(keys, group_keys)], *[_name(c, j) for c in cols for j in range(len(probs))])
+    picked = picked.withColumn("v", F.coalesce(F.element_at("all", (F.col("k") + 1).cast("int")), "lo"))
+
+    def told(i: int, j: int) -> list[Column]:
+        own = (F.col("c") == i) & (F.col("j") == j)
+        return [
+            F.max(F.when(own & ~F.col("next"), F.col("v"))).alias(f"__a{j}_{i}"),
+            F.max(F.when(own & F.col("next"), F.col("v"))).alias(f"__b{j}_{i}"),
+            F.max(F.when(own, F.col("part"))).alias(f"__p{j}_{i}"),
+        ]
+
+    wide = picked.groupBy(*keys).agg(*[x for i in range(len(cols)) for j in range(len(probs)) for x in told(i, j)])
+
+    def between(i: int, j: int) -> Column:
+        a, b, p = (F.col(f"__{x}{j}_{i}") for x in "abp")
+        # Between equal neighbours (infinite ones too) there is nothing to add.
+        return F.when((a == b) | (p == 0), a).otherwise(a + p * (b - a)).alias(_name(cols[i], j))
+
+    return wide.select(*[F.col(k).alias(g) for k, g in zip(keys, group_keys)], *[between(i, j) for i in range(len(cols)) for j in range(len(probs))])
 
 
 def group_medians(df: DataFrame, cols: Sequence[str], group_keys: Sequence[str] = (), stored: bool = False, final_rows: int | None = None) -> DataFrame:

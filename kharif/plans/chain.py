@@ -50,6 +50,13 @@ def encode(df: DataFrame, vocabulary: Sequence[str] | None, group_keys: Sequence
     return features.one_hot(out, "variety", vocabulary)
 
 
+def unfitted_schema(obs: DataFrame) -> DataFrame:
+    """A frame with the columns of the feature table; nothing is fitted or run."""
+    rows = features.add_time_features(rollup.rollup(obs, "weekly"))
+    rows = rows.select("*", *features.lag_columns(), *features.rolling_columns())
+    return rows.withColumns({f"{c}_encoded": F.lit(0.0) for c in ("market", "state")})
+
+
 def feature_table(obs: DataFrame, vocabulary: Sequence[str] | None = None, freq: str = "weekly") -> DataFrame:
     """Weekly feature table with keys, all feature columns and the target."""
     return encode(series_features(weekly_table(obs, freq)), vocabulary)

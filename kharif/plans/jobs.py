@@ -7,52 +7,62 @@ feature table.  Everything between is one lazy plan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kharif.operators import clean, evaluate, features, forecast, split
-from kharif.plans import chain
+from kharif.operators import clean, evaluate, features, forecast, rollup, split
+from kharif.operators.joins import null_safe_join
+from kharif.plans.feature_chain import ONE_HOT, FeatureChain, FeatureChainModel
 from kharif.plans.model import GBTParams, TrainedModel, score, train_gbt, with_validation_flag
 from kharif.schema import TARGET
-from kharif.session import cut_lineage
+from kharif.session import cut_lineage, fitted
 
 SERIES_ID = ["date", "market", "crop", "variety", "state", "district"]
 
 
-def with_crop_indicators(df: DataFrame, crops: Sequence[str]) -> DataFrame:
-    """0/1 crop columns so one model serves every crop."""
-    return features.one_hot(df, "crop", crops, prefix="crop_is_")
-
-
 @dataclass
 class TrainingResult:
     model: TrainedModel
     frame: DataFrame          # prepared features with ``split``
-    test_scored: DataFrame    # test rows with ``prediction``
-    metrics: DataFrame        # A12 on the test rows, per crop
+    test_scored: DataFrame    # test rows with ``prediction`` and ``naive``
+    metrics: DataFrame        # A12 on the test rows per crop, of the model and of the lag-1 forecast
     summary: DataFrame        # S8 stage counts
 
 
-def model_features(spark_frame: DataFrame, crops: Sequence[str]) -> list[str]:
-    return features.feature_columns(spark_frame) + [f"crop_is_{c}" for c in crops]
+def train_cutoff(obs: DataFrame, train_fraction: float = 0.8, freq: str = "weekly") -> DataFrame:
+    """(crop, cutoff_day): the date quantile of each crop's periodic rows, found
+    before anything is fitted (cleaning keeps all rows and dates)."""
+    label = rollup.period_label(freq)
+    rows = obs.select(*[c for c in SERIES_ID if c != "date"], label.alias("date")).distinct()
+    return fitted(rows.groupBy("crop").agg(F.percentile(F.unix_date("date"), train_fraction).alias("cutoff_day")), "cutoff")
 
 
-def prepare_model_frame(obs: DataFrame, materialize: bool = True, exclude_current: bool = False) -> tuple[DataFrame, list[str]]:
-    """Observation table -> prepared weekly feature frame and its columns.
-    Models of the current price need ``exclude_current``: a rolling mean over
-    the row's own price would give its target away."""
-    weekly_feats = chain.series_features(chain.weekly_table(obs), exclude_current)
-    if materialize:
-        weekly_feats = cut_lineage(weekly_feats, "weekly-features")
-    vocab = features.collect_vocabulary(weekly_feats, "variety")
-    crops = features.collect_vocabulary(weekly_feats, "crop")
-    enc = with_crop_indicators(chain.encode(weekly_feats, vocab), crops)
-    cols = model_features(enc, crops)
-    mf = chain.prepare_training(enc.select(*SERIES_ID, *cols, TARGET), cols)
-    return mf, cols
+def with_split(rows: DataFrame, cutoff: DataFrame, day=None) -> DataFrame:
+    day = F.unix_date("date") if day is None else day
+    met = null_safe_join(rows, cutoff, ["crop"], how="left")
+    return met.withColumn("split", F.when(day <= F.col("cutoff_day"), "train").otherwise("test"))
+
+
+def prepare_model_frame(obs: DataFrame, train_fraction: float | None = 0.8, exclude_current: bool = True, warmup: str = "drop") -> tuple[DataFrame, list[str], FeatureChainModel]:
+    """A written observation table -> model rows with ``split`` and one-hot
+    indexes, their numeric columns, and the chain that made them.
+
+    The chain is fitted on the train rows alone (caps, medians, codes,
+    vocabulary) and then applied to all; ``train_fraction`` None fits it on all
+    rows.  Models of the current price need ``exclude_current``: a rolling mean
+    over the row's own price would give its target away."""
+    chain = FeatureChain(excludeCurrent=exclude_current, warmup=warmup)
+    if train_fraction is None:
+        fitted_chain, rows = chain.fit_rows(obs, stored=True)
+    else:
+        cutoff = train_cutoff(obs, train_fraction)
+        known = with_split(obs, cutoff, F.unix_date(rollup.period_label("weekly"))).where("split = 'train'").select(*obs.columns)
+        fitted_chain, _ = chain.fit_rows(known)
+        rows = with_split(clean.drop_null_target(fitted_chain.transform(obs)), cutoff)
+    cols = features.feature_columns(rows)
+    return fitted_chain.indexed(rows), cols, fitted_chain
 
 
 def training_job(
@@ -64,10 +74,12 @@ def training_job(
     """Observations -> features -> split -> GBT (early stopping on a
     frame cut from the train range) -> test metrics and run summary."""
     obs = cut_lineage(obs, "observations")
-    mf, cols = prepare_model_frame(obs, exclude_current=True)
     if split_mode == "temporal":
-        framed = split.temporal_split(mf)
+        mf, cols, chain = prepare_model_frame(obs)
+        framed = mf.drop("cutoff_day")
     elif split_mode == "positional":
+        # Split by market order, which no observation shows before the chain has run.
+        mf, cols, chain = prepare_model_frame(obs, None)
         framed = split.positional_split(mf).drop("row_index", "group_rows")
     else:
         raise ValueError("split_mode must be 'temporal' or 'positional'")
@@ -78,12 +90,14 @@ def training_job(
     if validation_fraction > 0:
         train = with_validation_flag(train, validation_fraction)
         vcol = "is_validation"
-    model = train_gbt(train, cols, TARGET, params, vcol)
-    test_scored = score(model, test)
-    metrics = evaluate.error_metrics(
-        test_scored.select("crop", F.col(TARGET).alias("y_true"), F.col("prediction").alias("y_pred")), ("crop",)
-    )
-    return TrainingResult(model, framed, test_scored, metrics, run_summary(obs, mf, framed))
+    model = train_gbt(train, cols, TARGET, params, vcol, chain)
+    test_scored = score(model, test).withColumn("naive", F.col("lag_1"))
+    metrics = None
+    for name, pred in (("gbt", "prediction"), ("lag_1", "naive")):
+        told = evaluate.error_metrics(test_scored.select("crop", F.col(TARGET).alias("y_true"), F.col(pred).alias("y_pred")), ("crop",))
+        told = told.withColumn("forecast", F.lit(name))
+        metrics = told if metrics is None else metrics.unionByName(told)
+    return TrainingResult(model, framed, test_scored, metrics, run_summary(obs, framed, framed))
 
 
 def run_summary(obs: DataFrame, processed: DataFrame, framed: DataFrame) -> DataFrame:
@@ -115,7 +129,7 @@ def forecast_job(
     acc = forecast.accepted(validated).select(
         "request_id", "market", "state", "crop", "variety", "horizon_weeks", "as_of"
     )
-    cols = [c for c in model.feature_columns]
+    cols = [*model.feature_columns, *([f"{c}_index" for c in ONE_HOT] if model.chain is not None else [])]
     joined = forecast.asof_features(acc, feature_rows, cols)
     have = joined.where(F.col("feature_date").isNotNull())
     scored = score(model, have).withColumnRenamed("prediction", "anchor_price")

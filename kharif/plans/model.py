@@ -9,33 +9,34 @@ document.
 
 from __future__ import annotations
 
-import json
-import math
 import os
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 from datetime import datetime, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kharif.operators import evaluate
+from kharif.plans.feature_chain import ONE_HOT, FeatureChainModel, feature_names
 from kharif.schema import TARGET
+from kharif.session import cut_lineage, fitted
 
 
 @dataclass
 class GBTParams:
-    """Boosting settings.  The reference's production values are 1000 trees,
-    rate 0.1, depth 8, row and column sampling 0.8; Spark samples columns per
-    node (``featureSubsetStrategy``) and has no L1/L2 terms."""
+    """Boosting settings.  The defaults are the production values (1000 trees at
+    most, rate 0.1, depth 8, row and column sampling 0.8); jobs that want fewer
+    trees say so.  Spark samples columns per node (``featureSubsetStrategy``)
+    and has no L1/L2 terms."""
 
-    max_iter: int = 20
+    max_iter: int = 1000
     step_size: float = 0.1
-    max_depth: int = 5
+    max_depth: int = 8
     subsample: float = 0.8
     feature_subset: str = "0.8"
     max_bins: int = 32
@@ -45,35 +46,48 @@ class GBTParams:
 
 @dataclass
 class TrainedModel:
+    """``feature_columns`` are the numeric columns; with a fitted ``chain`` the
+    vector also holds its one-hot values, and observations can be scored."""
+
     model: PipelineModel
     feature_columns: list[str]
     target: str = TARGET
     params: GBTParams = field(default_factory=GBTParams)
     trained_at: str = field(default_factory=lambda: datetime.now(timezone.utc).isoformat())
     model_type: str = "gbt"
+    chain: FeatureChainModel | None = None
 
-    def metadata(self, config: dict | None = None) -> dict:
-        return {
-            "model_type": self.model_type,
-            "training_date": self.trained_at,
-            "config": {"gbt": asdict(self.params), "target": self.target, **(config or {})},
-            "feature_columns": list(self.feature_columns),
-            "feature_count": len(self.feature_columns),
-        }
+    def names(self, spark: SparkSession) -> DataFrame:
+        """(position, feature) of the feature vector."""
+        if self.chain is not None:
+            return feature_names(self.chain, self.feature_columns)
+        return spark.createDataFrame([(i + 1, c) for i, c in enumerate(self.feature_columns)], "position int, feature string")
 
 
 # --------------------------------------------------------------------------- M3
+def one_hot_stages(chain: FeatureChainModel) -> list:
+    """Fitted encoders of the chain's index columns: a sparse vector as wide as
+    the vocabulary, all zero for an unknown value."""
+    stages = []
+    for col in ONE_HOT:
+        known = chain.state["vocabulary"].where(F.col("column_name") == col).select((F.col("position") - 1).cast("double").alias(f"{col}_index"))
+        stages.append(OneHotEncoder(inputCol=f"{col}_index", outputCol=f"{col}_onehot", handleInvalid="keep", dropLast=True).fit(known))
+    return stages
+
+
 def build_pipeline(cols: Sequence[str], target: str = TARGET, params: GBTParams | None = None,
-                   validation_col: str | None = None) -> Pipeline:
+                   validation_col: str | None = None, chain: FeatureChainModel | None = None) -> Pipeline:
     p = params or GBTParams()
-    assembler = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
+    first = one_hot_stages(chain) if chain is not None else []
+    inputs = [*cols, *[s.getOutputCol() for s in first]]
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
     extra = {"validationIndicatorCol": validation_col, "validationTol": p.validation_tol} if validation_col else {}
     gbt = GBTRegressor(
         featuresCol="features", labelCol=target, predictionCol="prediction",
         maxIter=p.max_iter, stepSize=p.step_size, maxDepth=p.max_depth, subsamplingRate=p.subsample,
         featureSubsetStrategy=p.feature_subset, maxBins=p.max_bins, seed=p.seed, **extra,
     )
-    return Pipeline(stages=[assembler, gbt])
+    return Pipeline(stages=[*first, assembler, gbt])
 
 
 def with_validation_flag(train: DataFrame, fraction: float = 0.1, group_keys: Sequence[str] = ("crop",)) -> DataFrame:
@@ -85,21 +99,29 @@ def with_validation_flag(train: DataFrame, fraction: float = 0.1, group_keys: Se
 
 
 def train_gbt(train: DataFrame, cols: Sequence[str], target: str = TARGET, params: GBTParams | None = None,
-              validation_col: str | None = None) -> TrainedModel:
+              validation_col: str | None = None, chain: FeatureChainModel | None = None) -> TrainedModel:
     p = params or GBTParams()
-    fitted = build_pipeline(cols, target, p, validation_col).fit(train)
-    return TrainedModel(fitted, list(cols), target, p)
+    fitted = build_pipeline(cols, target, p, validation_col, chain).fit(train)
+    return TrainedModel(fitted, list(cols), target, p, chain=chain)
 
 
 # --------------------------------------------------------------------------- M4
 def score(model: TrainedModel, df: DataFrame) -> DataFrame:
-    """Batch scoring: adds ``prediction``; the feature vector is dropped."""
-    return model.model.transform(df).drop("features")
+    """Batch scoring of model rows: adds ``prediction``; vectors are dropped."""
+    return model.model.transform(df).drop("features", *[f"{c}_onehot" for c in ONE_HOT])
+
+
+def score_observations(model: TrainedModel, obs: DataFrame) -> DataFrame:
+    """Batch scoring of raw observations with the model's own fitted chain."""
+    if model.chain is None:
+        raise ValueError("the model was trained without a feature chain")
+    return score(model, model.chain.indexed(model.chain.transform(obs)))
 
 
 # --------------------------------------------------------------------------- M5
 def train_multi_horizon(long: DataFrame, cols: Sequence[str], horizons: Sequence[int],
-                        params: GBTParams | None = None, min_rows: int = 100) -> dict[int, TrainedModel]:
+                        params: GBTParams | None = None, min_rows: int = 100,
+                        chain: FeatureChainModel | None = None) -> dict[int, TrainedModel]:
     """One model per horizon on the ``horizon_targets`` frame (label
     ``target_future``); horizons with fewer than ``min_rows`` rows are
     skipped.  Each fit is a distributed job; the loop runs over horizons."""
@@ -108,7 +130,7 @@ def train_multi_horizon(long: DataFrame, cols: Sequence[str], horizons: Sequence
     for h in horizons:
         if counts.get(h, 0) < min_rows:
             continue
-        models[h] = train_gbt(long.where(F.col("horizon") == h), cols, "target_future", params)
+        models[h] = train_gbt(long.where(F.col("horizon") == h), cols, "target_future", params, chain=chain)
     return models
 
 
@@ -128,14 +150,15 @@ def evaluate_horizons(models: dict[int, TrainedModel], long_test: DataFrame, gro
 
 
 # --------------------------------------------------------------------------- M7
-def cross_validate(folds: DataFrame, cols: Sequence[str], target: str = TARGET, params: GBTParams | None = None) -> DataFrame:
+def cross_validate(folds: DataFrame, cols: Sequence[str], target: str = TARGET, params: GBTParams | None = None,
+                   chain: FeatureChainModel | None = None) -> DataFrame:
     """Expanding-window CV over a ``expanding_folds`` frame: train per fold,
     score its test rows, metrics per fold."""
     out = None
     n_folds = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     for k in n_folds:
         f = folds.where(F.col("fold") == k)
-        m = train_gbt(f.where(F.col("role") == "train"), cols, target, params)
+        m = train_gbt(f.where(F.col("role") == "train"), cols, target, params, chain=chain)
         s = score(m, f.where(F.col("role") == "test")).select(
             F.lit(k).alias("fold"), F.col(target).alias("y_true"), F.col("prediction").alias("y_pred")
         )
@@ -146,10 +169,10 @@ def cross_validate(folds: DataFrame, cols: Sequence[str], target: str = TARGET,
 
 # ------------------------------------------------------------------------ M8 O2
 def feature_importance(model: TrainedModel, spark: SparkSession) -> DataFrame:
-    """Impurity-based importances with feature names (a small vector)."""
-    imp = model.model.stages[-1].featureImportances.toArray().tolist()
-    rows = [(i + 1, c, float(v)) for i, (c, v) in enumerate(zip(model.feature_columns, imp))]
-    return spark.createDataFrame(rows, "position int, feature string, importance double")
+    """Impurity-based importances (one number a feature) with their names."""
+    imp = model.model.stages[-1].featureImportances
+    used = spark.createDataFrame([(int(i) + 1, float(imp[int(i)])) for i in imp.indices], "position int, importance double")
+    return model.names(spark).join(used, "position", "left").select("position", "feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
 
 
 def top_n(importance: DataFrame, n: int = 15) -> DataFrame:
@@ -158,74 +181,79 @@ def top_n(importance: DataFrame, n: int = 15) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- M9
-def _coprime_multiplier(n: int, seed: int) -> int:
-    a = (seed * 2654435761) % max(n, 1) or 1
-    while math.gcd(a, n) != 1:
-        a += 1
-    return a
-
-
 def permutation_importance(
     model: TrainedModel,
-    indexed: DataFrame,
-    n_rows: int,
+    rows: DataFrame,
+    key: Sequence[str],
     target: str = TARGET,
     seed: int = 42,
-    index_col: str = "row_index",
 ) -> DataFrame:
-    """Increase in RMSE when one feature's values are permuted across rows.
-
-    ``indexed`` carries a dense 0-based ``row_index`` (``with_row_index``).
-    Feature f is permuted by the seeded affine map i -> (a_f * i + b_f) mod n
-    (a_f coprime with n, so it is a permutation): an equi-join on the index,
-    no global sort.  All features are scored in one ``transform`` over the
-    union, and RMSEs come from one aggregate.
-    """
-    cols = model.feature_columns
-    base = score(model, indexed)
-    base_rmse = evaluate.error_metrics(
-        base.select(F.lit("__baseline").alias("feature"), F.col(target).alias("y_true"), F.col("prediction").alias("y_pred")),
-        ("feature",),
-    ).select(F.col("rmse").alias("baseline_rmse"))
-    frames = []
-    for j, c in enumerate(cols):
-        a = _coprime_multiplier(n_rows, seed + 7919 * (j + 1))
-        b = (seed * 31 + j * 977) % max(n_rows, 1)
-        src = indexed.select(F.col(index_col).alias("__src"), F.col(c).alias("__perm"))
-        moved = indexed.withColumn("__src", (F.col(index_col) * F.lit(a) + F.lit(b)) % F.lit(n_rows))
-        permuted = moved.join(src, "__src").withColumn(c, F.col("__perm")).drop("__src", "__perm")
-        frames.append(permuted.withColumn("feature", F.lit(c)))
-    allp = frames[0]
-    for fr in frames[1:]:
-        allp = allp.unionByName(fr)
-    scored = score(model, allp).select("feature", F.col(target).alias("y_true"), F.col("prediction").alias("y_pred"))
-    rm = evaluate.error_metrics(scored, ("feature",)).select("feature", F.col("rmse").alias("permuted_rmse"))
-    return rm.crossJoin(F.broadcast(base_rmse)).withColumn(
-        "importance", F.col("permuted_rmse") - F.col("baseline_rmse")
-    )
+    """Increase in RMSE when one feature's values are permuted across ``rows``.
+
+    Rows are ranked by a seeded hash of their ``key`` (range partitions, no
+    one-task sort; ties by the key itself).  Feature f takes its value from the
+    row a seeded number of ranks further on, around the end: a permutation, the
+    same for the same seed and rows.  The feature number is exploded on the map
+    side and one join on the rank brings all permuted values, whatever the number
+    of features; all are scored in one ``transform`` and one aggregate."""
+    from kharif.operators.split import with_row_index
+
+    cols = [*model.feature_columns, *([f"{c}_index" for c in ONE_HOT] if model.chain is not None else [])]
+    names = [*model.feature_columns, *(ONE_HOT if model.chain is not None else [])]
+    slim = rows.select(*key, *[F.col(c).cast("double").alias(c) for c in cols], target)
+    slim = slim.withColumn("__h", F.xxhash64(F.lit(seed), *key))
+    ranked = cut_lineage(with_row_index(slim, ("__h", *key), group_keys=(), out="__rank"), "ranked")
+    # 0 stands for the rows as they are; the offset is one of 1 .. n - 1.
+    which = F.explode(F.sequence(F.lit(0), F.lit(len(cols))))
+    offset = 1 + F.pmod(F.xxhash64(F.lit(seed), F.col("__f")), F.greatest(F.col("group_rows") - 1, F.lit(1)))
+    moved = ranked.withColumn("__f", which)
+    moved = moved.withColumn("__from", F.pmod(F.col("__rank") + F.when(F.col("__f") > 0, offset).otherwise(0), F.col("group_rows")))
+    given = ranked.select(F.col("__rank").alias("__from"), F.array(*cols).alias("__given"))
+    met = moved.join(given, "__from")
+    met = met.withColumns({c: F.when(F.col("__f") == i, F.col("__given")[i - 1]).otherwise(F.col(c)) for i, c in enumerate(cols, start=1)})
+    feature = F.element_at(F.array(F.lit("__baseline"), *[F.lit(n) for n in names]), F.col("__f") + 1)
+    scored = score(model, met.drop("__given")).select(feature.alias("feature"), F.col(target).alias("y_true"), F.col("prediction").alias("y_pred"))
+    rm = fitted(evaluate.error_metrics(scored, ("feature",)).select("feature", "rmse"), "permuted")
+    base = rm.where("feature = '__baseline'").select(F.col("rmse").alias("baseline_rmse"))  # one row
+    out = rm.where("feature <> '__baseline'").withColumnRenamed("rmse", "permuted_rmse").crossJoin(F.broadcast(base))
+    return out.withColumn("importance", F.col("permuted_rmse") - F.col("baseline_rmse"))
 
 
 # ------------------------------------------------------------------------ S6 S7
-def save_model(model: TrainedModel, path: str, config: dict | None = None) -> str:
-    """Pipeline under ``path/model``, metadata JSON under ``path/metadata``."""
-    model.model.write().overwrite().save(os.path.join(path, "model"))
-    spark = SparkSession.getActiveSession()
-    doc = json.dumps(model.metadata(config))
-    spark.createDataFrame([(doc,)], "doc string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "metadata"))
-    return path
-
-
+_CONFIG = T.StructType(
+    [
+        T.StructField("gbt", T.StructType([T.StructField(f.name, {"int": T.LongType(), "float": T.DoubleType()}.get(f.type, T.StringType())) for f in fields(GBTParams)])),
+        T.StructField("target", T.StringType()),
+        T.StructField("columns", T.ArrayType(T.StringType())),
+        T.StructField("more", T.MapType(T.StringType(), T.StringType())),
+    ]
+)
 METADATA_SCHEMA = T.StructType(
     [
         T.StructField("model_type", T.StringType()),
         T.StructField("training_date", T.StringType()),
-        T.StructField("config", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("config", _CONFIG),
         T.StructField("feature_columns", T.ArrayType(T.StringType())),
         T.StructField("feature_count", T.IntegerType()),
     ]
 )
 
 
+def save_model(model: TrainedModel, path: str, config: dict | None = None) -> str:
+    """Pipeline under ``path/model``, the feature chain's tables under
+    ``path/chain``, one JSON document under ``path/metadata``."""
+    spark = SparkSession.getActiveSession()
+    model.model.write().overwrite().save(os.path.join(path, "model"))
+    if model.chain is not None:
+        model.chain.write().overwrite().save(os.path.join(path, "chain"))
+    settings = (asdict(model.params), model.target, list(model.feature_columns), {k: str(v) for k, v in (config or {}).items()})
+    fixed = spark.createDataFrame([(model.model_type, model.trained_at, settings)], T.StructType(METADATA_SCHEMA.fields[:3]))
+    names = model.names(spark).agg(F.array_sort(F.collect_list(F.struct("position", "feature"))).alias("n"))  # one document by nature
+    doc = fixed.crossJoin(names).select("model_type", "training_date", "config", F.col("n.feature").alias("feature_columns"), F.size("n").alias("feature_count"))
+    doc.coalesce(1).write.mode("overwrite").json(os.path.join(path, "metadata"))
+    return path
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Nested metadata document, on one line or indented, as one typed row."""
     return spark.read.schema(METADATA_SCHEMA).option("multiLine", True).json(os.path.join(path, "metadata"))
@@ -239,16 +267,20 @@ def metadata_features(meta: DataFrame) -> DataFrame:
 
 
 def load_model(spark: SparkSession, path: str) -> TrainedModel:
-    """The saved model with its target and settings; raises on another type."""
+    """The saved model with its target, settings and feature chain; raises on
+    another type."""
     meta = read_metadata(spark, path).first()
     if meta is None or meta["model_type"] != "gbt":
         raise ValueError(f"cannot load a model of type {meta and meta['model_type']!r} from {path}")
-    config = meta["config"] or {}
+    config = meta["config"]
+    pipeline = PipelineModel.load(os.path.join(path, "model"))
+    chained = any(isinstance(s, OneHotEncoderModel) for s in pipeline.stages)
     return TrainedModel(
-        PipelineModel.load(os.path.join(path, "model")),
-        list(meta["feature_columns"]),
-        target=config.get("target", TARGET),
-        params=GBTParams(**json.loads(config.get("gbt", "{}"))),
+        pipeline,
+        list(config["columns"]),
+        target=config["target"],
+        params=GBTParams(**config["gbt"].asDict()),
         trained_at=meta["training_date"],
         model_type=meta["model_type"],
+        chain=FeatureChainModel.load(os.path.join(path, "chain")) if chained else None,
     )

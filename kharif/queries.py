@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kharif.functions.numeric import present
@@ -20,6 +20,7 @@ from kharif.operators import clean, evaluate, features, forecast, quality, repor
 from kharif.plans import chain
 from kharif.session import cut_lineage, shared_path
 from kharif.plans import jobs, model
+from kharif.plans.feature_chain import FeatureChain, FeatureChainModel
 from kharif.sources import io
 from kharif.streaming import scoring
 from kharif.schema import FEATURE_ORDER, FLAG_COLS, MEDIAN_FILL_COLS, PRICE_COLS, REQUIRED_COLUMNS
@@ -312,7 +313,8 @@ def a7(spark, sf_dir):
 
 @query("j2_target_encode")
 def j2(spark, sf_dir):
-    enc = chain.encode(weekly_features(spark, sf_dir), vocabulary=[])
+    rows = cut_lineage(weekly_features(spark, sf_dir), "weekly-features")
+    enc = chain.encode(rows, vocabulary=[])
     return enc.select(*SERIES_ID, "market_encoded", "state_encoded")
 
 
@@ -349,46 +351,50 @@ def j3(spark, sf_dir):
 
 
 def model_frame(spark, sf_dir):
-    """Keys + prepared feature columns (without one-hot) + target.
-
-    The weekly feature table is written once; encoder, median and scaler
-    fits are then small aggregates over it."""
-    ft = chain.encode(cut_lineage(weekly_features(spark, sf_dir)), vocabulary=[])
-    cols = features.feature_columns(ft)
-    return chain.prepare_training(ft.select(*SERIES_ID, *cols, "modal_price"), cols), cols
+    """Keys + prepared feature columns (without one-hot) + target, the chain
+    fitted on the same rows; its numeric columns; the fitted chain."""
+    fitted_chain, rows = FeatureChain().fit_rows(obs_table(spark, sf_dir), stored=True)
+    return rows, features.feature_columns(rows), fitted_chain
 
 
 @query("p9_feature_columns")
 def p9(spark, sf_dir):
-    """Selected feature names with their position (schema of the feature table)."""
-    ft = chain.feature_table(obs(spark, sf_dir))
-    names = features.feature_columns(ft)
-    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "position int, column_name string")
+    """Selected feature names with their position: the numeric ones from the
+    schema of an unfitted chain, then one for each variety."""
+    o = obs(spark, sf_dir)
+    names = features.feature_columns(chain.unfitted_schema(o))
+    words = features.category_vocabulary(o, "variety").select(
+        (F.row_number().over(Window.orderBy("variety")) + len(names)).alias("position"), F.concat(F.lit("variety_"), "variety").alias("column_name"))
+    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "position int, column_name string").unionByName(words)
 
 
 @query("a10_feature_summary")
 def a10(spark, sf_dir):
-    mf, cols = model_frame(spark, sf_dir)
+    mf, cols, _ = model_frame(spark, sf_dir)
     return features.feature_summary(mf, cols)
 
 
 @query("a11_scaler_fit")
 def a11(spark, sf_dir):
-    mf, cols = model_frame(spark, sf_dir)
-    return features.scaler_table(features.fit_scaler(mf, cols, ("crop",)), cols, ("crop",))
+    _, cols, fitted_chain = model_frame(spark, sf_dir)
+    return features.scaler_table(fitted_chain.state["scaler"], cols, ("crop",))
 
 
 @query("m2_apply_scaler")
 def m2(spark, sf_dir):
-    mf, cols = model_frame(spark, sf_dir)
-    scaled = features.apply_scaler(mf, cols, features.fit_scaler(mf, cols, ("crop",)), ("crop",))
+    mf, cols, fitted_chain = model_frame(spark, sf_dir)
+    scaled = features.apply_scaler(mf, cols, fitted_chain.state["scaler"], ("crop",))
     return scaled.select(*SERIES_ID, "lag_1", "rolling_mean_4", "arrival_qty", "market_encoded", "day_of_week")
 
 
 @query("m10_feature_pipeline")
 def m10(spark, sf_dir):
-    """Fitted feature chain end to end: keys, prepared features, target."""
-    return model_frame(spark, sf_dir)[0]
+    """Feature chain fitted, saved, loaded and applied to the observations:
+    keys, prepared features, target."""
+    o = obs_table(spark, sf_dir)
+    path = shared_path(spark, "chain")
+    FeatureChain().fit_rows(o, stored=True)[0].write().save(path)
+    return clean.drop_null_target(FeatureChainModel.load(path).transform(o))
 
 
 # ------------------------------------------------------------------ horizons / splits
@@ -634,18 +640,18 @@ def m4(spark, sf_dir):
 
 def horizon_frames(spark, sf_dir):
     r_obs = cut_lineage(obs(spark, sf_dir), "observations")
-    mf, cols = jobs.prepare_model_frame(r_obs, exclude_current=True)
-    long = split.horizon_targets(mf)
+    mf, cols, fitted_chain = jobs.prepare_model_frame(r_obs)
+    long = split.horizon_targets(cut_lineage(mf.drop("cutoff_day", "split"), "model-rows"))
     long = cut_lineage(split.horizon_split(long), "horizon-frame")
-    return long, cols
+    return long, cols, fitted_chain
 
 
 @query("m5_multi_horizon")
 def m5(spark, sf_dir):
     """One model per horizon (1, 2, 4, 12 weeks) on the lead-h target."""
-    long, cols = horizon_frames(spark, sf_dir)
-    models = model.train_multi_horizon(long.where(F.col("split") == "train"), cols, (1, 2, 4, 12), QUERY_GBT)
-    rows = [(h, m.model.stages[-1].getNumTrees, len(m.feature_columns)) for h, m in sorted(models.items())]
+    long, cols, fitted_chain = horizon_frames(spark, sf_dir)
+    models = model.train_multi_horizon(long.where(F.col("split") == "train"), cols, (1, 2, 4, 12), QUERY_GBT, chain=fitted_chain)
+    rows = [(h, m.model.stages[-1].getNumTrees, m.model.stages[-1].numFeatures) for h, m in sorted(models.items())]
     counts = long.where(F.col("split") == "train").groupBy("horizon").agg(F.count(F.lit(1)).alias("train_rows"))
     info = spark.createDataFrame(rows, "horizon int, trees int, features int")
     return info.join(counts, "horizon")
@@ -653,19 +659,22 @@ def m5(spark, sf_dir):
 
 @query("m6_horizon_evaluation")
 def m6(spark, sf_dir):
-    long, cols = horizon_frames(spark, sf_dir)
-    models = model.train_multi_horizon(long.where(F.col("split") == "train"), cols, (1, 2, 4, 12), QUERY_GBT)
-    return model.evaluate_horizons(models, long.where(F.col("split") == "test"))
+    """Test errors of each horizon's model, and of the current price as forecast."""
+    long, cols, fitted_chain = horizon_frames(spark, sf_dir)
+    models = model.train_multi_horizon(long.where(F.col("split") == "train"), cols, (1, 2, 4, 12), QUERY_GBT, chain=fitted_chain)
+    test = long.where(F.col("split") == "test")
+    naive = evaluate.error_metrics(test.select("horizon", F.col("target_future").alias("y_true"), F.col("modal_price").alias("y_pred")), ("horizon",))
+    return model.evaluate_horizons(models, test).withColumn("forecast", F.lit("gbt")).unionByName(naive.withColumn("forecast", F.lit("persistence")))
 
 
 @query("m7_cross_validation")
 def m7(spark, sf_dir):
     """Expanding-window CV (5 folds) over the model frame."""
     r_obs = cut_lineage(obs(spark, sf_dir), "observations")
-    mf, cols = jobs.prepare_model_frame(r_obs, exclude_current=True)
+    mf, cols, fitted_chain = jobs.prepare_model_frame(r_obs, None)
     idx = split.with_row_index(mf, ("date", "market", "variety", "state", "district"))
     folds = cut_lineage(split.expanding_folds(idx, 5), "folds")
-    return model.cross_validate(folds, cols, params=QUERY_GBT)
+    return model.cross_validate(folds, cols, params=QUERY_GBT, chain=fitted_chain)
 
 
 @query("m8_feature_importance")
@@ -682,10 +691,7 @@ def o2(spark, sf_dir):
 def m9(spark, sf_dir):
     """RMSE increase per permuted feature on the test rows."""
     r = trained(spark, sf_dir)
-    test = r.frame.where(F.col("split") == "test")
-    idx = split.with_row_index(test, ("crop", "date", "market", "variety", "state", "district"), group_keys=())
-    n = idx.count()
-    return model.permutation_importance(r.model, idx, n)
+    return model.permutation_importance(r.model, r.frame.where(F.col("split") == "test"), SERIES_ID)
 
 
 @query("m11_retrain_job")
@@ -709,14 +715,14 @@ def m12(spark, sf_dir):
 
 @query("s6_model_save_load")
 def s6(spark, sf_dir):
-    """Saved and reloaded model score the test rows identically."""
-    r = trained(spark, sf_dir)
+    """A saved and reloaded model, with its reloaded feature chain, scores raw
+    observations as the model in memory scores its own test rows."""
+    o = obs_table(spark, sf_dir)
+    r = jobs.training_job(o, QUERY_GBT)
     path = shared_path(spark, "model")
     model.save_model(r.model, path)
-    loaded = model.load_model(spark, path)
-    test = r.frame.where(F.col("split") == "test")
-    a = model.score(r.model, test).select(*SERIES_ID, F.col("prediction").alias("prediction_saved"))
-    b = model.score(loaded, test).select(*SERIES_ID, F.col("prediction").alias("prediction_loaded"))
+    a = model.score(r.model, r.frame.where(F.col("split") == "test")).select(*SERIES_ID, F.col("prediction").alias("prediction_saved"))
+    b = model.score_observations(model.load_model(spark, path), o).select(*SERIES_ID, F.col("prediction").alias("prediction_loaded"))
     return a.join(b, SERIES_ID)
 
 
@@ -732,9 +738,9 @@ def s7(spark, sf_dir):
 def s8(spark, sf_dir):
     """Records per stage of the training run (no model needed)."""
     o = cut_lineage(obs(spark, sf_dir), "observations")
-    mf, _ = jobs.prepare_model_frame(o)
-    framed = split.temporal_split(mf)
-    return jobs.run_summary(o, mf, framed)
+    wk = cut_lineage(rollup.rollup(clean.impute(o, stored=True), "weekly").select(*SERIES_ID, "modal_price"), "weekly")
+    framed = split.temporal_split(clean.drop_null_target(wk))
+    return jobs.run_summary(o, wk, framed)
 
 
 # ------------------------------------------------------------------ files / wire formats / stream
