@@ -18,10 +18,11 @@ n log n steps; extra columns are kept.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
+import operator
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -33,7 +34,7 @@ from kharif.llm.common import fresh, prepare
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose tokens a worker keeps, in each of two generations.
-KEEP = 120_000
+KEEP = 200_000
 #: Longer words are not kept.
 KEEP_CHARS = 40
 
@@ -57,22 +58,34 @@ def _byte_symbols() -> list[str]:
 
 
 class _Recent(dict):
-    """A bounded table: when full, the older generation goes."""
+    """A bounded table of made values: when full, the older generation goes."""
 
-    def __init__(self, size: int) -> None:
+    def __init__(self, make) -> None:
         super().__init__()
-        self.size, self.old = size, {}
-
-    def __missing__(self, key: str) -> tuple | None:
-        if (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
-
-    def put(self, key: str, value: tuple) -> None:
-        if len(self) >= self.size:
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> tuple:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > KEEP_CHARS:
+                return value
+        if len(self) >= KEEP:
             self.old = dict(self)
             self.clear()
         self[key] = value
+        return value
+
+
+#: The number of tokens of a made value.
+_SOME = operator.itemgetter(1)
+
+
+def _joined(made: list[tuple[str, int, str]]) -> tuple[str, int, str]:
+    if not made:
+        return "", 0, ""
+    ids, n, names = zip(*made)
+    return " ".join(ids), sum(n), " ".join(names)
 
 
 class Bpe:
@@ -102,10 +115,14 @@ class Bpe:
         self.end = model["end_of_word_suffix"] or ""
         self.names = {i: s for s, i in self.vocab.items()}
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {}
+        # By left id: right id -> (rank, merged id).
+        self.ranks: list[dict[int, tuple[int, int]]] = [{} for _ in range(max(self.vocab.values()) + 1)]
         for rank, (a, b) in enumerate(merges):
-            self.ranks[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
-        self.symbols = _byte_symbols()
+            self.ranks[self.vocab[a]][self.vocab[b]] = rank, self.vocab[a + b]
+        symbols = _byte_symbols()
+        # The id of each byte inside a piece and at its end; -1: not in the file.
+        self.first = [self.vocab.get(s, -1) for s in symbols]
+        self.last = [self.vocab.get(s + self.end, -1) for s in symbols]
         # No split alternative spans white space, and after NFC lower case and
         # the split work on each word alone.
         self.pieces = regex.compile(splits[0]["pattern"]["Regex"])
@@ -116,60 +133,59 @@ class Bpe:
             self.names[t["id"]] = t["content"]
         longest = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, longest))) if longest else None
-        self.words, self.parts = _Recent(KEEP), _Recent(KEEP)
+        self.words, self.parts = _Recent(self._word), _Recent(self._part)
 
     def merge(self, piece: str) -> list[int]:
         """Token ids of one piece."""
         text = piece.encode("utf-8", "replace")
-        marks = [self.symbols[b] for b in text]
-        marks[-1] += self.end
-        ids = [self.vocab[m] for m in marks if m in self.vocab]
+        ids = [i for i in map(self.first.__getitem__, text[:-1]) if i >= 0]
+        if (end := self.last[text[-1]]) >= 0:
+            ids.append(end)
         n, ranks = len(ids), self.ranks
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        queue = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
-        heapq.heapify(queue)
+        # An entry is one number: the rank, then the place.
+        bits = n.bit_length()
+        place = (1 << bits) - 1
+        queue = [r[0] << bits | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := ranks[a].get(b))]
+        heapify(queue)
         while queue:
-            _, i, left, right, made = heapq.heappop(queue)
-            j = after[i] if ids[i] == left else n
-            if j >= n or ids[j] != right:
+            entry = heappop(queue)
+            i = entry & place
+            left, j = ids[i], after[i]
+            if left < 0 or j >= n or (r := ranks[left].get(ids[j])) is None or r[0] != entry >> bits:
                 continue  # stale: one of the two has been merged meanwhile
-            ids[i], ids[j] = made, -1
+            ids[i] = made = r[1]
+            ids[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if r := ranks.get((made, ids[k])):
-                    heapq.heappush(queue, (r[0], i, made, ids[k], r[1]))
-            if (h := before[i]) >= 0 and (r := ranks.get((ids[h], made))):
-                heapq.heappush(queue, (r[0], h, ids[h], made, r[1]))
+                if r := ranks[made].get(ids[k]):
+                    heappush(queue, r[0] << bits | i)
+            if (h := before[i]) >= 0 and (r := ranks[ids[h]].get(made)):
+                heappush(queue, r[0] << bits | h)
         return [i for i in ids if i >= 0]
 
     def _part(self, piece: str) -> tuple[str, int, str]:
         """Ids (decimal, joined by blanks), their number, vocabulary strings."""
-        if (known := self.parts[piece]) is not None:
-            return known
         ids = self.merge(piece)
-        made = " ".join(map(str, ids)), len(ids), " ".join([self.names[i] for i in ids])
-        if len(piece) <= KEEP_CHARS:
-            self.parts.put(piece, made)
-        return made
+        return " ".join(map(str, ids)), len(ids), " ".join([self.names[i] for i in ids])
 
     def _word(self, word: str) -> tuple[str, int, str]:
-        parts = [p for p in map(self._part, self.pieces.findall(word.replace("Σ", "σ").lower())) if p[1]]
-        made = " ".join([p[0] for p in parts]), sum(p[1] for p in parts), " ".join([p[2] for p in parts])
-        if len(word) <= KEEP_CHARS:
-            self.words.put(word, made)
-        return made
+        if word.isascii() and word.isalpha():
+            return self.parts[word.lower()]
+        pieces = self.pieces.findall(word.replace("Σ", "σ").lower())
+        if len(pieces) == 1:
+            return self.parts[pieces[0]]
+        return _joined([p for p in map(self.parts.__getitem__, pieces) if p[1]])
 
     def _plain(self, text: str) -> Iterator[tuple[str, int, str]]:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        words = self.words
         # U+001C to U+001F part words for str.split(), but are no white space here.
-        split = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else regex.split(r"\s+", text)
-        for word in split:
-            if word and (made := words[word] or self._word(word))[1]:
-                yield made
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+        split = filter(None, regex.split(r"\s+", text)) if odd else text.split()
+        return filter(_SOME, map(self.words.__getitem__, split))
 
     def encode(self, text: str | None) -> tuple[str, int, str]:
         """(ids in decimal joined by blanks, their number, the decoded text)."""
@@ -180,7 +196,7 @@ class Bpe:
                 out.append((str(self.added[m.group()]), 1, m.group()))
                 at = m.end()
         out += self._plain(text[at:] if at else text)
-        return " ".join([o[0] for o in out]), sum([o[1] for o in out]), " ".join([o[2] for o in out])
+        return _joined(out)
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.names[i] for i in ids if i in self.names])
