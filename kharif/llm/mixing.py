@@ -122,6 +122,17 @@ def budgets(
     return leaves.join(above.select(*levels, "alloc"), levels)
 
 
+def numbered(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """``rows`` written once, each with a number from 0 among the rows of its key;
+    counted by part of the table, so that no task needs all rows of a key."""
+    rows = written(rows.withColumn("at", F.monotonically_increasing_id()), "mix-ends").withColumn("piece", F.shiftright("at", 33))
+    counts = rows.groupBy(key, "piece").agg(F.count("*").alias("k"))
+    before = W.partitionBy(key).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(key, "piece", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
+    own = F.row_number().over(W.partitionBy(key, "piece").orderBy("at"))
+    return rows.withColumn(out, own).join(counts, [key, "piece"]).withColumn(out, F.col(out) - 1 + F.col("first")).drop("at", "piece", "first")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -144,8 +155,10 @@ def mix(
     col = lambda c: F.col(f"`{c}`")
     lang, source = (F.coalesce(col(c).cast("string"), F.lit("?")) for c in (lang_col, source_col))
     key = F.struct(domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"))
-    light = docs.select(F.coalesce(col(id_col).cast("string"), F.lit("?")).alias("id"), key.alias("leaf"), token_count(col(text_col)).alias("n"), F.xxhash64(col(text_col)).alias("tie"))
-    light = written(light.where("n > 0"), "mix-docs")  # no texts in it
+    # The texts are read once: all that follows reads this table.
+    row = F.struct(*[col(c) for c in keep]) if keep else F.lit(None).cast("int")
+    light = docs.select(row.alias("row"), F.coalesce(col(id_col).cast("string"), F.lit("?")).alias("id"), key.alias("leaf"), token_count(col(text_col)).alias("n"), F.xxhash64(col(text_col)).alias("tie"))
+    light = written(light.where("n > 0"), "mix-docs")
     leaves = light.groupBy("leaf").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")).select("leaf.*", "tokens", "docs")
     leaves = written(budgets(leaves, budget, percent, max_epochs, weights), "mix-leaves")
     leaves = leaves.where("alloc > 0").withColumns(
@@ -158,7 +171,7 @@ def mix(
     leaves = leaves.select(F.struct("domain", "lang", "source").alias("leaf"), "full", "rest", "slices")
 
     # The prefix of the last, partial epoch: sums by slice, then documents of one slice.
-    part = light.join(leaves.where("rest > 0"), "leaf").withColumn("h", seeded_order(seed, F.col("full"), F.col("id")))
+    part = light.drop("row").join(leaves.where("rest > 0"), "leaf").withColumn("h", seeded_order(seed, F.col("full"), F.col("id")))
     at = F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(38,0)") * F.col("slices") / F.lit(16**12)
     part = part.withColumn("slice", F.floor(at).cast("long"))
     sliced = part.groupBy("leaf", "slice", "rest").agg(F.sum("n").alias("n"))
@@ -168,25 +181,28 @@ def mix(
     ends = written(ends, "mix-ends")
     bounds = leaves.join(ends, "leaf", "left")
     inside = part.drop("full", "slices").join(ends.withColumnRenamed("end_slice", "slice"), ["leaf", "slice"])
+    # Repeated rows are one point of the order; the prefix ends inside a point.
+    points = inside.groupBy("leaf", "slice", "rest", "before", "h", "id", "tie").agg(F.sum("n").alias("n"))
     order = W.partitionBy("leaf", "slice").orderBy("h", "id", "tie").rowsBetween(W.unboundedPreceding, -1)
-    inside = inside.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(order), F.lit(0)))
-    # The end of the prefix as a point in the order: the last document that starts inside.
-    last = inside.where("start < rest").groupBy("leaf").agg(F.max(F.struct("h", "id", "tie", "start")).alias("end"))
+    points = points.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+    last = points.where("start < rest").groupBy("leaf").agg(F.max(F.struct("h", "id", "tie", "start")).alias("end"))
     bounds = written(bounds.join(last, "leaf", "left").drop("before", "end_slice", "slices"), "mix-bounds")
 
-    # Whole documents against the bounds of their leaf (a row a leaf).
-    row = F.struct(*[col(c) for c in keep]) if keep else F.struct(F.lit(None).alias("none"))
-    rows = docs.select(row.alias("row"), key.alias("leaf"), col(id_col).alias("id"), token_count(col(text_col)).alias("n"), F.xxhash64(col(text_col)).alias("tie"))
-    rows = rows.where("n > 0").join(bounds, "leaf")
-    point = F.struct(seeded_order(seed, F.col("full"), F.col("id")).alias("h"), F.coalesce(F.col("id").cast("string"), F.lit("?")).alias("id"), "tie")
+    # Documents against the bounds of their leaf (a row a leaf).
+    point = F.struct(seeded_order(seed, F.col("full"), F.col("id")).alias("h"), "id", "tie")
     stop = F.struct("end.h", "end.id", "end.tie")
+    rows = light.join(bounds, "leaf").withColumn("side", F.when(F.col("end").isNull() | (point > stop), 1).when(point < stop, -1).otherwise(0))
     none = F.expr("cast(array() as array<struct<epoch:int,take:bigint>>)")
     whole = F.transform(F.sequence(F.lit(1), F.col("full")), lambda e: F.struct((e - 1).cast("int").alias("epoch"), F.col("n").alias("take")))
     whole = F.when(F.col("full") > 0, whole).otherwise(none)
-    take = F.least(F.col("n"), F.when(point == stop, F.col("rest") - F.col("end.start")).otherwise(F.col("n")))
-    part = F.array(F.struct(F.col("full").alias("epoch"), take.alias("take")))
-    part = F.when(F.col("end").isNotNull() & (point <= stop), part).otherwise(none)
-    rows = rows.withColumn("taken", F.explode(F.concat(whole, part)))
+    part = F.array(F.struct(F.col("full").alias("epoch"), F.col("part").alias("take")))
+    taken = F.explode(F.concat(whole, F.when(F.col("part") > 0, part).otherwise(none))).alias("taken")
+    plain = rows.where("side <> 0").withColumn("part", F.when(F.col("side") < 0, F.col("n")).otherwise(F.lit(0).cast("long")))
+    # The rows of the last point share what is left: each as much as those before it leave.
+    ends = numbered(rows.where("side = 0"), "leaf", "number")
+    left = F.col("rest") - F.col("end.start") - F.col("number") * F.col("n")
+    ends = ends.withColumn("part", F.greatest(F.lit(0), F.least(F.col("n"), left)).cast("long"))
+    rows = plain.select("row", "leaf", "n", taken).unionByName(ends.select("row", "leaf", "n", taken))
     return rows.select(
         *([F.col("row.*")] if keep else []),
         F.col("leaf.domain").alias("domain"),

@@ -240,3 +240,10 @@ def test_mix_edges(spark):
     rows = mixing.mix(table, percent=100).collect()
     assert {r["doc_id"] for r in rows} >= {3, 4, 5, 6, 7, 8} and not {r["doc_id"] for r in rows} & {0, 1, 2}
     assert mixing.mix(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("copies,budget,want", [(2, 15, [5, 10]), (5, 32, [2, 10, 10, 10]), (3, 30, [10, 10, 10])])
+def test_mixing_shares_the_end_among_repeated_rows(spark, copies, budget, want):
+    rows = docs(spark, ["a b c d e f g h i j"] * copies, [7] * copies)
+    got = mixing.mix(rows, budget=budget, max_epochs=1).collect()
+    assert sorted(r["take_tokens"] for r in got) == want
