@@ -45,10 +45,17 @@ def principal_axes(sample: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(axes[:, ::-1])
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two (which changes no digit), so that squares of
+    their components neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0, keepdims=True))[1])
+
+
 def close_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool):
     """Yields (i, j) arrays of the pairs whose cosine reaches the threshold;
     with ``same`` (one block against itself) only i < j."""
     d = a.shape[1]
+    a, b = scaled(a), scaled(b)
     norm_a, norm_b = (np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (a, b))
     ra, rb = (a / norm_a[:, None]) @ axes, (b / norm_b[:, None]) @ axes
     stops = [s for s in (16, 32, 64, 128, 256) if s < d] or [d]
@@ -118,18 +125,22 @@ def near_duplicates(
         most = max(2, min(SAMPLE, 2_000_000 // size))
         sample = own.where(by_hash(F.xxhash64("cid"), 1.2 * most / count)).select("v").limit(most).toPandas()["v"]
         x = np.stack([np.asarray(v, float) for v in sample]) if len(sample) else np.eye(size)
+        x = scaled(x)
         x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         axes[size] = principal_axes(x)
         # ranges of the first axis, from the sample's quantiles
         ranges = max(1, min(64, blocks_needed(count, block)))
         cuts = np.unique(np.quantile(x @ axes[size][:, 0], np.arange(1, ranges) / ranges))
         lead = [float(w) for w in axes[size][:, 0]]
-        dot = F.aggregate(F.zip_with("v", F.array(*map(F.lit, lead)), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, p: s + p.cast("double") * p))
+        largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+        unit = F.transform("v", lambda x: x.cast("double") / F.col("largest"))  # squares of tiny or huge components stay finite
+        dot = F.aggregate(F.zip_with("unit", F.array(*map(F.lit, lead)), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+        norm = F.sqrt(F.aggregate("unit", F.lit(0.0), lambda s, p: s + p * p))
         place = F.lit(0)
         for c in cuts:
             place = place + (F.col("lead") >= F.lit(float(c))).cast("int")
-        parts.append(own.withColumn("lead", dot / norm).withColumn("range", place))
+        own = own.withColumn("largest", largest).withColumn("unit", unit).withColumn("lead", dot / norm).drop("unit", "largest")
+        parts.append(own.withColumn("range", place))
     if not parts:
         empty = F.lit(0).cast("long")
         return rows.select(F.col("id").alias(id_col), empty.alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))

@@ -73,3 +73,13 @@ def test_bucket_of_several_blocks_keeps_every_link_of_a_chain():
     told = _components(len(names), zip(p, q))
     assert len(np.unique(told)) == 10
     assert (found == told).all(), len(np.unique(found))
+
+
+def test_tiny_and_huge_components(spark):
+    """Finite vectors whose squares vanish or overflow have a direction too."""
+    from kharif.llm.neighbours import near_duplicates
+
+    rows = [(1, [1e-170, 0.0]), (2, [3e-170, 0.0]), (3, [1e200, 0.0]), (4, [0.0, 1e-320]), (5, [0.0, 2.0]), (6, [1.7e308, 1.7e308]), (7, [0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(table).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
