@@ -40,8 +40,21 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at the target weights; one that a second epoch takes comes twice."""
-    return mixing.mix(docs, percent=MIX_PERCENT, max_epochs=MIX_EPOCHS).select(*docs.columns)
+    """Documents at the target weights; one that a second epoch takes comes twice.
+    Of the document in which a leaf's budget ends only the prefix of its words
+    that the budget covers is left (``n_chars`` follows).  Columns of ``docs``
+    named like the mixer's own are not touched."""
+    row = fresh(docs, "row")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *[F.col(f"`{c}`") for c in ("doc_id", "text", "lang", "source")])
+    chosen = mixing.mix(named, percent=MIX_PERCENT, max_epochs=MIX_EPOCHS, keep=[row])
+    cut = F.col("take_tokens") < F.col("n_tokens")
+    words = F.slice(F.regexp_extract_all(F.col(f"{row}.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("take_tokens").cast("int"))
+    text = F.when(cut, F.array_join(words, "")).otherwise(F.col(f"{row}.text"))
+    columns = [text.alias(c) if c == "text" else F.col(f"{row}.`{c}`") for c in docs.columns]
+    out = chosen.select(*columns, cut.alias(row))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(row), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(row)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -315,14 +315,18 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def rooted(prints: DataFrame, tau: int = TAU) -> DataFrame:
+    """``prints`` (id, fp) -> (fp, least, root): the least id of each distinct
+    fingerprint, and one fingerprint that stands for its group."""
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fp")
+    joined = connected_components(links(distinct, tau))
+    return distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+
+
 def groups(prints: DataFrame, tau: int = TAU) -> DataFrame:
     """``prints`` (id, fp) -> (fp, component): the least id reachable from each
     distinct fingerprint over links of at most ``tau`` bits."""
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fp")
-    joined = connected_components(links(distinct, tau))
-    labelled = distinct.join(joined, distinct.fp == joined.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
-    )
+    labelled = rooted(prints, tau)
     roots = labelled.groupBy("root").agg(F.min("least").alias("component"))
     return labelled.join(roots, "root").select("fp", "component")
 
@@ -340,27 +344,19 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
-    """``docs`` with one document of each group, the one of the least id (all
-    columns).  Repeated rows of an id count as copies of one document.  Rows
-    without an id go if a document with an id is in their group; if not, one
-    row of the group stays."""
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    grouped = written(groups(prints, tau), "simhash-groups")
-    least = grouped.select("component").where("component is not null").distinct()
-    key = fresh(docs, "keep")
-    named = docs.where(F.col(f"`{id_col}`").isNotNull())
-    kept = named.join(least.withColumnRenamed("component", key), F.col(f"`{id_col}`") == F.col(key), "left_semi")
-    kept = kept.dropDuplicates([id_col])
-    if prints.where("id is null").isEmpty():
-        return kept
-    nameless = docs.where(F.col(f"`{id_col}`").isNull())
-    mark, orphan = fresh(docs, "fp"), grouped.where("component is null")
-    # Among nameless rows a group is its connected fingerprints; they are few, so link them anew.
-    own = written(prints.where("id is null").select("fp").distinct().join(orphan, "fp").select("fp"), "simhash-null")
-    joined = connected_components(links(own, tau))
-    roots = own.join(joined, own.fp == joined.node, "left").select(F.coalesce("component", "fp").alias(mark)).distinct()
-    tagged = with_fingerprint(nameless, mark, text_col, shingle)
-    return kept.unionByName(tagged.join(roots, mark, "left_semi").dropDuplicates([mark]).drop(mark))
+    """``docs`` with one row of each group of near fingerprints (all columns): the
+    one of the least id, rows without an id last; then of the least fingerprint
+    and of the least hash of the whole row, so that a rerun keeps the same one.
+    Rows that share an id but no group are each kept."""
+    mark, key = fresh(docs, "fp"), fresh(docs, "key")
+    tagged = written(with_fingerprint(docs, mark, text_col, shingle), "simhash-docs")
+    # What orders the rows of a group, and tells unequal rows apart.
+    order = F.struct(F.col(f"`{id_col}`").isNull().alias("late"), F.col(f"`{id_col}`").alias("id"), F.col(mark).alias("fp"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
+    prints = written(tagged.select(order.alias("o")).select("o.*"), "simhash")
+    known = written(rooted(prints.select("id", "fp"), tau).select("fp", "root"), "simhash-groups")
+    least = prints.join(known, "fp").groupBy("root").agg(F.min(F.struct("late", "id", "fp", "h")).alias(key)).select(key)
+    kept = tagged.withColumn(key, order).join(least, key, "left_semi")
+    return kept.dropDuplicates([key]).drop(key, mark)
 
 
 def with_fingerprint(docs: DataFrame, out: str, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
