@@ -116,11 +116,6 @@ def with_market_info(df: DataFrame) -> DataFrame:
     ).drop("major_crops")
 
 
-def market_crop_pairs(spark) -> DataFrame:
-    """(market, crop) pairs of the market dimension's major-crop arrays."""
-    return dims.market_dim(spark).select("market", F.explode("major_crops").alias("crop"))
-
-
 def with_volatility_class(df: DataFrame) -> DataFrame:
     """Crop volatility (default 0.1) and its class."""
     cp = F.broadcast(dims.crop_price(df.sparkSession).select(F.col("crop").alias("__c"), F.col("volatility").alias("__v")))
@@ -297,8 +292,3 @@ def nest_response(df: DataFrame, key_cols: Sequence[str] = ("request_id", "marke
         F.col("confidence_interval"),
     )
     return df.groupBy(*key_cols).agg(F.sort_array(F.collect_list(item)).alias("predictions"))
-
-
-def render_json(df: DataFrame) -> DataFrame:
-    """Response JSON text per request."""
-    return df.select("request_id", F.to_json(F.struct(*[c for c in df.columns])).alias("response"))

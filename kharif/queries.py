@@ -112,6 +112,13 @@ def p6(spark, sf_dir):
     return daily_clean(spark, sf_dir).select(*KEYS6, *PRICE_COLS)
 
 
+@query("p6_winsorize_report")
+def p6_report(spark, sf_dir):
+    """Bounds of the modal price per crop and the rows that they cap."""
+    imputed = cut_lineage(clean.impute(obs_table(spark, sf_dir), stored=True), "imputed")
+    return clean.winsorize_report(imputed, ["modal_price"], ("crop",), stored=True)
+
+
 # ------------------------------------------------------------------ roll-up
 @query("a1_weekly_rollup")
 def a1(spark, sf_dir):
@@ -182,7 +189,7 @@ def a6(spark, sf_dir):
 # ------------------------------------------------------------------ filters / fills
 @query("p1_filter_crop")
 def p1(spark, sf_dir):
-    return clean.filter_crop(obs(spark, sf_dir), "rice")
+    return clean.require_crop(obs(spark, sf_dir), "rice")
 
 
 @query("p2_fill_flags")
@@ -210,7 +217,7 @@ def p4(spark, sf_dir):
 
 @query("p5_drop_null_target")
 def p5(spark, sf_dir):
-    return clean.drop_null_target(obs(spark, sf_dir)).select(*KEYS6, "modal_price")
+    return clean.require_rows(clean.drop_null_target(obs(spark, sf_dir))).select(*KEYS6, "modal_price")
 
 
 def mixed_text(spark, sf_dir):
@@ -407,12 +414,15 @@ def w7(spark, sf_dir):
 def w8(spark, sf_dir):
     rows = weekly_features(spark, sf_dir).select(*SERIES_ID, "modal_price", "arrival_qty", "lag_1")
     mf = chain.prepare_training(rows, ["arrival_qty", "lag_1"])
-    return split.sequences(mf, ["modal_price", "arrival_qty", "lag_1"], 12)
+    seq = split.sequences(mf, ["modal_price", "arrival_qty", "lag_1"], 12)
+    return seq.select(*SERIES_ID, "target", F.posexplode("sequence").alias("step", "row")).select(
+        *SERIES_ID, "target", "step", *[F.col("row")[i].alias(c) for i, c in enumerate(("price", "arrivals", "lag_1"))])
 
 
 @query("w9_latest_window")
 def w9(spark, sf_dir):
-    return split.latest_window(weekly(spark, sf_dir), "modal_price", 12)
+    last = split.latest_window(weekly(spark, sf_dir), "modal_price", 12)
+    return last.select("market", "crop", "points", "complete", F.posexplode("values").alias("place", "price"))
 
 
 @query("w11_positional_split")
@@ -570,25 +580,6 @@ def f7(spark, sf_dir):
     return rows.select(*ROW_OUT)
 
 
-@query("f8_expected_price")
-def f8(spark, sf_dir):
-    """Rule price for every observation: crop base x state factor x season x trend."""
-    o = obs(spark, sf_dir)
-    towns = dims.market_dim(spark).select(F.col("market").alias("town"), F.col("state").alias("town_state"))
-    nat = read_table(spark, sf_dir, "nation", "n_name", "n_nationkey")
-    geo = F.broadcast(nat.select("n_name", fixtures.town_of_nation(F.col("n_nationkey"), F.col("n_name")).alias("town"))
-                      .join(F.broadcast(towns), "town", "left"))
-    j = o.join(geo, o["market"] == geo["n_name"], "left")
-    state = F.coalesce(F.col("town_state"), F.col("state"))
-    cb = F.broadcast(dims.expected_crop_base(spark).withColumnRenamed("crop", "__c"))
-    sf = F.broadcast(dims.state_factor(spark).withColumnRenamed("state", "__s"))
-    j = j.join(cb, j["crop"] == cb["__c"], "left").join(sf, state == sf["__s"], "left")
-    price = pricing.expected_price(
-        F.coalesce("base_price", F.lit(dims.EXPECTED_DEFAULT_BASE)), F.coalesce("factor", F.lit(1.0)), F.col("crop"), F.col("date")
-    )
-    return j.select(*KEYS6, state.alias("price_state"), price.alias("expected_price"))
-
-
 @query("f9_price_spread")
 def f9(spark, sf_dir):
     w = weekly(spark, sf_dir)
@@ -613,7 +604,10 @@ def a19(spark, sf_dir):
 
 @query("a20_nested_response")
 def a20(spark, sf_dir):
-    return forecast.nest_response(forecast_rows(spark, sf_dir))
+    nested = forecast.nest_response(forecast_rows(spark, sf_dir))
+    return nested.select("request_id", "market", "crop", "horizon_weeks", F.posexplode("predictions").alias("place", "p")).select(
+        "request_id", "market", "crop", "horizon_weeks", "place", "p.week", F.col("p.date").alias("forecast_day"), "p.modal_price", "p.min_price", "p.max_price",
+        F.col("p.confidence_interval.lower").alias("ci_lower"), F.col("p.confidence_interval.upper").alias("ci_upper"))
 
 
 # ------------------------------------------------------------------ models (Spark ML)
@@ -775,6 +769,25 @@ def s5(spark, sf_dir):
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
+@query("s5_export_json")
+def s5_json(spark, sf_dir):
+    """Nested responses exported as JSON lines and read back."""
+    path = shared_path(spark, "forecast-json")
+    io.export_forecasts(forecast.nest_response(forecast_rows(spark, sf_dir)), path, "json")
+    item = "week int, date string, modal_price double, min_price double, max_price double"
+    back = spark.read.schema(f"request_id bigint, predictions array<struct<{item.replace(' ', ':').replace(',:', ',')}>>").json(path)
+    return back.select("request_id", F.explode("predictions").alias("p")).select("request_id", "p.week", F.to_date("p.date").alias("forecast_date"), "p.modal_price", "p.min_price", "p.max_price")
+
+
+@query("s9_response_json")
+def s9_response(spark, sf_dir):
+    """Response documents rendered as JSON text and parsed again."""
+    docs = io.render_responses(forecast.nest_response(forecast_rows(spark, sf_dir)))
+    body = F.from_json("response", "crop string, horizon_weeks int, model_version string, predictions array<struct<week:int,modal_price:double>>")
+    return docs.select("request_id", body.alias("r")).select("request_id", "r.crop", "r.horizon_weeks", "r.model_version", F.explode("r.predictions").alias("p")).select(
+        "request_id", "crop", "horizon_weeks", "model_version", "p.week", "p.modal_price")
+
+
 @query("s9_request_json")
 def s9(spark, sf_dir):
     """Requests serialised to JSON documents and parsed back into typed rows."""

@@ -45,6 +45,11 @@ SQL["a4_group_medians"] = chain(OBS) + "\nSELECT market, crop, variety, " + ", "
 ) + " FROM obs GROUP BY market, crop, variety"
 SQL["j7_median_fill"] = sel([OBS, impute_cte()], KEYS6 + MEDIANS, set(MEDIANS), "imp")
 SQL["p6_winsorize"] = sel(DAILY_CLEAN, KEYS6 + PRICES, set(PRICES), "win")
+_q = "quantile_cont(modal_price, 0.05E0) AS a, quantile_cont(modal_price, 0.95E0) AS b"
+SQL["p6_winsorize_report"] = chain(
+    OBS, impute_cte(), f"q AS (SELECT crop, {_q} FROM imp GROUP BY crop)", "l AS (SELECT crop, a - 1.5E0 * (b - a) AS lo, b + 1.5E0 * (b - a) AS hi FROM q)",
+) + "\nSELECT i.crop, " + R("any_value(lo)", "modal_price_lower") + ", " + R("any_value(hi)", "modal_price_upper") + \
+    ", count(*) FILTER (WHERE modal_price < lo OR modal_price > hi) AS modal_price_capped FROM imp i JOIN l ON i.crop = l.crop GROUP BY i.crop"
 SQL["a1_weekly_rollup"] = sel(WEEKLY, SERIES_ID + MEASURES, DOUBLE_MEASURES, "wk")
 SQL["a2_monthly_rollup"] = sel(DAILY_CLEAN + [rollup_cte(freq="monthly")], SERIES_ID + MEASURES, DOUBLE_MEASURES, "wk")
 SQL["a3_daily_passthrough"] = sel(DAILY_CLEAN, KEYS6 + MEASURES, DOUBLE_MEASURES, "win")
@@ -160,7 +165,16 @@ SQL["w7_horizon_targets"] = chain(
     "y AS (SELECT * FROM x WHERE target_future IS NOT NULL)",
     "k AS (SELECT crop, horizon FROM y GROUP BY crop, horizon HAVING count(*) >= 100)",
 ) + "\nSELECT " + ", ".join(f"y.{c}" for c in SERIES_ID) + f", y.horizon, {R('y.target_future', 'target_future')} FROM y JOIN k ON y.crop = k.crop AND y.horizon = k.horizon"
-SQL["w9_latest_window"] = None  # nested output: rows-only check
+_back = "row_number() OVER (PARTITION BY market, crop ORDER BY date DESC, variety DESC, state DESC, district DESC)"
+SQL["w9_latest_window"] = chain(
+    *WEEKLY, f"b AS (SELECT market, crop, modal_price, {_back} AS rn, count(*) OVER (PARTITION BY market, crop) AS n FROM wk)",
+) + "\nSELECT market, crop, CAST(least(n, 12) AS INTEGER) AS points, n >= 12 AS complete, CAST(least(n, 12) - rn AS INTEGER) AS place, " + R("modal_price", "price") + " FROM b WHERE rn <= 12"
+SQL["w8_sequences"] = chain(
+    *WEEKLY_FEATURES,
+    "s AS (SELECT *, COALESCE(lag_1, median(lag_1) OVER (PARTITION BY crop)) AS lag1, row_number() OVER (PARTITION BY market, crop ORDER BY date, variety, state, district) AS rn FROM ft)",
+) + "\nSELECT " + ", ".join("t." + c for c in SERIES_ID) + ", " + R("t.modal_price", "target") + ", CAST(12 - (t.rn - p.rn) AS INTEGER) AS step, " + \
+    R("p.modal_price", "price") + ", " + R("p.arrival_qty", "arrivals") + ", " + R("p.lag1", "lag_1") + \
+    " FROM s t JOIN s p ON t.market = p.market AND t.crop = p.crop AND p.rn BETWEEN t.rn - 12 AND t.rn - 1 WHERE t.rn > 12"
 _idx = "row_number() OVER (PARTITION BY crop ORDER BY market, date, variety, state, district) - 1"
 SQL["w11_positional_split"] = chain(*MODEL_FRAME, f"i AS (SELECT {', '.join(SERIES_ID)}, {_idx} AS row_index, count(*) OVER (PARTITION BY crop) AS n FROM mf)") + \
     "\nSELECT " + ", ".join(SERIES_ID) + ", row_index, CASE WHEN row_index < floor(0.8E0 * n) THEN 'train' ELSE 'test' END AS split FROM i"
@@ -249,11 +263,6 @@ _towns_fw = [
 ]
 SQL["f7_rule_forecast"] = chain(*requests_chain(towns=True), *DIMS, *_towns_fw) + "\nSELECT " + present(_ROW, _ROWD) + " FROM rr"
 _season = "CASE WHEN o.crop = 'rice' AND month(o.date) IN (10, 11) THEN 0.85E0 WHEN o.crop = 'rice' AND month(o.date) IN (6, 7) THEN 1.15E0 ELSE 1.0E0 END"
-SQL["f8_expected_price"] = chain(OBS, *DIMS, f"g AS (SELECT n_name, {town_sql()} AS town FROM nation)") + f"""
-SELECT {', '.join('o.' + c for c in KEYS6)}, COALESCE(m.market_state, o.state) AS price_state,
- {R(f"COALESCE(eb.base_price, 2000.0E0) * COALESCE(sf.factor, 1.0E0) * {_season} * (1.0E0 + ((o.date - DATE '2020-01-01') / 365.0E0) * 0.03E0)", 'expected_price')}
- FROM obs o LEFT JOIN g ON o.market = g.n_name LEFT JOIN mdim m ON g.town = m.market
- LEFT JOIN expected_base eb ON o.crop = eb.crop LEFT JOIN state_factor sf ON COALESCE(m.market_state, o.state) = sf.state"""
 SQL["f9_price_spread"] = chain(*WEEKLY) + "\nSELECT " + ", ".join(SERIES_ID) + f", {R('max_price - min_price', 'price_spread')}, " + \
     R("CASE WHEN modal_price IS NULL OR modal_price = 0 THEN NULL ELSE (max_price - min_price) / modal_price END * 100.0E0", "spread_pct") + " FROM wk"
 SQL["w10_pct_change"] = chain(*_FC) + "\nSELECT request_id, week, " + R(
@@ -267,6 +276,12 @@ SQL["a16_forecast_headline"] = chain(*_FC, "x AS (SELECT *, max(modal_price) OVE
 SQL["s4_write_csv"] = SQL["a1_weekly_rollup"]
 SQL["s1_csv_roundtrip"] = SQL["s1_load_observations"]
 SQL["s5_export_forecasts"] = chain(*_FC) + "\nSELECT " + present(_ROW, _ROWD) + ", source, " + R("ci_lower", "ci_lower") + ", " + R("ci_upper", "ci_upper") + " FROM rows"
+_NEST = "SELECT r.request_id, a.market, a.crop, r.horizon_weeks, CAST(r.week - 1 AS INTEGER) AS place, r.week, strftime(r.forecast_date, '%Y-%m-%d') AS forecast_day, "
+SQL["a20_nested_response"] = chain(*_FC) + "\n" + _NEST + ", ".join(R(f"r.{c}", c) for c in ("modal_price", "min_price", "max_price", "ci_lower", "ci_upper")) + \
+    " FROM rows r JOIN acc a ON r.request_id = a.request_id"
+SQL["s5_export_json"] = chain(*_FC) + "\nSELECT request_id, week, forecast_date, " + ", ".join(R(c, c) for c in ("modal_price", "min_price", "max_price")) + " FROM rows"
+SQL["s9_response_json"] = chain(*_FC) + "\nSELECT r.request_id, a.crop, r.horizon_weeks, '1.0.0' AS model_version, r.week, " + R("r.modal_price", "modal_price") + \
+    " FROM rows r JOIN acc a ON r.request_id = a.request_id"
 SQL["r1_stream_scoring"] = SQL["s5_export_forecasts"]
 SQL["s9_request_json"] = chain(requests_chain()[0]) + "\nSELECT * FROM raw"
 SQL["s8_run_summary"] = chain(*MODEL_FRAME, "c AS (SELECT crop, quantile_cont(date - DATE '1970-01-01', 0.8E0) AS cut FROM mf GROUP BY crop)",

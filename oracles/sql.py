@@ -286,8 +286,6 @@ DIMS = [
     _values("serving_market", "market, base_price", [(m, float(v)) for m, v in dims.SERVING_MARKET_BASE.items()]),
     _values("serving_crop", "crop, multiplier", [(c, float(v)) for c, v in dims.SERVING_CROP_MULTIPLIER.items()]),
     _values("mdim", "market, market_state, region, major_crops", [(m, s, r, c) for m, (s, r, c) in dims.MARKETS.items()]),
-    _values("expected_base", "crop, base_price", [(c, float(v)) for c, v in dims.EXPECTED_CROP_BASE.items()]),
-    _values("state_factor", "state, factor", [(s, float(v)) for s, v in dims.STATE_FACTOR.items()]),
 ]
 
 

@@ -18,7 +18,7 @@ DEFAULT = [
     "s1_load_observations", "s3_violations", "w1_fill_prices", "p6_winsorize", "a1_weekly_rollup",
     "a2_monthly_rollup", "w2_target_lags", "w5_rolling_std", "j2_target_encode", "m10_feature_pipeline",
     "w11_positional_split", "w13_expanding_folds", "j8_asof_features", "j10_forecast_fallback",
-    "a12_error_metrics", "a16_forecast_headline", "a19_spread_stats", "f8_expected_price",
+    "a12_error_metrics", "a16_forecast_headline", "a19_spread_stats",
     "r1_stream_scoring", "s9_request_json", "a5_quality_profile",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("KHARIF_ALL_ORACLES") else DEFAULT
