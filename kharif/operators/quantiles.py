@@ -67,7 +67,12 @@ def group_quantiles(
     stats = []
     for i in range(len(cols)):
         stats.append(F.struct(F.lit(i).alias("c"), F.count(value(i)).alias("n"), F.min(value(i)).alias("lo"), F.max(value(i)).alias("hi")))
-    groups = fitted(need.groupBy(*keys).agg(F.array(*stats).alias("s")), "quantile-groups")
+    groups = need.groupBy(*keys).agg(F.array(*stats).alias("s"))
+    wide_range = F.exists("s", lambda x: x["n"] > final_rows)
+    if not groups.where(wide_range).take(1):
+        # Nothing to narrow: every range is a whole group of a few values.
+        return _picked(need.groupBy(*keys).agg(*[F.sort_array(F.collect_list(value(i))).alias(f"__all{i}") for i in range(len(cols))]), cols, probs, group_keys, keys)
+    groups = fitted(groups, "quantile-groups")
     # Two ranks a level, the one below it and the next; k counts within the range that is left.
     h = lambda p: (F.col("n") - 1) * F.lit(float(p))
     part = lambda p: h(p) - F.floor(h(p))
@@ -81,7 +86,7 @@ def group_quantiles(
     long = long.select(*keys, "x.*").where("v is not null")
     on, curved = [*keys, "c"], True
     open_ = (F.col("n") > final_rows) & (F.col("lo") < F.col("hi"))
-    left = groups.where(F.exists("s", lambda x: (x["n"] > final_rows) & (x["lo"] < x["hi"]))).take(1)
+    left = ranks.where(open_).take(1)
     while left:
         ranges = ranks.where(open_).select(*on, "lo", "hi").distinct()
         met = null_safe_join(long, ranges, on, "v >= lo and v <= hi")
@@ -119,6 +124,19 @@ def group_quantiles(
     return wide.select(*[F.col(k).alias(g) for k, g in zip(keys, group_keys)], *[between(i, j) for i in range(len(cols)) for j in range(len(probs))])
 
 
+def _picked(groups: DataFrame, cols: Sequence[str], probs: Sequence[float], group_keys: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """The levels of groups whose sorted values are at hand."""
+    out = [F.col(k).alias(g) for k, g in zip(keys, group_keys)]
+    for i, c in enumerate(cols):
+        n = F.size(f"__all{i}")
+        for j, p in enumerate(probs):
+            h = (n - 1) * F.lit(float(p))
+            below = F.floor(h).cast("int")
+            a, b = F.get(f"__all{i}", below), F.get(f"__all{i}", F.least(below + 1, n - 1))
+            out.append(F.when(n > 0, F.when((a == b) | (h == below), a).otherwise(a + (h - below) * (b - a))).alias(_name(c, j)))
+    return groups.select(*out)
+
+
 def group_medians(df: DataFrame, cols: Sequence[str], group_keys: Sequence[str] = (), stored: bool = False, final_rows: int | None = None) -> DataFrame:
     """Interpolated medians as ``__med_{col}`` per group."""
     q = group_quantiles(df, cols, [0.5], group_keys, stored, final_rows)
