@@ -427,9 +427,10 @@ def open_files(spark: SparkSession, path: str) -> DataFrame:
     """shard, content: the files below ``path``; no row if none was written."""
     return (
         spark.read.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length long, content binary, shard string")
         .option("pathGlobFilter", "part-*")
+        .option("recursiveFileLookup", "true")
         .load(path)
+        .withColumn("shard", F.regexp_extract("path", "shard=([^/]+)/", 1))
         .select("shard", "content")
     )
 
