@@ -327,13 +327,3 @@ def test_horizon_targets_stay_in_series(spark):
         assert r["target_future"] - r["modal_price"] == r["horizon"]
     assert len(out) == 2 * (5 + 4)
 
-
-def test_permutation_multiplier_is_a_permutation():
-    from kharif.plans.model import _coprime_multiplier
-
-    for n in (1, 2, 9, 10, 97, 1000):
-        a = _coprime_multiplier(n, 12345)
-        assert sorted((a * i + 3) % n for i in range(n)) == list(range(n))
-
-
-# --------------------------------------------------------------------- quantiles
