@@ -20,7 +20,7 @@ from kharif.operators import clean, evaluate, features, forecast, quality, repor
 from kharif.plans import chain
 from kharif.session import cut_lineage, shared_path
 from kharif.plans import jobs, model
-from kharif.plans.feature_chain import FeatureChain, FeatureChainModel
+from kharif.plans.feature_chain import FeatureChain
 from kharif.sources import io
 from kharif.streaming import scoring
 from kharif.schema import FEATURE_ORDER, FLAG_COLS, MEDIAN_FILL_COLS, PRICE_COLS, REQUIRED_COLUMNS
@@ -396,12 +396,9 @@ def m2(spark, sf_dir):
 
 @query("m10_feature_pipeline")
 def m10(spark, sf_dir):
-    """Feature chain fitted, saved, loaded and applied to the observations:
-    keys, prepared features, target."""
-    o = obs_table(spark, sf_dir)
-    path = shared_path(spark, "chain")
-    FeatureChain().fit_rows(o, stored=True)[0].write().save(path)
-    return clean.drop_null_target(FeatureChainModel.load(path).transform(o))
+    """Feature chain fitted on the observations, and the rows it makes of them
+    (S6 saves and loads a chain): keys, prepared features, target."""
+    return model_frame(spark, sf_dir)[0]
 
 
 # ------------------------------------------------------------------ horizons / splits
