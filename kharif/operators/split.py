@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kharif.schema import FEATURE_KEYS, FEATURE_ORDER, TARGET
@@ -93,17 +93,20 @@ def horizon_split(long: DataFrame, train_fraction: float = 0.8, group_keys: Sequ
 
 
 # --------------------------------------------------------------------------- W13
+def fold_role(fold: Column, n_splits: int = 5) -> Column:
+    """'train', 'test' or NULL of a row with ``row_index`` and ``group_rows``."""
+    size = F.floor(F.col("group_rows") / (n_splits + 1))
+    start = F.col("group_rows") - (F.lit(n_splits) - fold) * size
+    return F.when(F.col("row_index") < start, "train").when(F.col("row_index") < start + size, "test")
+
+
 def expanding_folds(indexed: DataFrame, n_splits: int = 5) -> DataFrame:
     """Expanding-window folds over a frame with ``row_index`` and
     ``group_rows``: test size n // (k + 1); fold i tests rows
     [n - (k - i) * size, n - (k - i - 1) * size) and trains on all rows
     before.  Rows outside both are omitted from that fold."""
-    k = n_splits
-    size = F.floor(F.col("group_rows") / (k + 1))
-    out = indexed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    start = F.col("group_rows") - (F.lit(k) - F.col("fold")) * size
-    role = F.when(F.col("row_index") < start, "train").when(F.col("row_index") < start + size, "test")
-    return out.withColumn("role", role).where(F.col("role").isNotNull())
+    out = indexed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    return out.withColumn("role", fold_role(F.col("fold"), n_splits)).where(F.col("role").isNotNull())
 
 
 # --------------------------------------------------------------------------- W7

@@ -3,8 +3,8 @@
 Boosted trees come from ``pyspark.ml.regression.GBTRegressor``: tree
 learning is distributed (per-node statistics are aggregated across
 partitions), so the feature table never has to fit on one machine.  A model
-is a ``PipelineModel`` (assembler + regressor) plus a small metadata
-document.
+is a ``PipelineModel`` (assembler + stages of trees, plans/boosting.py) plus a
+small metadata document.
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, fields
 from datetime import datetime, timezone
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, SQLTransformer, VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kharif.operators import evaluate
+from kharif.operators import evaluate, split
+from kharif.plans.boosting import fit_all, grow, regressor
 from kharif.plans.feature_chain import ONE_HOT, FeatureChainModel, feature_names
 from kharif.schema import TARGET
 from kharif.session import cut_lineage, fitted
@@ -30,8 +31,8 @@ from kharif.session import cut_lineage, fitted
 @dataclass
 class GBTParams:
     """Boosting settings.  The defaults are the production values (1000 trees at
-    most, rate 0.1, depth 8, row and column sampling 0.8); jobs that want fewer
-    trees say so.  Spark samples columns per node (``featureSubsetStrategy``)
+    most, ended 50 trees after the best one, rate 0.1, depth 8, row and column
+    sampling 0.8); jobs that want fewer trees say so.  Spark samples columns per node (``featureSubsetStrategy``)
     and has no L1/L2 terms."""
 
     max_iter: int = 1000
@@ -40,7 +41,8 @@ class GBTParams:
     subsample: float = 0.8
     feature_subset: str = "0.8"
     max_bins: int = 32
-    validation_tol: float = 0.01
+    stage_trees: int = 50
+    patience: int = 50
     seed: int = 42
 
 
@@ -75,19 +77,10 @@ def one_hot_stages(chain: FeatureChainModel) -> list:
     return stages
 
 
-def build_pipeline(cols: Sequence[str], target: str = TARGET, params: GBTParams | None = None,
-                   validation_col: str | None = None, chain: FeatureChainModel | None = None) -> Pipeline:
-    p = params or GBTParams()
+def preparation(cols: Sequence[str], chain: FeatureChainModel | None = None) -> list:
+    """Stages that make ``features`` of model rows; nothing in them is fitted."""
     first = one_hot_stages(chain) if chain is not None else []
-    inputs = [*cols, *[s.getOutputCol() for s in first]]
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    extra = {"validationIndicatorCol": validation_col, "validationTol": p.validation_tol} if validation_col else {}
-    gbt = GBTRegressor(
-        featuresCol="features", labelCol=target, predictionCol="prediction",
-        maxIter=p.max_iter, stepSize=p.step_size, maxDepth=p.max_depth, subsamplingRate=p.subsample,
-        featureSubsetStrategy=p.feature_subset, maxBins=p.max_bins, seed=p.seed, **extra,
-    )
-    return Pipeline(stages=[*first, assembler, gbt])
+    return [*first, VectorAssembler(inputCols=[*cols, *[s.getOutputCol() for s in first]], outputCol="features", handleInvalid="keep")]
 
 
 def with_validation_flag(train: DataFrame, fraction: float = 0.1, group_keys: Sequence[str] = ("crop",)) -> DataFrame:
@@ -100,15 +93,55 @@ def with_validation_flag(train: DataFrame, fraction: float = 0.1, group_keys: Se
 
 def train_gbt(train: DataFrame, cols: Sequence[str], target: str = TARGET, params: GBTParams | None = None,
               validation_col: str | None = None, chain: FeatureChainModel | None = None) -> TrainedModel:
+    """Boosted trees; with a validation column they grow in stages and end by
+    the patience of ``params``, without one all trees are grown."""
     p = params or GBTParams()
-    fitted = build_pipeline(cols, target, p, validation_col, chain).fit(train)
-    return TrainedModel(fitted, list(cols), target, p, chain=chain)
+    first = preparation(cols, chain)
+    rows = PipelineModel(first).transform(train)
+    if validation_col is None:
+        stages = [regressor(p, p.max_iter, p.seed, target).fit(rows)]
+    else:
+        stages, _ = grow(rows, target, validation_col, p)
+    if len(stages) > 1:
+        parts = [f"__part_{i}" for i in range(len(stages))]
+        stages = [s.setPredictionCol(c) for s, c in zip(stages, parts)]
+        stages.append(SQLTransformer(statement=f"SELECT *, {' + '.join(parts)} AS prediction FROM __THIS__"))
+    return TrainedModel(PipelineModel([*first, *stages]), list(cols), target, p, chain=chain)
+
+
+def train_forest(train: DataFrame, cols: Sequence[str], target: str = TARGET, params: GBTParams | None = None,
+                 validation_col: str | None = None, chain: FeatureChainModel | None = None) -> TrainedModel:
+    """A random forest of ``max_iter`` trees (sampling, depth, bins and seed of
+    ``params``); it learns from the validation rows too."""
+    p = params or GBTParams()
+    first = preparation(cols, chain)
+    forest = RandomForestRegressor(
+        featuresCol="features", labelCol=target, predictionCol="prediction", numTrees=p.max_iter, maxDepth=p.max_depth,
+        subsamplingRate=p.subsample, featureSubsetStrategy=p.feature_subset, maxBins=p.max_bins, seed=p.seed,
+    )
+    return TrainedModel(PipelineModel([*first, forest.fit(PipelineModel(first).transform(train))]), list(cols), target, p, model_type="forest", chain=chain)
+
+
+#: Model types by name; each trainer takes what ``train_gbt`` takes.
+MODEL_TYPES = {"gbt": train_gbt, "forest": train_forest}
+
+
+def trainer(model_type: str):
+    if model_type not in MODEL_TYPES:
+        raise ValueError(f"unknown model type {model_type!r}; known: {', '.join(MODEL_TYPES)}")
+    return MODEL_TYPES[model_type]
+
+
+def ensembles(model: TrainedModel) -> list:
+    """The fitted tree ensembles of a model, in order."""
+    return [s for s in model.model.stages if hasattr(s, "treeWeights")]
 
 
 # --------------------------------------------------------------------------- M4
 def score(model: TrainedModel, df: DataFrame) -> DataFrame:
     """Batch scoring of model rows: adds ``prediction``; vectors are dropped."""
-    return model.model.transform(df).drop("features", *[f"{c}_onehot" for c in ONE_HOT])
+    parts = [s.getPredictionCol() for s in ensembles(model) if s.getPredictionCol() != "prediction"]
+    return model.model.transform(df).drop("features", *[f"{c}_onehot" for c in ONE_HOT], *parts)
 
 
 def score_observations(model: TrainedModel, obs: DataFrame) -> DataFrame:
@@ -124,14 +157,13 @@ def train_multi_horizon(long: DataFrame, cols: Sequence[str], horizons: Sequence
                         chain: FeatureChainModel | None = None) -> dict[int, TrainedModel]:
     """One model per horizon on the ``horizon_targets`` frame (label
     ``target_future``); horizons with fewer than ``min_rows`` rows are
-    skipped.  Each fit is a distributed job; the loop runs over horizons."""
+    skipped.  Each fit is a distributed job; the horizons are fitted at once."""
     counts = {r["horizon"]: r["n"] for r in long.groupBy("horizon").agg(F.count(F.lit(1)).alias("n")).collect()}
-    models = {}
-    for h in horizons:
-        if counts.get(h, 0) < min_rows:
-            continue
-        models[h] = train_gbt(long.where(F.col("horizon") == h), cols, "target_future", params, chain=chain)
-    return models
+
+    def fit(h: int):
+        return lambda: train_gbt(long.where(F.col("horizon") == h), cols, "target_future", params, chain=chain)
+
+    return fit_all(long.sparkSession, {h: fit(h) for h in horizons if counts.get(h, 0) >= min_rows})
 
 
 # --------------------------------------------------------------------------- M6
@@ -150,28 +182,42 @@ def evaluate_horizons(models: dict[int, TrainedModel], long_test: DataFrame, gro
 
 
 # --------------------------------------------------------------------------- M7
-def cross_validate(folds: DataFrame, cols: Sequence[str], target: str = TARGET, params: GBTParams | None = None,
-                   chain: FeatureChainModel | None = None) -> DataFrame:
-    """Expanding-window CV over a ``expanding_folds`` frame: train per fold,
-    score its test rows, metrics per fold."""
-    out = None
-    n_folds = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    for k in n_folds:
-        f = folds.where(F.col("fold") == k)
-        m = train_gbt(f.where(F.col("role") == "train"), cols, target, params, chain=chain)
-        s = score(m, f.where(F.col("role") == "test")).select(
-            F.lit(k).alias("fold"), F.col(target).alias("y_true"), F.col("prediction").alias("y_pred")
-        )
-        met = evaluate.error_metrics(s, ("fold",))
-        out = met if out is None else out.unionByName(met)
-    return out
+def cross_validate(indexed: DataFrame, cols: Sequence[str], n_splits: int = 5, target: str = TARGET,
+                   params: GBTParams | None = None, chain: FeatureChainModel | None = None) -> DataFrame:
+    """Expanding-window CV over a frame with ``row_index`` and ``group_rows``:
+    metrics of each fold's test rows.  The vectors are written once; a fold is
+    a range of positions over that table (no row is copied), and the folds are
+    fitted at once."""
+    p = params or GBTParams()
+    vectors = PipelineModel(preparation(cols, chain)).transform(indexed)
+    frame = cut_lineage(vectors.select("features", F.col(target).alias("y_true"), "row_index", "group_rows"), "folds")
+    if frame.isEmpty():
+        raise ValueError("no rows to validate on")
+
+    def fit(k: int):
+        role = split.fold_role(F.lit(k), n_splits)
+        return lambda: regressor(p, p.max_iter, p.seed, "y_true").fit(frame.where(role == "train"))
+
+    models = fit_all(indexed.sparkSession, {k: fit(k) for k in range(n_splits)})
+    scored = None
+    for k, m in models.items():
+        s = m.transform(frame.where(split.fold_role(F.lit(k), n_splits) == "test")).select(F.lit(k).alias("fold"), "y_true", F.col("prediction").alias("y_pred"))
+        scored = s if scored is None else scored.unionByName(s)
+    return evaluate.error_metrics(scored, ("fold",))
 
 
 # ------------------------------------------------------------------------ M8 O2
 def feature_importance(model: TrainedModel, spark: SparkSession) -> DataFrame:
-    """Impurity-based importances (one number a feature) with their names."""
-    imp = model.model.stages[-1].featureImportances
-    used = spark.createDataFrame([(int(i) + 1, float(imp[int(i)])) for i in imp.indices], "position int, importance double")
+    """Impurity-based importances (one number a feature) with their names; those
+    of several stages count by their numbers of trees."""
+    told: dict[int, float] = {}
+    parts = ensembles(model)
+    trees = sum(p.getNumTrees for p in parts)
+    for p in parts:
+        imp = p.featureImportances
+        for i in map(int, imp.indices):
+            told[i] = told.get(i, 0.0) + float(imp[i]) * p.getNumTrees / trees
+    used = spark.createDataFrame([(i + 1, v) for i, v in sorted(told.items())], "position int, importance double")
     return model.names(spark).join(used, "position", "left").select("position", "feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
 
 
@@ -270,7 +316,7 @@ def load_model(spark: SparkSession, path: str) -> TrainedModel:
     """The saved model with its target, settings and feature chain; raises on
     another type."""
     meta = read_metadata(spark, path).first()
-    if meta is None or meta["model_type"] != "gbt":
+    if meta is None or meta["model_type"] not in MODEL_TYPES:
         raise ValueError(f"cannot load a model of type {meta and meta['model_type']!r} from {path}")
     config = meta["config"]
     pipeline = PipelineModel.load(os.path.join(path, "model"))
@@ -279,7 +325,7 @@ def load_model(spark: SparkSession, path: str) -> TrainedModel:
         pipeline,
         list(config["columns"]),
         target=config["target"],
-        params=GBTParams(**config["gbt"].asDict()),
+        params=GBTParams(**{k: v for k, v in config["gbt"].asDict().items() if v is not None}),
         trained_at=meta["training_date"],
         model_type=meta["model_type"],
         chain=FeatureChainModel.load(os.path.join(path, "chain")) if chained else None,

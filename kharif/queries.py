@@ -642,7 +642,7 @@ def m5(spark, sf_dir):
     """One model per horizon (1, 2, 4, 12 weeks) on the lead-h target."""
     long, cols, fitted_chain = horizon_frames(spark, sf_dir)
     models = model.train_multi_horizon(long.where(F.col("split") == "train"), cols, (1, 2, 4, 12), QUERY_GBT, chain=fitted_chain)
-    rows = [(h, m.model.stages[-1].getNumTrees, m.model.stages[-1].numFeatures) for h, m in sorted(models.items())]
+    rows = [(h, sum(e.getNumTrees for e in model.ensembles(m)), model.ensembles(m)[-1].numFeatures) for h, m in sorted(models.items())]
     counts = long.where(F.col("split") == "train").groupBy("horizon").agg(F.count(F.lit(1)).alias("train_rows"))
     info = spark.createDataFrame(rows, "horizon int, trees int, features int")
     return info.join(counts, "horizon")
@@ -664,8 +664,7 @@ def m7(spark, sf_dir):
     r_obs = cut_lineage(obs(spark, sf_dir), "observations")
     mf, cols, fitted_chain = jobs.prepare_model_frame(r_obs, None)
     idx = split.with_row_index(mf, ("date", "market", "variety", "state", "district"))
-    folds = cut_lineage(split.expanding_folds(idx, 5), "folds")
-    return model.cross_validate(folds, cols, params=QUERY_GBT, chain=fitted_chain)
+    return model.cross_validate(idx, cols, 5, params=QUERY_GBT, chain=fitted_chain)
 
 
 @query("m8_feature_importance")
