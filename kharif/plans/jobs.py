@@ -7,15 +7,15 @@ feature table.  Everything between is one lazy plan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kharif.operators import clean, evaluate, features, forecast, rollup, split
 from kharif.operators.joins import null_safe_join
 from kharif.plans.feature_chain import ONE_HOT, FeatureChain, FeatureChainModel
-from kharif.plans.model import GBTParams, TrainedModel, score, train_gbt, with_validation_flag
+from kharif.plans.model import GBTParams, TrainedModel, score, trainer, with_validation_flag
 from kharif.schema import TARGET
 from kharif.session import cut_lineage, fitted
 
@@ -28,7 +28,7 @@ class TrainingResult:
     frame: DataFrame          # prepared features with ``split``
     test_scored: DataFrame    # test rows with ``prediction`` and ``naive``
     metrics: DataFrame        # A12 on the test rows per crop, of the model and of the lag-1 forecast
-    summary: DataFrame        # S8 stage counts
+    summary: DataFrame        # S8 stage counts, observed while the stages were written
 
 
 def train_cutoff(obs: DataFrame, train_fraction: float = 0.8, freq: str = "weekly") -> DataFrame:
@@ -70,10 +70,14 @@ def training_job(
     params: GBTParams | None = None,
     split_mode: str = "temporal",
     validation_fraction: float = 0.1,
+    model_type: str = "gbt",
 ) -> TrainingResult:
-    """Observations -> features -> split -> GBT (early stopping on a
-    frame cut from the train range) -> test metrics and run summary."""
-    obs = cut_lineage(obs, "observations")
+    """Observations -> features -> split -> model (GBT with early stopping
+    on a frame cut from the train range, or another of ``MODEL_TYPES``) -> test
+    metrics and run summary."""
+    train_model = trainer(model_type)
+    read, made = Observation("observations"), Observation("model-frame")
+    obs = cut_lineage(obs.observe(read, *counted()), "observations")
     if split_mode == "temporal":
         mf, cols, chain = prepare_model_frame(obs)
         framed = mf.drop("cutoff_day")
@@ -83,35 +87,55 @@ def training_job(
         framed = split.positional_split(mf).drop("row_index", "group_rows")
     else:
         raise ValueError("split_mode must be 'temporal' or 'positional'")
-    framed = cut_lineage(framed, "model-frame")
+    framed = cut_lineage(framed.observe(made, *counted(True)), "model-frame")
     train = framed.where(F.col("split") == "train")
     test = framed.where(F.col("split") == "test")
     vcol = None
     if validation_fraction > 0:
         train = with_validation_flag(train, validation_fraction)
         vcol = "is_validation"
-    model = train_gbt(train, cols, TARGET, params, vcol, chain)
+    model = train_model(train, cols, TARGET, params, vcol, chain)
     test_scored = score(model, test).withColumn("naive", F.col("lag_1"))
     metrics = None
     for name, pred in (("gbt", "prediction"), ("lag_1", "naive")):
         told = evaluate.error_metrics(test_scored.select("crop", F.col(TARGET).alias("y_true"), F.col(pred).alias("y_pred")), ("crop",))
         told = told.withColumn("forecast", F.lit(name))
         metrics = told if metrics is None else metrics.unionByName(told)
-    return TrainingResult(model, framed, test_scored, metrics, run_summary(obs, framed, framed))
+    summary = run_summary(framed.sparkSession, read.get, made.get, made.get)
+    return TrainingResult(model, framed, test_scored, metrics, summary)
 
 
-def run_summary(obs: DataFrame, processed: DataFrame, framed: DataFrame) -> DataFrame:
-    """Records per stage as one long table (one small aggregate each)."""
-    parts = [
-        obs.agg(F.count(F.lit(1)).alias("records")).withColumn("stage", F.lit("original_records")),
-        processed.agg(F.count(F.lit(1)).alias("records")).withColumn("stage", F.lit("processed_records")),
-        framed.groupBy().agg(F.count_if(F.col("split") == "train").alias("records")).withColumn("stage", F.lit("train_samples")),
-        framed.groupBy().agg(F.count_if(F.col("split") == "test").alias("records")).withColumn("stage", F.lit("test_samples")),
+def counted(split: bool = False) -> list:
+    """Aggregates to ``observe`` while a stage is written."""
+    parts = [F.count_if(F.col("split") == name).alias(name) for name in ("train", "test")] if split else []
+    return [F.count(F.lit(1)).alias("records"), *parts]
+
+
+def run_summary(spark, read: dict, processed: dict, framed: dict) -> DataFrame:
+    """(stage, records) from what was observed of the written observations,
+    processed rows and model frame; no scan of its own."""
+    rows = [
+        ("original_records", read["records"]), ("processed_records", processed["records"]),
+        ("train_samples", framed["train"]), ("test_samples", framed["test"]),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("stage", "records")
+    return spark.createDataFrame(rows, "stage string, records long")
+
+
+def write_summary(result: TrainingResult, path: str) -> DataFrame:
+    """One JSON document of the run: date, settings, records by stage,
+    features and the models trained.  Returns it as read back."""
+    spark, m = result.frame.sparkSession, result.model
+    info = F.map_from_entries(F.collect_list(F.struct("stage", "records"))).alias("data_info")  # four rows
+    names = F.array_sort(F.collect_list(F.struct("position", "feature"))).alias("n")  # one document by nature
+    doc = result.summary.agg(info).crossJoin(m.names(spark).agg(names)).select(
+        F.lit(m.trained_at).alias("training_date"),
+        F.struct(*[F.lit(v).alias(k) for k, v in asdict(m.params).items()], F.lit(m.target).alias("target")).alias("config"),
+        F.struct(*[F.col("data_info")[k].alias(k) for k in ("original_records", "processed_records", "train_samples", "test_samples")]).alias("data_info"),
+        F.struct(F.size("n").alias("total_features"), F.col("n.feature").alias("feature_list")).alias("feature_info"),
+        F.array(F.lit(m.model_type)).alias("models_trained"),
+    )
+    doc.coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.schema(doc.schema).json(path)
 
 
 # -------------------------------------------------------------------------- M12

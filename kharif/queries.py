@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kharif.functions.numeric import present
@@ -19,7 +19,7 @@ from kharif.functions.calendar import is_weekend
 from kharif.operators import clean, evaluate, features, forecast, quality, reports, rollup, split
 from kharif.plans import chain
 from kharif.session import cut_lineage, shared_path
-from kharif.plans import jobs, model
+from kharif.plans import jobs, model, registry
 from kharif.plans.feature_chain import FeatureChain
 from kharif.sources import io
 from kharif.streaming import scoring
@@ -686,14 +686,26 @@ def m9(spark, sf_dir):
 
 @query("m11_retrain_job")
 def m11(spark, sf_dir):
-    """Retrain from the tables, save the model with metadata, report."""
-    r = trained(spark, sf_dir)
-    path = shared_path(spark, "model")
-    model.save_model(r.model, path)
-    meta = model.read_metadata(spark, path)
+    """Retrain from a CSV path, publish the checked model, report its metrics."""
+    data, root = shared_path(spark, "observations-csv"), shared_path(spark, "models")
+    io.write_csv(obs(spark, sf_dir), data)
+    r = registry.retrain(spark, data, root, params=QUERY_GBT)
+    version = registry.published(spark, root).select("version").first()["version"]
+    meta = model.read_metadata(spark, f"{root}/versions/{version}")
     return r.metrics.crossJoin(meta.select("model_type", "feature_count"))
 
 
+@query("m11_retrain_forest")
+def m11_forest(spark, sf_dir):
+    """The second model type: published, taken from the pointer table, and
+    scoring raw observations with its own feature chain."""
+    data, root = shared_path(spark, "observations-csv"), shared_path(spark, "models")
+    o = obs_table(spark, sf_dir)
+    io.write_csv(o, data)
+    registry.retrain(spark, data, root, "forest", params=QUERY_GBT)
+    return model.score_observations(registry.current(spark, root), o).select(*SERIES_ID, "modal_price", "prediction")
+
+
 @query("m12_forecast_job")
 def m12(spark, sf_dir):
     """Requests -> as-of features -> GBT anchor -> weekly rows with bands."""
@@ -726,11 +738,23 @@ def s7(spark, sf_dir):
 
 @query("s8_run_summary")
 def s8(spark, sf_dir):
-    """Records per stage of the training run (no model needed)."""
-    o = cut_lineage(obs(spark, sf_dir), "observations")
-    wk = cut_lineage(rollup.rollup(clean.impute(o, stored=True), "weekly").select(*SERIES_ID, "modal_price"), "weekly")
-    framed = split.temporal_split(clean.drop_null_target(wk))
-    return jobs.run_summary(o, wk, framed)
+    """Records per stage of the training run (no model needed), observed while
+    the stages are written."""
+    read, made, cut = Observation("observations"), Observation("weekly"), Observation("frame")
+    o = cut_lineage(obs(spark, sf_dir).observe(read, *jobs.counted()), "observations")
+    wk = rollup.rollup(clean.impute(o, stored=True), "weekly").select(*SERIES_ID, "modal_price")
+    wk = cut_lineage(wk.observe(made, *jobs.counted()), "weekly")
+    cut_lineage(split.temporal_split(clean.drop_null_target(wk)).observe(cut, *jobs.counted(True)), "frame")
+    return jobs.run_summary(spark, read.get, made.get, cut.get)
+
+
+@query("s8_summary_document")
+def s8_document(spark, sf_dir):
+    """The run's summary document, written and read back: records, settings,
+    one row a feature."""
+    doc = jobs.write_summary(trained(spark, sf_dir), shared_path(spark, "summary"))
+    return doc.select("data_info.*", "config.max_iter", "config.target", F.col("models_trained")[0].alias("model_type"),
+                      F.posexplode("feature_info.feature_list").alias("place", "feature"))
 
 
 # ------------------------------------------------------------------ files / wire formats / stream
@@ -754,6 +778,21 @@ def s1_csv(spark, sf_dir):
     return io.load_observations(spark, path)
 
 
+@query("s1_quarantine")
+def s1_quarantine(spark, sf_dir):
+    """Lines loaded, and lines rejected by reason, of observation files in
+    which prices of the 13th of a month are texts and lines of the 17th end early."""
+    path, day = shared_path(spark, "observation-lines"), F.dayofmonth("date")
+    text = {c: F.col(c).cast("string") for c in REQUIRED_COLUMNS}
+    text["modal_price"] = F.when(day == 13, F.lit("n/a")).otherwise(text["modal_price"])
+    line = lambda names: F.to_csv(F.struct(*[text[c].alias(c) for c in names]))
+    lines = obs(spark, sf_dir).select(F.when(day == 17, line(REQUIRED_COLUMNS[:3])).otherwise(line(REQUIRED_COLUMNS)).alias(",".join(REQUIRED_COLUMNS)))
+    lines.write.option("header", True).option("sep", "\u0001").csv(path)
+    loaded, rejected = io.quarantine(spark, path)
+    return loaded.groupBy(F.lit("loaded").alias("reason")).agg(F.count(F.lit(1)).alias("lines")).unionByName(
+        rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("lines")))
+
+
 @query("s5_export_forecasts")
 def s5(spark, sf_dir):
     """Forecast rows exported as CSV (flat) and read back."""
@@ -791,19 +830,49 @@ def s9(spark, sf_dir):
     return io.parse_requests(io.requests_to_json(raw))
 
 
+def stream_anchors(spark, sf_dir):
+    feats = weekly_features(spark, sf_dir)
+    anchors = forecast.last_per_date(feats, ["market", "crop"], "date", ["modal_price"], ["variety", "state", "district"])
+    return cut_lineage(anchors.select("market", "crop", F.col("date").alias("feature_date"), F.col("modal_price").alias("anchor_price")), "anchors")
+
+
+def streamed(spark, sf_dir, score=None):
+    """(forecast rows, rejected requests) of all requests, streamed from files."""
+    src, out, ck = (shared_path(spark, f"stream-{x}") for x in ("requests", "out", "ckpt"))
+    fixtures.forecast_requests(spark, sf_dir).write.parquet(src)
+    if score is None:
+        r = trained(spark, sf_dir)
+        score = scoring.model_scorer(r.frame, r.model, RUN_DATE)
+    scoring.run_batches(scoring.request_stream(spark, src), score, out, ck)
+    return scoring.accepted_rows(spark, out), scoring.rejected_rows(spark, out)
+
+
 @query("r1_stream_scoring")
 def r1(spark, sf_dir):
     """Requests streamed from files, scored against the static as-of anchors."""
     src = shared_path(spark, "request-stream")
     raw = fixtures.forecast_requests(spark, sf_dir)
     raw.write.parquet(src)
-    feats = weekly_features(spark, sf_dir)
-    anchors = forecast.last_per_date(feats, ["market", "crop"], "date", ["modal_price"], ["variety", "state", "district"])
-    anchors = cut_lineage(anchors.select("market", "crop", F.col("date").alias("feature_date"), F.col("modal_price").alias("anchor_price")), "anchors")
+    anchors = stream_anchors(spark, sf_dir)
     out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ckpt")
     scoring.run_to_table(scoring.score_stream(scoring.request_stream(spark, src), anchors, RUN_DATE), out, ck)
     return spark.read.parquet(out)
 
 
+@query("r1_stream_model")
+def r1_model(spark, sf_dir):
+    """Requests streamed from files and scored with the trained model; the
+    forecast rows of all batches."""
+    return streamed(spark, sf_dir)[0].select(*ROW_OUT, "source")
+
+
+@query("r1_stream_rejected")
+def r1_rejected(spark, sf_dir):
+    """Requests the stream rejects, with their reasons (anchors as model)."""
+    anchors = stream_anchors(spark, sf_dir)
+    score = lambda batch: scoring.score_requests(batch, anchors, RUN_DATE)
+    return streamed(spark, sf_dir, score)[1].select("request_id", "reason")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

