@@ -247,3 +247,49 @@ def test_mixing_shares_the_end_among_repeated_rows(spark, copies, budget, want):
     rows = docs(spark, ["a b c d e f g h i j"] * copies, [7] * copies)
     got = mixing.mix(rows, budget=budget, max_epochs=1).collect()
     assert sorted(r["take_tokens"] for r in got) == want
+
+
+def test_hinge_weights_equal_a_slow_solver():
+    """The dual optimum by projected gradient steps over the full matrix: equal
+    objectives, a small duality gap and the optimum's conditions row by row."""
+    draw = np.random.default_rng(3)
+    n, size = 120, 40
+    found = [np.unique(draw.integers(0, size, draw.integers(0, 12))) for _ in range(n)]
+    ratio = draw.normal(size=size).astype(np.float32)
+    starts = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+    rows = quality.Vectors.of(np.concatenate(found).astype(np.int32), starts, ratio)
+    sign, cost = np.where(draw.random(n) < 0.6, 1.0, -1.0), np.where(draw.random(n) < 0.5, 1.0, 2.0)
+    weights = quality.dual_coordinate_descent(rows, sign, cost, size, epochs=3000)
+
+    dense = np.zeros((n, size + 1))
+    dense[:, -1] = 1.0
+    for i in range(n):
+        dense[i, found[i]] = rows.row(i)[1]
+    signed = dense * sign[:, None]
+    gram, alpha = signed @ signed.T, np.zeros(n)
+    step = 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, cost)
+    primal = lambda w: 0.5 * w @ w + cost @ np.maximum(0, 1 - signed @ w)
+    dual = alpha.sum() - 0.5 * alpha @ gram @ alpha
+    assert 0 <= primal(weights) - dual < 2e-2 * dual
+    # rows well inside the margin carry no weight, rows well beyond it their cost
+    margin = signed @ (signed.T @ alpha)
+    assert (alpha[margin > 1 + 1e-3] < 1e-3).all() and (cost - alpha)[margin < 1 - 1e-3].max(initial=0) < 1e-3
+    assert np.abs(weights - signed.T @ alpha).max() < 5e-2
+
+
+def test_scores_equal_a_version_with_plain_dictionaries(spark):
+    rows = labelled(spark)
+    model = quality.fit(rows, fit_rows=150)
+    held = {0: {}, 1: {}}
+    for r in rows.collect():
+        for f in set(quality.Ngrams().of(r["text"]).tolist()):
+            held[r["quality"]][f] = held[r["quality"]].get(f, 0) + 1
+    total = {k: sum(v.values()) + quality.SIZE for k, v in held.items()}
+    log = lambda k, f: np.log((held[k].get(f, 0) + 1) / total[k])
+    for r in quality.score(rows, model).limit(40).collect():
+        values = {int(f): log(1, f) - log(0, f) for f in quality.Ngrams().of(r["text"])}
+        norm = sum(v * v for v in values.values()) ** 0.5
+        margin = model.intercept + (sum(float(model.weight[f]) * v for f, v in values.items()) / norm if norm else 0.0)
+        assert abs(r["score"] - 1 / (1 + np.exp(-(model.slope * margin + model.offset)))) < 1e-4
