@@ -28,14 +28,14 @@ within one document are not reported; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kharif.llm.common import filter_bit, id_filter, maybe_in, passes, prepare, slices, written
+from kharif.llm.common import by_bytes, filter_bit, id_filter, maybe_in, passes, prepare, slices, written
 
 SHINGLE = 5
 MIN_WORDS = 51
@@ -45,8 +45,10 @@ BANDS = 2
 ROUNDS = 3
 #: How many times more functions a band has once a signature has failed.
 GROWTH = 2
-#: Words whose hashes a worker keeps.
-WORDS = 300_000
+#: Bytes of text that are hashed at a time, so that its arrays stay in the cache.
+PIECE = 1 << 19
+#: Lower bits of a value that make room for its place in a stretch.
+PLACE_BITS = 16
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -58,92 +60,116 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words:
-    """64-bit hashes of the words of a text, kept per worker."""
-
-    def __init__(self) -> None:
-        self.table: dict[str, int] = {}
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        table = self.table
-        if len(table) > WORDS:
-            table.clear()
-        for w in set(words).difference(table):
-            table[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
-        return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of the five-word shingles of hashed words."""
-    n = len(words) - SHINGLE + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for k in range(SHINGLE if n > 0 else 0):
+# A word's hash is a polynomial of its code points' numbers in _BASE: a power is the product of one of each table.
+_BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+_BLOCK_BITS = 16
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
+
+
+_NUMBERS = _mixed(np.arange(1 << 16, dtype=np.uint64), 2)
+_UP, _DOWN = (_powers(b, 1 << _BLOCK_BITS) for b in (_BASE, _INVERSE))
+_UPS, _DOWNS = (pow(b, 1 << _BLOCK_BITS, 1 << 64) for b in (_BASE, _INVERSE))
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (``lower().split()``) of all texts, one after
+    the other, and the number of words of each text."""
+    lowered = [(t or "").lower() for t in texts]
+    codes = np.frombuffer("\n".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _SPACE[np.minimum(codes, len(_SPACE) - 1)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, end = edges[::2], edges[1::2]
+    blocks = (len(codes) >> _BLOCK_BITS) + 1
+    total = (_powers(_UPS, blocks)[:, None] * _UP).ravel()[: len(codes)]
+    total *= _NUMBERS[codes] if codes.max() < len(_NUMBERS) else _mixed(codes.astype(np.uint64), 2)
+    np.cumsum(total, out=total)
+    words = total[end - 1] - total[first - 1]
+    words *= _DOWN[first & ((1 << _BLOCK_BITS) - 1)] * _powers(_DOWNS, blocks)[first >> _BLOCK_BITS]
+    ends = np.cumsum([len(t) + 1 for t in lowered])
+    return _mixed(words, 3), np.diff(np.searchsorted(first, ends), prepend=0)
+
+
+def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the five-word shingles of all texts, one after the other, and
+    the number of shingles of each text."""
+    words, counts = hashed_words(texts)
+    n = max(len(words) - SHINGLE + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for k in range(SHINGLE if n else 0):
         out = out * _M1 + words[k : n + k]
-    return _mixed(out, 1)
+    inside = np.arange(n) + SHINGLE <= np.repeat(np.cumsum(counts), counts)[:n]
+    return _mixed(out[inside], 1), np.maximum(counts - SHINGLE + 1, 0)
 
 
 def sliding_minima(value: np.ndarray, width: int) -> np.ndarray:
     """Place of the least value of every window of ``width`` (leftmost of equal
-    ones), by doubling the width."""
-    place, least, span = np.arange(len(value), dtype=np.int32), value, 1
-    while span < width:
-        step = min(span, width - span)
-        lower = least[step:] < least[:-step]
-        place = np.where(lower, place[step:], place[:-step])
-        least = np.where(lower, least[step:], least[:-step])
-        span += step
-    return place
+    ones), by doubling the width.  Values are compared without their lower
+    ``PLACE_BITS`` bits, which hold the place in a stretch instead."""
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    out, step_on = [np.empty(0, np.int64)], (1 << PLACE_BITS) - width + 1
+    for at in range(0, len(value) - width + 1, step_on):
+        least = value[at : at + (1 << PLACE_BITS)] & ~low
+        least |= np.arange(len(least), dtype=np.uint64)
+        span = 1
+        while span < width:
+            step = min(span, width - span)
+            least = np.minimum(least[step:], least[:-step])
+            span += step
+        out.append((least & low).astype(np.int64) + at)
+    return np.concatenate(out)
 
 
 def tree_windows(value: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last place of the compact window of each centre: up to the
     nearest smaller value on either side.  That value is itself a centre
     (its window contains this one), so the Cartesian tree over the centres
-    gives it; pointers jump over larger ones until they settle.  The first and
+    gives it, built along its right path.  The first and
     the last centre must be smaller than all between them."""
-    v, n = value[centres], len(centres)
-    left, right = np.arange(-1, n - 1), np.arange(1, n + 1)
-    some = np.arange(1, n)
-    while len(some := some[v[left[some]] > v[some]]):
-        left[some] = left[left[some]]
-        some = some[left[some] >= 0]
-    some = np.arange(n - 1)
-    while len(some := some[v[right[some]] >= v[some]]):
-        right[some] = right[right[some]]
-        some = some[right[some] < n]
+    v, n = value[centres].tolist(), len(centres)
+    left, right, path = [-1] * n, [n] * n, [-1]  # path: centres without a smaller one so far, rising
+    for i, x in enumerate(v):
+        while (k := path[-1]) >= 0 and v[k] > x:
+            right[path.pop()] = i
+        left[i] = k
+        path.append(i)
     first = centres[np.maximum(left, 0)] + 1
     last = centres[np.minimum(right, n - 1)] - 1
     return first, last
 
 
 def windows(
-    texts: list[np.ndarray], bands: int = BANDS, width: int = MIN_SHINGLES, functions: int = 2, wanted: np.ndarray | None = None, roots: np.ndarray | None = None
+    tokens: np.ndarray, sizes: np.ndarray, bands: int = BANDS, width: int = MIN_SHINGLES, functions: int = 2, wanted: np.ndarray | None = None, roots: np.ndarray | None = None
 ) -> tuple[np.ndarray, ...]:
     """(number of the text, signature, centre, left, right, many, parent, root) of the
     intersections of the compact windows of the ``functions`` of each band, for
-    several hashed texts at once; many: the text has that signature elsewhere
+    several texts at once (shingles, and their number in each); many: the text has that signature elsewhere
     too, and this is its first place.  With ``wanted``, only signatures that
     begin with one of these (parent) of ``GROWTH`` times fewer functions, and
     with one of ``roots`` of two functions; only the stretches under these are
     hashed further.  Between texts stands a
     value below all others, so no window reaches across."""
-    sizes = np.array([max(len(t) - SHINGLE + 1, 0) for t in texts])
     starts = np.concatenate([[1], 1 + np.cumsum(sizes + 1)])  # one mark before and after each text
     joined = np.zeros(int(starts[-1]), np.uint64)
-    for t, at, n in zip(texts, starts, sizes):
-        joined[at : at + n] = shingles(t)
     mark = np.zeros(len(joined), bool)
     mark[starts - 1] = True
-    text_of = np.repeat(np.arange(len(texts) + 1), np.concatenate([[1], sizes + 1]))
+    joined[~mark] = tokens
+    text_of = np.repeat(np.arange(len(sizes) + 1), np.concatenate([[1], sizes + 1]))
 
     def compact(joined: np.ndarray, mark: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
-        value = _mixed(joined, seed) | np.uint64(1)
+        value = _mixed(joined, seed) >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.uint64(1 << PLACE_BITS)
         value[mark] = 0
         at = sliding_minima(value, width)
         # places never fall, so equal ones are neighbours
         begins = np.concatenate([[True], at[1:] != at[:-1]])
-        centres = np.unique(np.concatenate([at[begins], np.flatnonzero(mark)]))
+        least = mark.copy()
+        least[at[begins]] = True
+        centres = np.flatnonzero(least)
         return (value, at, begins, centres, *tree_windows(value, centres))
 
     out: list[tuple[np.ndarray, ...]] = []
@@ -223,9 +249,19 @@ def dense(match: np.ndarray, similarity: float = SIMILARITY) -> tuple[int, int]:
     return start, end
 
 
-def verify(a: np.ndarray, b: np.ndarray, at: int, bt: int, similarity: float = SIMILARITY, least: int = MIN_SHINGLES):
-    """The near-duplicate passage of two texts (shingles) that meet at ``at``
-    and ``bt``: (first, end) shingles in both, and their Jaccard similarity;
+def numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The shingles of two texts as numbers from 0, and how many differ."""
+    both = np.concatenate([a, b]).astype(np.uint64) << np.uint64(32) | np.arange(len(a) + len(b), dtype=np.uint64)
+    both.sort()
+    value, place = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    number = np.empty(len(both), np.int64)
+    number[place] = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])])[: len(both)]
+    return number[: len(a)], number[len(a) :], int(number.max(initial=-1)) + 1
+
+
+def verify(a: np.ndarray, b: np.ndarray, at: int, bt: int, kinds: int, similarity: float = SIMILARITY, least: int = MIN_SHINGLES):
+    """The near-duplicate passage of two texts (shingles as numbers below
+    ``kinds``) that meet at ``at`` and ``bt``: (first, end) shingles in both, and their Jaccard similarity;
     None if there is none of enough length and similarity."""
     # Word for word to either side: by far the most frequent case, and cheap.
     n = min(len(a) - at, len(b) - bt)
@@ -239,15 +275,21 @@ def verify(a: np.ndarray, b: np.ndarray, at: int, bt: int, similarity: float = S
     reach = 4 * max(least, behind + ahead)
     lo_a, hi_a, lo_b, hi_b = max(0, at - reach), min(len(a), at + reach), max(0, bt - reach), min(len(b), bt + reach)
     x, y = a[lo_a:hi_a], b[lo_b:hi_b]
-    s, e = dense(np.isin(x, y), similarity)
-    t, u = dense(np.isin(y, x[s:e]), similarity) if e > s else (0, 0)
-    best = None
-    if e - s >= least and u - t >= least:
-        p, q = np.unique(x[s:e]), np.unique(y[t:u])
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        jaccard = both / (len(p) + len(q) - both)
-        if jaccard >= similarity:
-            best = (s + lo_a, e + lo_a), (t + lo_b, u + lo_b), float(jaccard)
+    best, known = None, np.zeros((2, kinds), bool)
+    known[1, y] = True
+    # A stretch of a positive sum has more matches than that; fewer need no search.
+    match, few = known[1, x], similarity * least
+    s, e = dense(match, similarity) if np.count_nonzero(match) > few else (0, 0)
+    if e - s >= least:
+        known[0, x[s:e]] = True
+        match = known[0, y]
+        t, u = dense(match, similarity) if np.count_nonzero(match) > few else (0, 0)
+        if u - t >= least:
+            known[1] = False
+            known[1, y[t:u]] = True
+            jaccard = np.count_nonzero(known[0] & known[1]) / np.count_nonzero(known[0] | known[1])
+            if jaccard >= similarity:
+                best = (s + lo_a, e + lo_a), (t + lo_b, u + lo_b), float(jaccard)
     if behind + ahead >= least and (best is None or best[0][1] - best[0][0] < behind + ahead):
         best = *same, 1.0
     return best
@@ -261,18 +303,21 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prepare(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).where("doc is not null")
 
-    left = written(_windows_of(rows, 2), "passage-windows")
+    left = written(_windows_of(rows, 2).drop("root"), "passage-windows").withColumn("root", F.col("key"))
     met = written(_meetings(left), "passage-met")
     need = id_filter(met.select(F.explode(F.array("doc", "source")).alias("doc")), "doc")
     known = spark.sparkContext.broadcast(need)
 
     def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = Words(), known.value
-        for batch in slices(batches, 200):
+        bits = known.value
+        for batch in by_bytes(batches, 1, PIECE):
             some = np.flatnonzero(passes(bits, batch.column(2).to_numpy(zero_copy_only=False)))
             ids, texts = batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)).to_pylist()
-            made = [(shingles(words.of(t)) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(made, pa.binary())], names=["doc", "shingles"])
+            tokens, sizes = shingles(texts)
+            ends = np.cumsum(np.concatenate([[0], sizes * 4]), dtype=np.int32)
+            made = (tokens >> np.uint64(32)).astype(np.uint32)
+            made = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(made)])
+            yield pa.RecordBatch.from_arrays([ids, made], names=["doc", "shingles"])
 
     texts = written(rows.select("doc", "text", filter_bit("doc").alias("bit")).mapInArrow(payload, "doc long, shingles binary"), "passage-texts")
     texts = texts.groupBy("doc").agg(F.max("shingles").alias("shingles"))
@@ -326,12 +371,11 @@ def _windows_of(rows: DataFrame, functions: int) -> DataFrame:
     names = ["doc", "text"] + ["wanted", "roots", "failed"] * (functions > 2)
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in slices(batches, 200):
+        for batch in by_bytes(batches, 1, PIECE):
             # Any other text of the batch with a wanted signature wants it too.
             wanted, roots = (batch.column(i).flatten().to_numpy(zero_copy_only=False) if functions > 2 else None for i in (2, 3))
-            texts = [words.of(t) for t in batch.column(1).to_pylist()]
-            text, key, centre, left, right, many, parent, root = windows(texts, functions=functions, wanted=wanted, roots=roots)
+            tokens, sizes = shingles(batch.column(1).to_pylist())
+            text, key, centre, left, right, many, parent, root = windows(tokens, sizes, functions=functions, wanted=wanted, roots=roots)
             seeks = np.ones(len(text), bool)
             if functions > 2:
                 lists = batch.column(4)
@@ -377,23 +421,27 @@ def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
-            out = []
-            for doc, source, meetings, one, other in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = np.frombuffer(one, np.uint32), np.frombuffer(other, np.uint32)
+            out, lists = [], batch.column(2)
+            meetings = [c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()]
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+            order = np.lexsort([*meetings[::-1], np.repeat(np.arange(len(counts)), counts)])
+            meetings = zip(*(m[order].tolist() for m in meetings))
+            for doc, source, n, one, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), counts, *(c.to_pylist() for c in batch.columns[3:])):
+                a, b, kinds = numbered(np.frombuffer(one, np.uint32), np.frombuffer(other, np.uint32))
                 spans: list[tuple] = []
-                for at, bt, key, place, more in sorted(tuple(m.values()) for m in meetings):
+                for at, bt, key, place, more in islice(meetings, int(n)):
                     if any(s[0][0] <= at < s[0][1] and s[1][0] <= bt < s[1][1] for s in spans):
                         continue
-                    if hit := verify(a, b, at, bt):
+                    if hit := verify(a, b, at, bt, kinds):
                         if hit not in spans:
                             spans.append(hit)
                             (s, e), (t, u), j = hit
                             out.append((doc, source, s, e, t, u, j, None, None, None))
                     else:
                         out.append((doc, source, None, None, None, None, None, key, place, more))
-            kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+            types = [pa.int64()] * 6 + [pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
             columns = list(zip(*out)) or [()] * 10
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=names)
 
     rows = rows.select("doc", "source", "meetings", "shingles", "other")
     return rows.mapInArrow(
